@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprints import fingerprints
+from .mixing import mix
 from .ngram_jaccard import jaccard_components
 
 
@@ -16,7 +18,21 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir), w=3, num=90, den=100)
 
 
-QUERIES = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join}
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of each document so that sources weigh 5, 2, 1, repeating, in 150% of all words, none above twice its size."""
+    return mix(_documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, repeats=2.0).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical exact digests of documents and of their edited texts."""
+    return fingerprints(_documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_mix_sources": op5_mix_sources,
+    "op10_document_fingerprints": op10_document_fingerprints,
+}
 
 #: Lower-cases A-Z only.
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -30,10 +46,30 @@ WITH RECURSIVE w AS (
     WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE []::VARCHAR[] END) AS sh FROM w
 ), n AS (SELECT doc_id, len(sh) AS n FROM s),
 e AS (SELECT doc_id, hash(g) AS g FROM (SELECT doc_id, unnest(sh) AS g FROM s)),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT a, b FROM both JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
 t AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, t.b FROM r JOIN t ON t.a = r.b)
 SELECT n.doc_id, n.n AS n_shingles, c.component_id FROM n JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = n.doc_id
+""",
+    "op5_mix_sources": r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents
+), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, ([5.0::DOUBLE, 2.0, 1.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS weight FROM s),
+f AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2 * coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev, 2 * source_size / weight AS ratio
+  FROM w WINDOW o AS (ORDER BY source_size / weight, source)
+), t AS (
+  SELECT source, source_size, least(2.0::DOUBLE * source_size, (SELECT min_by(lev, ratio) FROM f WHERE lev < ratio) * weight) AS target FROM f
+), g AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, d.h, d.source, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto, sum(size) OVER (PARTITION BY source, h) AS tied FROM g
+)
+SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN target - whole * source_size > 0 AND upto - tied / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM c
 """,
 }
