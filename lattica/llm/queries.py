@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_join import near_duplicates
 from .fingerprints import fingerprints
 from .mixing import mix
 from .ngram_jaccard import jaccard_components
@@ -23,6 +24,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, repeats=2.0).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors whose cosine is 0.95 or more."""
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.95)
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical exact digests of documents and of their edited texts."""
     return fingerprints(_documents(spark, sf_dir))
@@ -31,6 +37,7 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_mix_sources": op5_mix_sources,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 
@@ -71,5 +78,13 @@ f AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h RANGE UNBOUNDED PRECEDING) AS upto, sum(size) OVER (PARTITION BY source, h) AS tied FROM g
 )
 SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN target - whole * source_size > 0 AND upto - tied / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM c
+""",
+    "op6_embedding_near_dedup": r"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS len FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE a.len > 0 AND b.len > 0 AND list_dot_product(a.v, b.v) / (a.len * b.len) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM u UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM u JOIN c ON c.a = vec_id
 """,
 }
