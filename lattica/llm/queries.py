@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import language_id, quality
+from .common import held_out
 from .embedding_join import near_duplicates
 from .fingerprints import fingerprints
 from .mixing import mix
@@ -14,6 +16,13 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of documents; labels with crc32(doc_id) mod 5 = 0 are held out."""
+    docs, out = _documents(spark, sf_dir), held_out(F.col("doc_id"), 5, 0)
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~out)
+    return quality.score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     return jaccard_components(_documents(spark, sf_dir), w=3, num=90, den=100)
@@ -29,15 +38,23 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 0.95)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of documents; those with crc32(doc_id) mod 4 = 2 are held out."""
+    docs, out = _documents(spark, sf_dir), held_out(F.col("doc_id"), 4, 2)
+    return language_id.identify(docs, language_id.fit(docs, ~out)).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical exact digests of documents and of their edited texts."""
     return fingerprints(_documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op1_quality_crf": op1_quality_crf,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_mix_sources": op5_mix_sources,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_language_id": op7_language_id,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 
