@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language_id, quality
+from . import kneser_ney, language_id, quality
 from .common import held_out
 from .embedding_join import near_duplicates
 from .fingerprints import fingerprints
@@ -50,6 +50,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs, ~out)).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of documents under a Kneser-Ney model; those with crc32(doc_id) mod 10 = 0 are held out."""
+    docs, out = _documents(spark, sf_dir), held_out(F.col("doc_id"), 10, 0)
+    scored = kneser_ney.score(docs, kneser_ney.fit(docs, ~out), F.col("doc_id"), out)
+    return scored.withColumnsRenamed({"c0": "doc_id", "c1": "held_out"})
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical exact digests of documents and of their edited texts."""
     return fingerprints(_documents(spark, sf_dir))
@@ -62,6 +69,7 @@ QUERIES = {
     "op5_mix_sources": op5_mix_sources,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_language_id": op7_language_id,
+    "op8_lm_scoring": op8_lm_scoring,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 
