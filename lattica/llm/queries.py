@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import kneser_ney, language_id, quality
+from . import html_text, kneser_ney, language_id, quality, url_filter
 from .common import held_out
 from .embedding_join import near_duplicates
 from .fingerprints import fingerprints
@@ -34,6 +34,11 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir), w=3, num=90, den=100)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of each document so that sources weigh 5, 2, 1, repeating, in 150% of all words, none above twice its size."""
     return mix(_documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, repeats=2.0).select("doc_id", "size", "source_size", "target", "taken")
@@ -57,6 +62,16 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumnsRenamed({"c0": "doc_id", "c1": "held_out"})
 
 
+#: Fixed rules of op9: verdict, host, path.
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages' urls: fixed rules first, then rules mined from labels."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter.judge(pages, URL_RULES, url_filter.mine(pages, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical exact digests of documents and of their edited texts."""
     return fingerprints(_documents(spark, sf_dir))
@@ -66,10 +81,12 @@ QUERIES = {
     "op1_quality_crf": op1_quality_crf,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_html_extraction": op4_html_extraction,
     "op5_mix_sources": op5_mix_sources,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_language_id": op7_language_id,
     "op8_lm_scoring": op8_lm_scoring,
+    "op9_url_filter": op9_url_filter,
     "op10_document_fingerprints": op10_document_fingerprints,
 }
 
