@@ -70,10 +70,11 @@ def _with_sources(rows: DataFrame, sources: DataFrame, n: int) -> DataFrame:
     return rows.join(F.broadcast(s) if n <= BROADCAST_SOURCES else s, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, repeats: float = 2.0, salt: str = "", extra: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken of each row of docs; extra columns of docs may be carried along."""
-    named = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), salt).alias("h"), *extra)
-    rows = stage(named, "sized")
+def mix_plan(rows: DataFrame, weights: tuple[float, ...], share: float, repeats: float) -> tuple[DataFrame, int]:
+    """source, source_size, target, whole, last of each source, and the number of sources. rows: source, size, h.
+
+    A document is taken `whole` times, and once more if its hash is at most `last`.
+    """
     targets = stage(source_targets(rows, weights, share, repeats), "targets")
     n = targets.count()
     plain = targets.select("source", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int").alias("whole"), "source_size", "target")
@@ -96,6 +97,26 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     edge = _with_sources(rows.where("size > 0").select("source", "size", "h"), bound, n).where("h = lo").groupBy("source", "need", "lo", "before").agg(F.sum("size").alias("s"))
     edge = edge.select("source", F.when(F.col("before") + F.col("s") / 2 <= F.col("need"), F.col("lo")).otherwise(F.col("lo") - 1).alias("last"))
     plan = goal.join(edge.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").select("source", "source_size", "target", "whole", F.coalesce("last", F.lit(-1)).alias("last"))
-    out = _with_sources(rows, stage(plan, "plan"), n)
-    out = out.withColumn("copies", F.col("whole") + F.when(F.col("h") <= F.col("last"), 1).otherwise(0))
-    return out.select("doc_id", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"), *extra)
+    return stage(plan, "plan"), n
+
+
+def _copies() -> Column:
+    return F.col("whole") + F.when(F.col("h") <= F.col("last"), 1).otherwise(0)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, repeats: float = 2.0, salt: str = "") -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken of each row of docs."""
+    rows = stage(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), salt).alias("h")), "sized")
+    plan, n = mix_plan(rows, weights, share, repeats)
+    out = _with_sources(rows, plan, n).withColumn("copies", _copies())
+    return out.select("doc_id", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def take_copies(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, repeats: float = 2.0, salt: str = "") -> DataFrame:
+    """The mix itself: the rows of docs that are taken, as often as they are taken."""
+    rows = stage(docs.select("source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), salt).alias("h")), "sized")
+    plan, n = mix_plan(rows, weights, share, repeats)
+    named = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    out = _with_sources(docs.select(*named, "source", hash_of(F.col("doc_id"), salt).alias("h")), plan, n).withColumn("copies", _copies())
+    out = out.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

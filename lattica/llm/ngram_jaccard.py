@@ -263,7 +263,7 @@ def _candidate_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame, name
 
 
 def _narrow_sketch(s: np.ndarray) -> bytes:
-    bits = max(64, 1 << int(2 * len(s) - 1).bit_length())
+    bits = max(64, 1 << (8 * len(s) - 1).bit_length())
     return np.packbits((np.bincount((mix(s ^ np.uint64(7)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -273,8 +273,27 @@ def _fold(x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def _residual(members: DataFrame, w: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) across components of one key whose narrow sketches allow a link.
+def _forest(comp: list, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (distance, i, j), nearest first, those that join components not yet joined."""
+    parent = {c: c for c in comp}
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    kept = []
+    for h, i, j in sorted(found):
+        a, b = root(comp[i]), root(comp[j])
+        if a != b:
+            parent[a] = b
+            kept.append((h, i, j))
+    return kept
+
+
+def _residual(members: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """Pairs (a, b) across components of one key whose narrow sketches allow a link; with forest, those that would join them first.
 
     members: key, node, comp, n, sketch. Keys of many nodes are cut into blocks of about BLOCK nodes; each pair of blocks
     is a piece of work of its own, and only pairs that pass leave it.
@@ -285,20 +304,23 @@ def _residual(members: DataFrame, w: int, num: int, den: int) -> DataFrame:
 
     def work(rows):
         _, x, y, own, node, comp, n, sk = map(list, zip(*rows, strict=True))
+        names = comp
         n, comp, own, node = np.array(n), np.array(comp), np.array(own), np.array(node)
         sk = [np.frombuffer(v, np.uint64) for v in sk]
         by = np.array([len(v) for v in sk])
-        a_out, b_out = [], []
+        found = []
         for i in range(len(n)):
             j = np.flatnonzero((comp != comp[i]) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])) & (node > node[i]) & ((own != own[i]) | (x[0] == y[0])))
             for size in np.unique(by[j]):
                 k = j[by[j] == size]
                 m = min(size, by[i])
                 mine, theirs = _fold(sk[i], m), np.stack([_fold(sk[v], m) for v in k])
-                near = np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64) * (den + num) <= (den - num) * (n[k] + n[i])
-                a_out += [int(node[i])] * int(near.sum())
-                b_out += node[k[near]].tolist()
-        return a_out, b_out
+                far = np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64)
+                near = far * (den + num) <= (den - num) * (n[k] + n[i])
+                found += [(h, i, j) for h, j in zip(far[near].tolist(), k[near].tolist(), strict=True)]
+        if forest:
+            found = _forest(names, found)
+        return node[[i for _, i, _ in found]].tolist() if found else [], node[[j for _, _, j in found]].tolist() if found else []
 
     def run(batches):
         held, now = [], None
@@ -343,17 +365,20 @@ def jaccard_components(docs: DataFrame, w: int = 5, num: int = 4, den: int = 5)
     edges = stage(shared.select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct(), "edges")
     texts = stage(_candidate_texts(docs, classes, edges.select(F.col("a").alias("node")).union(edges.select("b")), "wanted"), "texts")
     sure = stage(_verified(edges, texts, w, num, den), "sure")
-    first = connected(sure.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    members = shared.select("key", F.col("pivot").alias("node")).union(shared.select("key", "member")).distinct()
-    members = members.join(first, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    open_keys = stage(members.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key"), "open")
-    members = stage(members.join(open_keys, "key").select("key", "node", "comp"), "members")
-    sketches = stage(_sketches(texts.join(members.select("node").distinct(), "node", "left_semi"), w), "sketches")
-    rest = _residual(members.join(sketches, "node"), w, num, den)
-    rest = stage(rest.join(edges, ["a", "b"], "left_anti"), "rest")
-    more = _verified(rest, texts, w, num, den)
-    every = connected(sure.union(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    every_member = shared.select("key", F.col("pivot").alias("node")).union(shared.select("key", "member")).distinct()
+    for forest in (True, False):  # first the likeliest links between components, then whatever pairs are left
+        joined = connected(sure.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        members = every_member.join(joined, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+        open_keys = stage(members.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key"), "open")
+        every_member = members = stage(members.join(open_keys, "key").select("key", "node", "comp"), "members")
+        if forest:
+            sketches = stage(_sketches(texts.join(members.select("node").distinct(), "node", "left_semi"), w), "sketches")
+        rest = _residual(members.join(sketches, "node"), num, den, forest)
+        rest = stage(rest.join(edges, ["a", "b"], "left_anti"), "rest")
+        sure = stage(sure.union(_verified(rest, texts, w, num, den)), "sure")
+        edges, every_member = edges.union(rest), every_member.select("key", "node")
+    every = connected(sure.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     named = classes.join(every, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
