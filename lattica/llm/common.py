@@ -18,15 +18,16 @@ P_SEQ = 0xD6E8FEB86659FD93
 CHUNK = 1 << 20
 
 _tables: dict[str, np.ndarray] = {}
+_own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own_dirs.get(app)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lattica-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/lattica-{spark.sparkContext.applicationId}"
+        found = _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="lattica-shared-")
+    return f"{found.rstrip('/')}/lattica-{app}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
