@@ -263,7 +263,7 @@ def _candidate_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame, name
 
 
 def _narrow_sketch(s: np.ndarray) -> bytes:
-    bits = max(64, 1 << (8 * len(s) - 1).bit_length())
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
     return np.packbits((np.bincount((mix(s ^ np.uint64(7)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
