@@ -200,8 +200,10 @@ class Quantiles:
 
     def plain_variance(self) -> Column:
         """Sample variance of the quantiles."""
-        m = self.plain_mean()
-        return _sum(F.transform(self.q, lambda v: (v - m) * (v - m))) / (self.n - 1)
+        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"))
+        first = self.at(0)  # sums about one of the values; a mean inside the lambda would be summed anew for each element
+        both = F.aggregate(self.q, zero, lambda a, v: F.struct((a["s"] + v - first).alias("s"), (a["ss"] + (v - first) * (v - first)).alias("ss")))
+        return F.greatest(F.lit(0.0), (both["ss"] - both["s"] * both["s"] / self.n) / (self.n - 1))
 
     def sample(self, u: Column) -> Column:
         return self.icdf(u)

@@ -51,7 +51,7 @@ class _Base:
 
     def _limit(self, df: DataFrame) -> DataFrame:
         """At most max_context rows, chosen by a seeded hash (a feature: the context's length is a parameter)."""
-        return df.orderBy(F.xxhash64(*df.columns, F.lit(self.settings.seed))).limit(self.settings.max_context)
+        return df.orderBy(F.xxhash64(*df.columns, F.lit(self.settings.seed))).limit(self.settings.max_context).cache()
 
     def _sides(self, query: DataFrame, norm: str, masked: set[str]) -> tuple[DataFrame, DataFrame]:
         names = [c for c in self.names if c not in masked] or self.names[:1]
@@ -105,12 +105,16 @@ class Classifier(_Base):
         k, s = len(self.classes), self.settings
         if k > s.max_classes:
             return self._grouped(query, masked, key)
-        parts = None
-        for m in self.members:
+        parts, chosen = None, [(m, 1.0) for m in self.members]
+        if getattr(s.predictor, "order_invariant", False):
+            first = {m.norm: m for m in reversed(self.members)}
+            chosen = [(m, sum(x.norm == n for x in self.members) * len(first) / len(self.members)) for n, m in first.items()]
+        for m, weight in chosen:
             context, q = self._sides(query, m.norm, masked)
             context = context.withColumn("y", ensemble.shuffle_label(F.col("y"), m.classes)) if m.classes else context
             logits = s.predictor.class_logits(context, q, k)
-            one = logits.select(key, (ensemble.unshuffle(F.col("logits"), m.classes) if m.classes else F.col("logits")).alias("logits"))
+            own = ensemble.unshuffle(F.col("logits"), m.classes) if m.classes else F.col("logits")
+            one = logits.select(key, F.transform(own, (lambda w: lambda v: v * w)(weight)).alias("logits"))
             parts = one if parts is None else parts.union(one)
         return ensemble.average_logits(parts, key, "logits", k, s.temperature).select(key, "proba")
 
@@ -172,9 +176,12 @@ class Regressor(_Base):
         """key and the asked outputs: mean, median, variance, raw_quantiles; q_<alpha> for each level of alphas."""
         q = self.predict_quantiles(df, key)
         n = self.settings.predictor.levels
-        sums = F.aggregate("quantiles", F.lit(0.0), lambda a, v: a + v) / n
+        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"))
+        add = lambda a, v: F.struct((a["s"] + v).alias("s"), (a["ss"] + (v - self.mean) * (v - self.mean)).alias("ss"))
+        both = F.aggregate("quantiles", zero, add)
+        sums, shift = both["s"] / n, both["s"] / n - self.mean
         at = lambda a: F.element_at("quantiles", max(1, min(n, round(a * (n + 1)))))
-        known = {"mean": sums, "median": at(0.5), "variance": F.aggregate(F.col("quantiles"), F.lit(0.0), lambda a, v: a + (v - sums) * (v - sums)) / (n - 1), "raw_quantiles": F.col("quantiles")}
+        known = {"mean": sums, "median": at(0.5), "variance": F.greatest(F.lit(0.0), (both["ss"] - n * shift * shift) / (n - 1)), "raw_quantiles": F.col("quantiles")}
         if unknown := [o for o in outputs if o not in known]:
             raise ValueError(f"unknown outputs {unknown}; known: {list(known)}")
         if bad := [a for a in alphas if not 0 <= a <= 1]:

@@ -52,6 +52,10 @@ def weighted_quantiles(y: np.ndarray, w: np.ndarray, levels: np.ndarray) -> np.n
 class KernelPredictor:
     """The default predictor. h: bandwidth, or None for the rule of thumb."""
 
+    #: Distances don't depend on the order of features, nor class weights on that of classes: views that differ by
+    #: permutations alone give the same scores and are scored once.
+    order_invariant = True
+
     def __init__(self, h: float | None = None, broadcast_cells: int = BROADCAST_CELLS, levels: int = LEVELS):
         self.h, self.broadcast_cells, self.levels = h, broadcast_cells, levels
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
@@ -159,31 +161,63 @@ def yeo_johnson(x: Column, lam: Column) -> Column:
     return F.when(x >= 0, pos).otherwise(neg)
 
 
+def _yeo_johnson_np(x: np.ndarray, lam: float) -> np.ndarray:
+    pos, neg = np.maximum(x, 0.0), np.minimum(x, 0.0)
+    up = np.log1p(pos) if abs(lam) < 1e-9 else ((pos + 1) ** lam - 1) / lam
+    down = -np.log1p(-neg) if abs(lam - 2) < 1e-9 else -((1 - neg) ** (2 - lam) - 1) / (2 - lam)
+    return np.where(x >= 0, up, down)
+
+
 class Power(Stage):
-    """Yeo-Johnson with the likeliest exponent, then standardised. Exponents are searched on a grid that narrows in a few
-    rounds; a round evaluates all exponents of all columns in one aggregate."""
+    """Yeo-Johnson with the likeliest exponent, then standardised.
+
+    Exponents are searched on a grid that narrows in a few rounds. A round is one pass: every task sends the moments of
+    its rows for all columns and exponents (so many aggregates would outgrow one generated method), and they are merged.
+    """
 
     def __init__(self, low: float = -4.0, high: float = 6.0, points: int = 9, rounds: int = 5):
         self.low, self.high, self.points, self.rounds = low, high, points, rounds
 
+    def _moments(self, df: DataFrame, grid: list[list[float]]) -> dict[tuple[int, int], tuple[float, float, float, float]]:
+        """By (column, exponent): count, mean, population variance, and the sum of sign(x) ln(1 + |x|)."""
+        columns = self.columns
+
+        def run(batches):
+            rows: dict[tuple[int, int], list[float]] = {}
+            for b in batches:
+                for i, c in enumerate(columns):
+                    x = b.column(c).to_numpy(zero_copy_only=False).astype(float)
+                    x = x[np.isfinite(x)]
+                    if not len(x):
+                        continue
+                    slope = float((np.sign(x) * np.log1p(np.abs(x))).sum())
+                    for k, lam in enumerate(grid[i]):
+                        v = _yeo_johnson_np(x, lam)
+                        n, m, m2, s = rows.get((i, k), (0.0, 0.0, 0.0, 0.0))
+                        delta, total = v.mean() - m, n + len(v)
+                        rows[i, k] = [total, m + delta * len(v) / total, m2 + ((v - v.mean()) ** 2).sum() + delta * delta * n * len(v) / total, s + slope]
+            if rows:
+                keys = list(rows)
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), *(pa.array([float(rows[k][j]) for k in keys]) for j in range(4))], names=["i", "k", "n", "m", "m2", "s"])
+
+        sent = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).mapInArrow(run, "i int, k int, n double, m double, m2 double, s double")
+        # merged in SQL: the mean of means by count, and variances about it
+        one = sent.groupBy("i", "k").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("nm"), F.sum(F.col("m2") + F.col("n") * F.col("m") * F.col("m")).alias("sq"), F.sum("s").alias("s"))
+        return {(r["i"], r["k"]): (r["n"], r["nm"] / r["n"], max(0.0, r["sq"] / r["n"] - (r["nm"] / r["n"]) ** 2), r["s"]) for r in one.collect()}
+
     def fit(self, df: DataFrame, columns: list[str]) -> Power:
-        span = dict.fromkeys(columns, (self.low, self.high))
+        self.columns = list(columns)
+        span = [(self.low, self.high)] * len(columns)
         for _ in range(self.rounds):
-            grid = {c: [a + (b - a) * k / (self.points - 1) for k in range(self.points)] for c, (a, b) in span.items()}
-            aggs = {}
-            for i, c in enumerate(columns):
-                x = F.col(c)
-                aggs[f"n{i}"], aggs[f"l{i}"] = F.count(c), F.sum(F.signum(x) * F.log1p(F.abs(x)))
-                for k, lam in enumerate(grid[c]):
-                    aggs[f"v{i}_{k}"] = F.var_pop(yeo_johnson(x, F.lit(lam)))
-            got = _one(df, **aggs)
-            for i, c in enumerate(columns):
-                like = [-got[f"n{i}"] / 2 * _log(got[f"v{i}_{k}"]) + (lam - 1) * (got[f"l{i}"] or 0.0) for k, lam in enumerate(grid[c])]
+            grid = [[a + (b - a) * k / (self.points - 1) for k in range(self.points)] for a, b in span]
+            got = self._moments(df, grid)
+            for i, g in enumerate(grid):
+                like = [-got[i, k][0] / 2 * _log(got[i, k][2]) + (lam - 1) * got[i, k][3] if (i, k) in got else -abs(lam - 1) for k, lam in enumerate(g)]
                 best = max(range(self.points), key=lambda k: like[k])
-                span[c] = grid[c][max(0, best - 1)], grid[c][min(self.points - 1, best + 1)]
-        self.columns, self.lambdas = list(columns), {c: (a + b) / 2 for c, (a, b) in span.items()}
-        got = _one(df, **{f"m{i}": F.avg(yeo_johnson(F.col(c), F.lit(self.lambdas[c]))) for i, c in enumerate(columns)}, **{f"s{i}": F.stddev_pop(yeo_johnson(F.col(c), F.lit(self.lambdas[c]))) for i, c in enumerate(columns)})
-        self.stats = {c: (got[f"m{i}"], got[f"s{i}"] or 1.0) for i, c in enumerate(columns)}
+                span[i] = g[max(0, best - 1)], g[min(self.points - 1, best + 1)]
+        self.lambdas = {c: (a + b) / 2 for c, (a, b) in zip(columns, span, strict=True)}
+        got = self._moments(df, [[self.lambdas[c]] for c in columns])
+        self.stats = {c: (got[i, 0][1], got[i, 0][2] ** 0.5 or 1.0) if (i, 0) in got else (0.0, 1.0) for i, c in enumerate(columns)}
         return self
 
     def column(self, c: str, x: Column | None = None) -> Column:

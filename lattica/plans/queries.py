@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import arrays as A, metrics
 from ..functions.calendar import PERIODS, calendar_features, fourier_features
 from ..functions.quantiles import Quantiles, cummax_quantiles
-from ..operators import ensemble, forecast, preprocess
+from ..operators import ensemble, explain, forecast, preprocess, synthetic, tuning
+from ..operators.estimators import Classifier, Regressor, multi_target
 from ..operators.panel import Panel
-from ..operators.predictor import bandwidth, sql_class_weights
+from ..operators.predictor import KernelPredictor, bandwidth, sql_class_weights
+from ..operators.unsupervised import Unsupervised
 from ..sources.panels import from_arrays
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -677,3 +679,145 @@ def accuracy(spark, sf):
 def pinball_loss(spark, sf):
     df = table(spark, sf, "part").select(F.col("p_retailprice").alias("y"), F.lit(1500.0).alias("pred"))
     return metrics.pinball_loss(df, 0.9).select(F.round("pinball", 6).alias("pinball"))
+
+
+# -- models; those without SQL are tested against NumPy
+
+
+def _part(spark, sf) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", "p_size", "p_type", "p_brand", "p_retailprice")
+
+
+@query()
+def classify(spark, sf):
+    """Class probabilities of held-out vectors from the others."""
+    cols = [f"f{i}" for i in range(8)]
+    df = table(spark, sf, "embeddings").select("vec_id", "label", *(F.element_at("embedding", i + 1).cast("double").alias(c) for i, c in enumerate(cols)))
+    model = Classifier(n_estimators=4).fit(df.where("vec_id % 5 <> 0"), "label", cols)
+    return model.predict(df.where("vec_id % 5 = 0"), "vec_id")
+
+
+@query()
+def classify_many(spark, sf):
+    """25 brands through a tree of groups."""
+    df = _part(spark, sf)
+    model = Classifier(n_estimators=2).fit(df.where("p_partkey % 5 <> 0").drop("p_partkey"), "p_brand")
+    return model.predict(df.where("p_partkey % 5 = 0").drop("p_brand"), "p_partkey")
+
+
+@query()
+def regress(spark, sf):
+    """Mean, median and quantiles of part prices."""
+    df = _part(spark, sf)
+    model = Regressor(n_estimators=2).fit(df.where("p_partkey % 5 <> 0"), "p_retailprice", ["p_size", "p_type", "p_brand"])
+    return model.predict(df.where("p_partkey % 5 = 0"), "p_partkey", ("mean", "median", "variance"), (0.1, 0.9))
+
+
+@query()
+def regress_two_targets(spark, sf):
+    df = table(spark, sf, "lineitem").where("l_orderkey % 10 = 0").withColumn("row_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    context, late = df.where("l_orderkey % 50 <> 0"), df.where("l_orderkey % 50 = 0")
+    return multi_target(lambda: Regressor(n_estimators=1, max_context=1000), context, ["l_extendedprice", "l_tax"], ["l_quantity", "l_discount"], late, "row_id")
+
+
+@query()
+def forecast_daily(spark, sf):
+    """Seven days ahead for every user's daily mean."""
+    p = events(spark, sf)
+    daily = p.with_df(p.df.drop("event_id")).convert_frequency("D", "mean").fill_missing("auto")
+    df = daily.df.select(F.col("user_id").alias("item_id"), F.col("ts").alias("timestamp"), "target")
+    return forecast.Forecaster().predict_df(df, prediction_length=7, freq="D")
+
+
+@query()
+def detect_seasons(spark, sf):
+    """Detected periods of every user's hourly counts."""
+    p = events(spark, sf)
+    hourly = p.with_df(p.df.drop("event_id")).convert_frequency("6h", "sum").assign(is_context=F.lit(True))
+    return forecast.AutoPeriodicEncoder().periods(hourly, "target")
+
+
+@query()
+def power_transform(spark, sf):
+    df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return preprocess.Power().fit(df, ["l_extendedprice"]).transform(df)
+
+
+@query()
+def quantile_normal(spark, sf):
+    df = table(spark, sf, "part").select("p_partkey", "p_retailprice")
+    return preprocess.QuantileNormal().fit(df, ["p_retailprice"]).transform(df)
+
+
+@query()
+def full_pipeline(spark, sf):
+    df = _outlying(spark, sf)
+    return preprocess.Pipeline("power").fit(df, ["x"]).transform(df)
+
+
+def _numbers(spark, sf) -> DataFrame:
+    df = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice", (F.col("p_partkey") % 4).cast("double").alias("grp"))
+    return df.withColumn("p_retailprice", F.when(F.col("p_partkey") % 11 != 0, F.col("p_retailprice")))
+
+
+@query()
+def impute_chain(spark, sf):
+    df = _numbers(spark, sf)
+    return Unsupervised().fit(df, ["p_size", "p_retailprice", "grp"]).impute(df)
+
+
+@query()
+def outlier_density(spark, sf):
+    df = _numbers(spark, sf)
+    return Unsupervised().fit(df, ["p_size", "p_retailprice", "grp"]).score_samples(df, 3)
+
+
+@query()
+def generate_rows(spark, sf):
+    return Unsupervised().fit(_numbers(spark, sf), ["p_size", "p_retailprice", "grp"]).generate(spark, 200)
+
+
+@query("WITH m AS (SELECT avg(p_size) AS a, avg(p_retailprice) AS b FROM part) SELECT p_partkey, 'p_size' AS feature, round(3.0 * (p_size - a), 6) + 0.0 AS phi FROM part, m UNION ALL SELECT p_partkey, 'p_retailprice', round(-0.5 * (p_retailprice - b), 6) + 0.0 FROM part, m")
+def shapley_additive(spark, sf):
+    got = explain.additive_shapley(table(spark, sf, "part"), "p_partkey", {"p_size": 3.0, "p_retailprice": -0.5})
+    return got.select("p_partkey", "feature", r6("phi").alias("phi"))
+
+
+@query()
+def shapley_kernel(spark, sf):
+    df = _numbers(spark, sf)
+    return explain.KernelExplainer(df, ["p_size", "grp"], "p_retailprice").shapley(df, "p_partkey")
+
+
+@query()
+def shapley_interactions(spark, sf):
+    df = _numbers(spark, sf)
+    return explain.KernelExplainer(df, ["p_size", "grp"], "p_retailprice").interactions(df, "p_partkey")
+
+
+@query()
+def synthetic_graph(spark, sf):
+    return synthetic.datasets(spark, 8, 64, 5, 3, prior="graph")
+
+
+@query()
+def synthetic_layers(spark, sf):
+    return synthetic.datasets(spark, 8, 64, 5, prior="mlp").union(synthetic.datasets(spark, 4, 64, 5, prior="tree"))
+
+
+@query()
+def tune_split(spark, sf):
+    """Stratified context and query rows in chunks."""
+    df = table(spark, sf, "labels").select("doc_id", "quality")
+    return tuning.split(tuning.assign_chunks(df, "doc_id", 200), "doc_id", by="quality")
+
+
+@query(
+    """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS f FROM embeddings WHERE vec_id < 500)
+SELECT q.vec_id, round(ln(sum(CASE WHEN c.label = 0 THEN exp(-(list_dot_product(q.f, q.f) + list_dot_product(c.f, c.f) - 2 * list_dot_product(q.f, c.f)) / (2 * 0.25 * 64)) ELSE 0 END) + 1e-9), 6) + 0.0 AS logit FROM v q, v c WHERE q.vec_id % 5 = 0 AND c.vec_id % 5 <> 0 GROUP BY q.vec_id"""
+)
+def kernel_logits(spark, sf):
+    """The predictor's logit of class 0 for every fifth vector, bandwidth 0.5."""
+    df = table(spark, sf, "embeddings").where("vec_id < 500").select("vec_id", F.col("label").alias("y"), F.transform("embedding", lambda v: v.cast("double")).alias("features"))
+    out = KernelPredictor(0.5).class_logits(df.where("vec_id % 5 <> 0"), df.where("vec_id % 5 = 0"), 10)
+    return out.select("vec_id", r6(F.element_at("logits", 1)).alias("logit"))
