@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Field:
 
     def run(batches):
         for b in batches:
-            for row, data, off in pieces(b.column("raw")):
+            for row, data, off in pieces(b.column("raw"), 1 << 19):
                 x, _, lines = line_features(data, off)
                 x = with_neighbours(x, lines)
                 blobs = [x[a:c].tobytes() for a, c in zip(lines[:-1], lines[1:], strict=True)]
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: Field, keep: list[str] | None = None) -> DataF
 
     def run(batches):
         for b in batches:
-            for row, data, off in pieces(b.column("raw"), 1 << 21):
+            for row, data, off in pieces(b.column("raw"), 1 << 19):
                 s = np.clip(model.score(data, off), 0.0, 1.0)
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(row, len(s)) for c in names), pa.array(s)], names=[*names, "score"])
 
