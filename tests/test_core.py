@@ -269,7 +269,7 @@ def test_tuning(spark):
 def test_streams(spark, tmp_path):
     rows = [("a", f"2024-01-01 0{h}:{m:02d}:00", float(h)) for h in range(3) for m in (0, 30)] + [("b", "2024-01-01 00:10:00", 5.0)]
     df = spark.createDataFrame(rows, "item_id string, timestamp string, target double").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    streams.write_batches(df, f"{tmp_path}/in", {"rows": len(rows)})
+    streams.write_batches(df.coalesce(1), f"{tmp_path}/in", {"rows": len(rows)})
     schema = "item_id string, timestamp timestamp, target double"
 
     def run(make, mode, name):
