@@ -3,7 +3,8 @@
 A text's set is its distinct w-word shingles (hashed to 64 bits). Each set is drawn as a parity sketch: a very wide bit
 vector in which every shingle flips one bit, so the Hamming distance of two sketches never exceeds the size of the
 symmetric difference. For sizes up to `hi` and a similarity of t, that difference is at most d = 2*hi*(1-t)/(1+t); with
-the sketch cut into d + 1 + SPARE blocks, two sets that link agree on at least 1 + SPARE whole blocks (pigeonhole).
+the sketch cut into d + 1 + s blocks, two sets that link agree on at least 1 + s whole blocks (pigeonhole), so that each
+may leave out its s lightest ones.
 Blocks are joined per size band; agreeing sets are candidates, and every candidate is verified on its real shingles.
 
 Shape of the work, for sets A, B, ... of one block value ("bucket"):
@@ -28,12 +29,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import P_BYTE, P_SEQ, buffers, connected, doc_words, mix, pieces, stage
 
-#: Blocks beyond the pigeonhole's d + 1: up to this many light blocks of a set need not be joined.
-SPARE = 2
+#: Blocks beyond the pigeonhole's d + 1: 2 and this share of d. A set leaves out as many of its lightest blocks.
+SPARE = 0.25
 #: Growth of the size bands.
-RATIO = 1.5
+RATIO = 1.25
 #: Entries a map task gathers before it sends them on.
 FLUSH = 1_500_000
+#: Bits of the narrow sketches that pairs are tried on before their texts are.
+SKETCH = 1024
 #: Sets of one bucket that are compared in one piece of work.
 BLOCK = 512
 #: A list of candidate ids of at most this many is broadcast (8 bytes each); a longer one is joined by shuffle.
@@ -72,13 +75,17 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(both[0]), int(both[1])
 
 
+def spare(d: int) -> int:
+    return 2 + int(SPARE * d)
+
+
 def bands(num: int, den: int, most: int) -> list[tuple[int, int, int]]:
     """(lowest size, highest size, blocks) of each band; 0 blocks where only equal sets can link."""
     out, lo = [], 1
     while lo <= most:
         hi = max(lo + 1, int(lo * RATIO))
         d = 2 * hi * (den - num) // (den + num)
-        out.append((lo, hi, d + 1 + SPARE if d else 0))
+        out.append((lo, hi, d + 1 + spare(d) if d else 0))
         lo = hi + 1
     return out
 
@@ -98,11 +105,10 @@ def block_keys(s: np.ndarray, num: int, den: int, table: list[tuple[int, int, in
         value = np.zeros(k, np.uint64)
         value[full] = np.bitwise_xor.reduceat(mix(s[order]), (np.cumsum(count) - count)[full])
         keys = mix(value + np.uint64((i + 1) * P_BYTE % (1 << 64)) + np.arange(k, dtype=np.uint64) * np.uint64(P_SEQ))
-        light = count <= 1  # equal blocks have equal counts, so both sets leave out the same ones
-        if light.sum() > SPARE:
-            light = count == 0
-        if light.sum() <= SPARE:
-            keys = keys[~light]
+        # the lightest blocks go: all of at most c shingles, c the largest for which these are no more than the spare ones.
+        # Of the blocks on which two sets agree, those that either leaves out are then at most the spare ones too.
+        lost = np.cumsum(np.bincount(count)) <= spare(2 * table[i][1] * (den - num) // (den + num))
+        keys = keys[count >= int(lost.sum())]
         found.append(keys)
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
@@ -120,7 +126,7 @@ def stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key[new], node[new], key[~new], pivot[~new], node[~new]
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("sketch", pa.binary())])
 _ENTRIES = pa.schema([("shard", pa.int32()), ("blob", pa.binary()), ("key", pa.int64()), ("pivot", pa.int64()), ("member", pa.int64())])
 
 
@@ -139,14 +145,14 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def set_table(docs: DataFrame, w: int) -> DataFrame:
-    """doc_id, n (set size), d1 and d2 (digest; null for empty sets) of each row."""
+    """doc_id, n (set size), d1 and d2 (digest) and a narrow parity sketch of each row; the last three are null for empty sets."""
 
     def run(batches):
         for b, row, sets in _each_set(batches, w):
             d = [digest(s) if len(s) else (None, None) for s in sets]
-            yield _batch(_SETS, b.column("doc_id").slice(row, len(sets)), [len(s) for s in sets], [x[0] for x in d], [x[1] for x in d])
+            yield _batch(_SETS, b.column("doc_id").slice(row, len(sets)), [len(s) for s in sets], [x[0] for x in d], [x[1] for x in d], [narrow_sketch(s) if len(s) else None for s in sets])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
+    return _texts(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary")
 
 
 def _entries(docs: DataFrame, w: int, num: int, den: int, shards: int) -> DataFrame:
@@ -262,15 +268,25 @@ def _candidate_texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame, name
     return found.select("node", "raw").dropDuplicates(["node"])
 
 
-def _narrow_sketch(s: np.ndarray) -> bytes:
-    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
-    return np.packbits((np.bincount((mix(s ^ np.uint64(7)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+def narrow_sketch(s: np.ndarray) -> bytes:
+    """Parity sketch of SKETCH bits: its Hamming distance to another set's is at most the size of the symmetric difference."""
+    return np.packbits((np.bincount((mix(s ^ np.uint64(7)) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8), bitorder="little").tobytes()
+
 
+def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b), those whose sizes and narrow sketches allow a link."""
 
-def _fold(x: np.ndarray, size: int) -> np.ndarray:
-    while len(x) > size:
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return x
+    def run(batches):
+        for x in batches:
+            n, m = np.asarray(x.column("na")), np.asarray(x.column("nb"))
+            one, two = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint64).reshape(x.num_rows, -1) if x.num_rows else np.zeros((0, 1), np.uint64) for c in ("sa", "sb"))
+            far = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
+            ok = (far * (den + num) <= (den - num) * (n + m)) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
+            yield x.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
+    return met.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _forest(comp: list, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -306,18 +322,13 @@ def _residual(members: DataFrame, num: int, den: int, forest: bool) -> DataFrame
         _, x, y, own, node, comp, n, sk = map(list, zip(*rows, strict=True))
         names = comp
         n, comp, own, node = np.array(n), np.array(comp), np.array(own), np.array(node)
-        sk = [np.frombuffer(v, np.uint64) for v in sk]
-        by = np.array([len(v) for v in sk])
+        sk = np.stack([np.frombuffer(v, np.uint64) for v in sk])
         found = []
         for i in range(len(n)):
             j = np.flatnonzero((comp != comp[i]) & (den * np.minimum(n, n[i]) >= num * np.maximum(n, n[i])) & (node > node[i]) & ((own != own[i]) | (x[0] == y[0])))
-            for size in np.unique(by[j]):
-                k = j[by[j] == size]
-                m = min(size, by[i])
-                mine, theirs = _fold(sk[i], m), np.stack([_fold(sk[v], m) for v in k])
-                far = np.bitwise_count(theirs ^ mine).sum(axis=1, dtype=np.int64)
-                near = far * (den + num) <= (den - num) * (n[k] + n[i])
-                found += [(h, i, j) for h, j in zip(far[near].tolist(), k[near].tolist(), strict=True)]
+            far = np.bitwise_count(sk[j] ^ sk[i]).sum(axis=1, dtype=np.int64)
+            near = far * (den + num) <= (den - num) * (n[j] + n[i])
+            found += [(h, i, k) for h, k in zip(far[near].tolist(), j[near].tolist(), strict=True)]
         if forest:
             found = _forest(names, found)
         return node[[i for _, i, _ in found]].tolist() if found else [], node[[j for _, _, j in found]].tolist() if found else []
@@ -341,43 +352,35 @@ def _residual(members: DataFrame, num: int, den: int, forest: bool) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _sketches(texts: DataFrame, w: int) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            for row, data, off in pieces(b.column("raw")):
-                sets = shingle_sets(data, off, w)
-                yield pa.RecordBatch.from_arrays([b.column("node").slice(row, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_narrow_sketch(s) for s in sets], pa.binary())], names=["node", "n", "sketch"])
-
-    return texts.mapInArrow(run, "node long, n long, sketch binary")
-
-
 def jaccard_components(docs: DataFrame, w: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links of similarity num/den or more), one row a row of docs."""
     spark = docs.sparkSession
     sets = stage(set_table(docs, w), "sets")
     full = sets.where("n > 0")
-    classes = stage(full.groupBy("d1").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")).withColumnRenamed("d1", "node"), "classes")
+    classes = stage(full.groupBy("d1").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")).withColumnRenamed("d1", "node"), "classes")
     total = full.agg(F.sum("n")).first()[0] or 0
     shards = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 4_000_000 + 1)
 
     reduced, packed = _shared(docs, w, num, den, shards)
     shared = stage(reduced.union(packed.where("blob is null").select("key", "pivot", "member")), "shared")
-    edges = stage(shared.select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct(), "edges")
-    texts = stage(_candidate_texts(docs, classes, edges.select(F.col("a").alias("node")).union(edges.select("b")), "wanted"), "texts")
-    sure = stage(_verified(edges, texts, w, num, den), "sure")
+    tried = stage(shared.select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct(), "tried")
+    near = stage(_near(tried, classes, num, den), "near")
+    texts = stage(_candidate_texts(docs, classes, near.select(F.col("a").alias("node")).union(near.select("b")), "wanted"), "texts")
+    sure = stage(_verified(near, texts, w, num, den), "sure")
 
+    # buckets of two hold no pair but their star's; of buckets with the same members one is enough
     every_member = shared.select("key", F.col("pivot").alias("node")).union(shared.select("key", "member")).distinct()
     for forest in (True, False):  # first the likeliest links between components, then whatever pairs are left
         joined = connected(sure.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        members = every_member.join(joined, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-        open_keys = stage(members.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key"), "open")
-        every_member = members = stage(members.join(open_keys, "key").select("key", "node", "comp"), "members")
-        if forest:
-            sketches = stage(_sketches(texts.join(members.select("node").distinct(), "node", "left_semi"), w), "sketches")
-        rest = _residual(members.join(sketches, "node"), num, den, forest)
-        rest = stage(rest.join(edges, ["a", "b"], "left_anti"), "rest")
-        sure = stage(sure.union(_verified(rest, texts, w, num, den)), "sure")
-        edges, every_member = edges.union(rest), every_member.select("key", "node")
+        members = every_member.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+        own = members.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1))).alias("s"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+        open_keys = stage(own.where("m > 2 and c1 <> c2").groupBy("m", "x", "s").agg(F.min("key").alias("key")).select("key"), "open")
+        members = stage(members.join(open_keys, "key"), "members")
+        rest = _residual(members.join(classes.select("node", "n", "sketch"), "node"), num, den, forest)
+        rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+        late = stage(_candidate_texts(docs, classes, rest.select(F.col("a").alias("node")).union(rest.select("b")), "wanted"), "texts")
+        sure = stage(sure.union(_verified(rest, late, w, num, den)), "sure")
+        tried, every_member = tried.union(rest), members.select("key", "node")
     every = connected(sure.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     named = classes.join(every, "node", "left").withColumn("comp", F.coalesce("component", "node"))
