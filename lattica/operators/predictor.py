@@ -21,6 +21,8 @@ EPS = 1e-9
 BROADCAST_CELLS = 8_000_000
 #: Quantiles that a regression returns inside.
 LEVELS = 999
+#: Weights (queries x context rows) that a worker holds at once: 16 MB.
+CHUNK_CELLS = 2_000_000
 
 
 class ContextPredictor(Protocol):
@@ -35,6 +37,16 @@ def bandwidth(n: int, d: int) -> float:
     return max(n, 1) ** (-1.0 / (d + 4))
 
 
+def chunk(n: int) -> int:
+    """Query rows to score at once against n context rows."""
+    return max(1, min(1024, CHUNK_CELLS // max(n, 1)))
+
+
+def weigh(v: np.ndarray, x: np.ndarray, h: float, d: int) -> np.ndarray:
+    """Kernel weights of query rows v against context rows x."""
+    return np.exp(-np.maximum((v * v).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * v @ x.T, 0.0) / (2 * h * h * d))
+
+
 def kernel_weight(a: Column, b: Column, h: float, d: int) -> Column:
     """The kernel as a column expression over two feature arrays."""
     dist = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
@@ -70,25 +82,29 @@ class KernelPredictor:
 
     def class_logits(self, context: DataFrame, query: DataFrame, n_classes: int) -> DataFrame:
         """query with `logits`. context: features, y (class number)."""
+        sums = self.class_sums(context, query, n_classes)
+        return sums.select(*query.columns, F.transform("sums", lambda v: F.log(v + EPS)).alias("logits"))
+
+    def class_sums(self, context: DataFrame, query: DataFrame, n_classes: int) -> DataFrame:
+        """query with `sums`: the weight of every class. context: features, y (class number)."""
         n, d = self._size(context)
         h = self.h or bandwidth(n, d)
         if n * d > self.broadcast_cells:
-            return self._tiled_logits(context, query, n_classes, h, d, n)
+            return self._tiled_sums(context, query, n_classes, h, d, n)
         x, y = self._arrays(context, "y")
         one_hot = np.eye(n_classes)[y.astype(int)] if len(y) else np.zeros((0, n_classes))
 
         @F.pandas_udf("array<double>")
         def score(q: pd.Series) -> pd.Series:
-            out = []
-            for at in range(0, len(q), 1024):
-                v = np.stack(q.iloc[at : at + 1024].map(np.asarray))
-                dist = np.maximum((v * v).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * v @ x.T, 0.0)
-                out += list(np.log(np.exp(-dist / (2 * h * h * d)) @ one_hot + EPS))
+            out, step = [], chunk(len(x))
+            for at in range(0, len(q), step):
+                v = np.stack(q.iloc[at : at + step].map(np.asarray))
+                out += list(weigh(v, x, h, d) @ one_hot)
             return pd.Series(out)
 
-        return query.withColumn("logits", score("features"))
+        return query.withColumn("sums", score("features"))
 
-    def _tiled_logits(self, context: DataFrame, query: DataFrame, n_classes: int, h: float, d: int, n: int) -> DataFrame:
+    def _tiled_sums(self, context: DataFrame, query: DataFrame, n_classes: int, h: float, d: int, n: int) -> DataFrame:
         """Large contexts: each query row is copied to every context tile; a tile is one group of at most broadcast_cells numbers."""
         tiles = math.ceil(n * d / self.broadcast_cells)
         names = query.columns
@@ -102,17 +118,16 @@ class KernelPredictor:
             if not len(q) or not len(c):
                 return pd.DataFrame({"__q": [], "sums": []})
             x, hot = np.stack(c["features"].map(np.asarray)), np.eye(n_classes)[c["y"].to_numpy().astype(int)]
-            sums = []
-            for at in range(0, len(q), 1024):
-                v = np.stack(q["features"].iloc[at : at + 1024].map(np.asarray))
-                dist = np.maximum((v * v).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * v @ x.T, 0.0)
-                sums += list(np.exp(-dist / (2 * h * h * d)) @ hot)
+            sums, step = [], chunk(len(x))
+            for at in range(0, len(q), step):
+                v = np.stack(q["features"].iloc[at : at + step].map(np.asarray))
+                sums += list(weigh(v, x, h, d) @ hot)
             return pd.DataFrame({"__q": q["__q"].to_numpy(), "sums": sums})
 
         met = sent.groupBy("__tile", "__part").cogroup(held.groupBy("__tile", "__part")).applyInPandas(add, "__q long, sums array<double>")
         sums = met.groupBy("__q").agg(*(F.sum(F.element_at("sums", k + 1)).alias(f"s{k}") for k in range(n_classes)))
         out = tagged.join(sums, "__q", "left")
-        return out.select(*names, F.array(*(F.log(F.coalesce(F.col(f"s{k}"), F.lit(0.0)) + EPS) for k in range(n_classes))).alias("logits"))
+        return out.select(*names, F.array(*(F.coalesce(F.col(f"s{k}"), F.lit(0.0)) for k in range(n_classes))).alias("sums"))
 
     def quantiles(self, context: DataFrame, query: DataFrame) -> DataFrame:
         """query with `quantiles`: LEVELS quantiles of y. The context is broadcast; larger ones are cut to a hash sample by the caller."""

@@ -13,7 +13,7 @@ from ..functions.quantiles import Quantiles, cummax_quantiles
 from ..operators import ensemble, explain, forecast, preprocess, synthetic, tuning
 from ..operators.estimators import Classifier, Regressor, multi_target
 from ..operators.panel import Panel
-from ..operators.predictor import KernelPredictor, bandwidth, sql_class_weights
+from ..operators.predictor import KernelPredictor, bandwidth
 from ..operators.unsupervised import Unsupervised
 from ..sources.panels import from_arrays
 
@@ -568,11 +568,13 @@ _H = bandwidth(400, 64)
 SELECT row_id, class, round(sum(exp(-(list_dot_product(q.f, q.f) + list_dot_product(c.f, c.f) - 2 * list_dot_product(q.f, c.f)) / (2 * {_H!r} * {_H!r} * 64))), 5) + 0.0 AS weight FROM q, c GROUP BY row_id, class"""
 )
 def kernel_class_weights(spark, sf):
-    """Weight of every class for 100 query vectors from 320 context vectors."""
-    df = table(spark, sf, "embeddings").withColumn("features", F.transform("embedding", lambda v: v.cast("double")))
-    context = df.where("vec_id < 400 and vec_id % 5 <> 0").select("features", F.col("label").alias("y"))
-    got = sql_class_weights(context, df.where("vec_id % 5 = 0 and vec_id < 500").select(F.col("vec_id").alias("row_id"), "features"), _H, 64)
-    return got.select("row_id", "class", (F.round("weight", 5) + 0.0).alias("weight"))
+    """Weight of every class for every fifth vector, from all the others. The SQL reads vec_id < 500 only, with 320 context rows."""
+    df = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("y"), F.transform("embedding", lambda v: v.cast("double")).alias("features"))
+    context = df.where("vec_id % 5 <> 0")
+    classes, code = preprocess.encode_labels(context, "y")
+    got = KernelPredictor().class_sums(context.withColumn("y", code), df.where("vec_id % 5 = 0").select(F.col("vec_id").alias("row_id"), "features"), len(classes))
+    each = got.select("row_id", F.explode(F.arrays_zip(F.lit(classes).alias("class"), F.col("sums").alias("weight"))).alias("s"))
+    return each.select("row_id", "s.class", (F.round("s.weight", 5) + 0.0).alias("weight"))
 
 
 # -- quantile distributions
@@ -817,7 +819,7 @@ def tune_split(spark, sf):
 SELECT q.vec_id, round(ln(sum(CASE WHEN c.label = 0 THEN exp(-(list_dot_product(q.f, q.f) + list_dot_product(c.f, c.f) - 2 * list_dot_product(q.f, c.f)) / (2 * 0.25 * 64)) ELSE 0 END) + 1e-9), 6) + 0.0 AS logit FROM v q, v c WHERE q.vec_id % 5 = 0 AND c.vec_id % 5 <> 0 GROUP BY q.vec_id"""
 )
 def kernel_logits(spark, sf):
-    """The predictor's logit of class 0 for every fifth vector, bandwidth 0.5."""
-    df = table(spark, sf, "embeddings").where("vec_id < 500").select("vec_id", F.col("label").alias("y"), F.transform("embedding", lambda v: v.cast("double")).alias("features"))
+    """The predictor's logit of class 0 for every fifth vector, bandwidth 0.5. The SQL reads vec_id < 500 only."""
+    df = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("y"), F.transform("embedding", lambda v: v.cast("double")).alias("features"))
     out = KernelPredictor(0.5).class_logits(df.where("vec_id % 5 <> 0"), df.where("vec_id % 5 = 0"), 10)
     return out.select("vec_id", r6(F.element_at("logits", 1)).alias("logit"))

@@ -175,6 +175,22 @@ def test_tiled_context_equals_broadcast(spark):
     assert all(np.allclose(one[i], two[i]) for i in one) and len(two) == 20
 
 
+def test_kernel_queries_read_every_vector(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    n = 900
+    x, y = rng.normal(size=(n, 64)).astype(np.float32), rng.integers(0, 3, n)
+    rows = [(i, [float(v) for v in x[i]], int(y[i])) for i in range(n)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    x, late = x.astype(float), np.arange(n) % 5 == 0
+    dist = ((x[late][:, None] - x[~late][None]) ** 2).sum(axis=2)
+    hot, h = np.eye(3)[y[~late]], 720 ** (-1 / 68)
+    weight, logit = np.exp(-dist / (2 * h * h * 64)) @ hot, np.log(np.exp(-dist / (2 * 0.25 * 64)) @ hot[:, 0] + 1e-9)
+    got = plans.QUERIES["kernel_class_weights"](spark, str(tmp_path)).toPandas().pivot(index="row_id", columns="class", values="weight").sort_index()
+    assert list(got.index) == list(range(0, n, 5)) and np.allclose(got.to_numpy(), weight, atol=1e-5)
+    got = plans.QUERIES["kernel_logits"](spark, str(tmp_path)).toPandas().sort_values("vec_id")
+    assert list(got.vec_id) == list(range(0, n, 5)) and np.allclose(got.logit, logit, atol=2e-6)
+
+
 def test_estimators(spark, tmp_path):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(120, 2))
