@@ -25,7 +25,7 @@ class Settings:
     class_shuffle: str = "shift"
     outlier_threshold: float = 4.0
     temperature: float = 0.9
-    max_context: int = 4096
+    max_context: int | None = 4096
     max_classes: int = 10
     seed: int = 42
     predictor: ContextPredictor = field(default_factory=KernelPredictor, repr=False)
@@ -50,7 +50,9 @@ class _Base:
         return self.context
 
     def _limit(self, df: DataFrame) -> DataFrame:
-        """At most max_context rows, chosen by a seeded hash (a feature: the context's length is a parameter)."""
+        """At most max_context rows, chosen by a seeded hash (a feature: the context's length is a parameter); all rows if None."""
+        if self.settings.max_context is None:
+            return df
         return df.orderBy(F.xxhash64(*df.columns, F.lit(self.settings.seed))).limit(self.settings.max_context).cache()
 
     def _sides(self, query: DataFrame, norm: str, masked: set[str]) -> tuple[DataFrame, DataFrame]:

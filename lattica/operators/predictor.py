@@ -5,6 +5,7 @@ rows of class k + eps). Regression: quantiles of the context targets weighted by
 
 A context of at most BROADCAST_CELLS numbers travels to the executors as arrays and each query batch is scored in place,
 without a shuffle. A larger one is cut into tiles; every query meets every tile, partial sums are added up by query.
+No context is cut short here.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 EPS = 1e-9
 #: Numbers of a context (rows x columns) up to which it is broadcast: 64 MB.
@@ -130,26 +131,97 @@ class KernelPredictor:
         return out.select(*names, F.array(*(F.coalesce(F.col(f"s{k}"), F.lit(0.0)) for k in range(n_classes))).alias("sums"))
 
     def quantiles(self, context: DataFrame, query: DataFrame) -> DataFrame:
-        """query with `quantiles`: LEVELS quantiles of y. The context is broadcast; larger ones are cut to a hash sample by the caller."""
+        """query with `quantiles`: LEVELS quantiles of y under the weights of all context rows. Equal context rows travel as
+        one with their number; equal query rows are scored once."""
         n, d = self._size(context)
-        if n * d > self.broadcast_cells:
-            raise ValueError(f"a context of {n} rows x {d} columns is too large to broadcast; limit it with max_context")
         h = self.h or bandwidth(n, d)
-        x, y = self._arrays(context, "y")
-        order = np.argsort(y, kind="stable")
-        x, y = x[order], y[order]
+        held = context.groupBy("features", F.col("y").cast("double").alias("y")).agg(F.count("*").alias("c")).withColumn("k", F.xxhash64("features"))
+        asked = query.select("features").distinct()
+        if (cells := held.count() * d) > self.broadcast_cells:
+            return query.join(self._tiled_quantiles(held, asked, h, d, n, math.ceil(cells / self.broadcast_cells)), "features").select(*query.columns, "quantiles")
+        got = held.toArrow()
+        x, y, c = _sorted(got["features"].combine_chunks().flatten().to_numpy().reshape(-1, d), got["y"].to_numpy(), got["c"].to_numpy(), got["k"].to_numpy())
         levels = np.arange(1, self.levels + 1) / (self.levels + 1)
 
         @F.pandas_udf("array<double>")
         def score(q: pd.Series) -> pd.Series:
-            out = []
-            for at in range(0, len(q), 512):
-                v = np.stack(q.iloc[at : at + 512].map(np.asarray))
-                dist = np.maximum((v * v).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * v @ x.T, 0.0)
-                out += list(weighted_quantiles(y, np.exp(-dist / (2 * h * h * d)), levels))
+            out, step = [], chunk(len(x))
+            for at in range(0, len(q), step):
+                w = weigh(np.stack(q.iloc[at : at + step].map(np.asarray)), x, h, d)
+                total = w @ c
+                w[total <= EPS] = 1.0
+                out += [np.interp(levels, *_knots(y, c, r, 0.0, t)) for r, t in zip(w, np.where(total > EPS, total, n), strict=True)]
             return pd.Series(out)
 
-        return query.withColumn("quantiles", score("features"))
+        # few rows can mean much work here, so they are dealt by number and not by size
+        dealt = asked.repartition(int(query.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return query.join(dealt.withColumn("quantiles", score("features")), "features").select(*query.columns, "quantiles")
+
+    def _tiled_quantiles(self, held: DataFrame, asked: DataFrame, h: float, d: int, n: int, tiles: int) -> DataFrame:
+        """Large contexts, cut into tiles by y. A first pass sums up each tile's weights for each query row, so a second one knows
+        the weight in front of its tile, and gives the levels that fall between the last row of the tile before and its own."""
+        own = F.struct("y", "k")
+        # the sample sets where tiles begin, nothing else
+        some = sorted(tuple(r[0]) for r in held.select(own).sample(min(1.0, 1000 * tiles / held.count()), 0).collect())
+        cuts = sorted({some[len(some) * i // tiles] for i in range(1, tiles)}) if some else []
+        tile = F.size(F.filter(F.array(*(F.struct(F.lit(float(y)).alias("y"), F.lit(k).cast("long").alias("k")) for y, k in cuts)), lambda b: b <= own)) if cuts else F.lit(0)
+        parts = max(1, math.ceil(asked.count() / 100_000))
+        part = F.pmod(F.xxhash64("features"), F.lit(parts)).cast("int")
+        held = held.withColumn("__tile", tile).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        sent = asked.withColumn("__part", part).withColumn("__tile", F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))))
+        levels = np.arange(1, self.levels + 1) / (self.levels + 1)
+
+        def met(q: pd.DataFrame, context: pd.DataFrame):
+            """(rows of q, their weights, y, c) piece by piece."""
+            if len(q) and len(context):
+                x, y, c = _sorted(np.stack(context["features"].map(np.asarray)), context["y"].to_numpy(), context["c"].to_numpy(), context["k"].to_numpy())
+                for at in range(0, len(q), chunk(len(x))):
+                    rows = q.iloc[at : at + chunk(len(x))]
+                    yield rows, weigh(np.stack(rows["features"].map(np.asarray)), x, h, d), y, c
+
+        def first(q: pd.DataFrame, context: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"features": rows["features"], "__tile": rows["__tile"], "s": w @ c, "w": w[:, -1], "m": c.sum(), "y": y[-1]}) for rows, w, y, c in met(q, context)]
+            return pd.concat(out) if out else pd.DataFrame({k: [] for k in ("features", "__tile", "s", "w", "m", "y")})
+
+        def second(q: pd.DataFrame, context: pd.DataFrame) -> pd.DataFrame:
+            features, values = [], []
+            for rows, w, y, c in met(q, context):
+                w[rows["flat"].to_numpy(bool)] = 1.0
+                for f, r, before, total, low, at, high in zip(rows["features"], w, rows["before"], rows["total"], rows["low"], rows["at"], rows["high"], strict=True):
+                    middle, ys = _knots(y, c, r, before, total)
+                    begin = 0
+                    if not np.isnan(low):
+                        middle, ys, begin = np.append(low, middle), np.append(at, ys), np.searchsorted(levels, low, "right")
+                    end = len(levels) if np.isnan(high) else np.searchsorted(levels, high, "right")
+                    features.append(f)
+                    values.append(np.interp(levels[begin:end], middle, ys))
+            return pd.DataFrame({"features": features, "__tile": q["__tile"].iloc[0] if len(q) else 0, "v": values})
+
+        row = Window.partitionBy("features").orderBy("__tile")
+        kind = "features array<double>, __tile int"
+        by = lambda df: df.groupBy("__tile", "__part")
+        sums = by(sent).cogroup(by(held)).applyInPandas(first, f"{kind}, s double, w double, m long, y double")
+        sums = sums.withColumn("total", F.sum("s").over(Window.partitionBy("features"))).withColumn("flat", F.col("total") <= EPS)
+        for c, flat in (("s", F.col("m").cast("double")), ("w", F.lit(1.0)), ("total", F.lit(float(n)))):
+            sums = sums.withColumn(c, F.when(F.col("flat"), flat).otherwise(F.col(c)))
+        sums = sums.withColumn("before", F.coalesce(F.sum("s").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+        sums = sums.withColumn("high", (F.col("before") + F.col("s") - F.col("w") / 2) / F.col("total"))
+        sums = sums.select("features", "__tile", "flat", "before", "total", F.lag("high").over(row).alias("low"), F.lag("y").over(row).alias("at"), F.when(F.lead("high").over(row).isNotNull(), F.col("high")).alias("high"))
+        got = by(sums.withColumn("__part", part)).cogroup(by(held)).applyInPandas(second, f"{kind}, v array<double>")
+        each = F.array_sort(F.collect_list(F.struct("__tile", "v")))
+        return got.groupBy("features").agg(each.alias("t")).select("features", F.flatten(F.transform("t", lambda t: t["v"])).alias("quantiles"))
+
+
+def _sorted(x: np.ndarray, y: np.ndarray, c: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context rows by y, and those of equal y by their hash k, as tiles are cut."""
+    order = np.lexsort((k, y))
+    return x[order], y[order], c[order]
+
+
+def _knots(y: np.ndarray, c: np.ndarray, w: np.ndarray, before: float, total: float) -> tuple[np.ndarray, np.ndarray]:
+    """Quantile function of c copies of each y of weight w a copy: the middles of the first and the last copy's step, and y."""
+    end = before + np.cumsum(w * c)
+    return np.stack(((end - w * (c - 0.5)) / total, (end - w * 0.5) / total), axis=1).ravel(), np.repeat(y, 2)
 
 
 def sql_class_weights(context: DataFrame, query: DataFrame, h: float, d: int, key: str = "row_id", label: str = "y") -> DataFrame:

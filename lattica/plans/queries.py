@@ -717,9 +717,13 @@ def regress(spark, sf):
 
 @query()
 def regress_two_targets(spark, sf):
-    df = table(spark, sf, "lineitem").where("l_orderkey % 10 = 0").withColumn("row_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    context, late = df.where("l_orderkey % 50 <> 0"), df.where("l_orderkey % 50 = 0")
-    return multi_target(lambda: Regressor(n_estimators=1, max_context=1000), context, ["l_extendedprice", "l_tax"], ["l_quantity", "l_discount"], late, "row_id")
+    """Price and tax in every fiftieth order, from the lines of all other orders. Some lines share their row_id, so they are
+    told apart by what is predicted from, too."""
+    features = ["l_quantity", "l_discount"]
+    df = table(spark, sf, "lineitem").withColumn("row_id", F.col("l_orderkey") * 10 + F.col("l_linenumber")).withColumn("line", F.struct("row_id", *features))
+    context, late = df.where("l_orderkey % 50 <> 0"), df.where("l_orderkey % 50 = 0").select("line", *features)
+    got = multi_target(lambda: Regressor(n_estimators=1, max_context=None), context, ["l_extendedprice", "l_tax"], features, late.distinct(), "line")
+    return late.select("line").join(got, "line").select("line.row_id", *(c for c in got.columns if c != "line"))
 
 
 @query()

@@ -14,7 +14,7 @@ from lattica.functions import arrays as A, quantiles as Q
 from lattica.operators import ensemble, explain, forecast, preprocess, synthetic, tuning
 from lattica.operators.estimators import Classifier, Regressor
 from lattica.operators.panel import Panel
-from lattica.operators.predictor import KernelPredictor
+from lattica.operators.predictor import KernelPredictor, weighted_quantiles
 from lattica.operators.unsupervised import Conditionals, Unsupervised
 from lattica.plans import queries as plans
 from lattica.sources import panels
@@ -175,6 +175,48 @@ def test_tiled_context_equals_broadcast(spark):
     assert all(np.allclose(one[i], two[i]) for i in one) and len(two) == 20
 
 
+def test_quantiles_of_a_whole_context(spark):
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 4, (150, 2)).astype(float)
+    y = np.where(np.arange(150) % 3 == 0, 1.0, rng.normal(size=150).round(1))
+    late = np.array([[0.0, 1.0], [2.5, 3.0], [0.0, 1.0], [90.0, 0.0]])
+    context = spark.createDataFrame([(list(map(float, f)), float(v)) for f, v in zip(x, y, strict=True)], "features array<double>, y double")
+    query = spark.createDataFrame([(i, list(map(float, f))) for i, f in enumerate(late)], "id long, features array<double>")
+    one = {r.id: r.quantiles for r in KernelPredictor(0.7, levels=39).quantiles(context, query).collect()}
+    for cells in (2, 60, 250):
+        two = {r.id: r.quantiles for r in KernelPredictor(0.7, broadcast_cells=cells, levels=39).quantiles(context, query).collect()}
+        assert len(two) == 4 and all(len(two[i]) == 39 and np.allclose(one[i], two[i]) for i in one)
+    keys = [r.k for r in context.select(F.xxhash64("features").alias("k")).collect()]
+    order = np.lexsort((keys, y))
+    weight = np.exp(-((late[:, None] - x[order][None]) ** 2).sum(axis=2) / (2 * 0.49 * 2))
+    want = weighted_quantiles(y[order], weight, np.arange(1, 40) / 40)
+    assert np.allclose([one[i] for i in range(4)], want)
+
+
+def test_two_targets_from_all_orders(spark, tmp_path):
+    rows = [(k, n, float(10 * (k % 7) + n), 0.01 * (k % 3), float(n), 0.1 * n) for k in range(1, 601) for n in (1, 2, 3)]
+    schema = "l_orderkey long, l_linenumber int, l_extendedprice double, l_tax double, l_quantity double, l_discount double"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    again = [(50, 1, 0.0, 0.0, 3.0, 0.3), (50, 1, 0.0, 0.0, 3.0, 0.3)]  # lines that share a row_id
+    spark.createDataFrame(again, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/lineitem.parquet")
+    got = plans.QUERIES["regress_two_targets"](spark, str(tmp_path)).toPandas().set_index("row_id")
+    held = pd.DataFrame(rows, columns=["k", "n", "price", "tax", "q", "d"])
+    assert sorted(got.index) == sorted([10 * k + n for k in range(50, 601, 50) for n in (1, 2, 3)] + [501, 501])
+    both = ["l_extendedprice_mean", "l_tax_mean"]
+    pairs = [tuple(r) for r in got.loc[[501], both].round(9).to_numpy()]
+    assert sorted(pairs) == sorted([tuple(got.loc[1001, both].round(9)), *[tuple(got.loc[1003, both].round(9))] * 2])
+    x = held[held.k % 50 != 0]
+    z = x[["q", "d"]].to_numpy()
+    z = (z - z.mean(axis=0)) / z.std(axis=0)
+    assert len(x) == 1764
+    for n in (1, 2, 3):
+        at = z[(x.n == n).to_numpy()][0]
+        w = np.exp(-((z - at) ** 2).sum(axis=1) / (4 * 1764 ** (-1 / 3)))
+        order = np.argsort(x.price.to_numpy(), kind="stable")
+        want = weighted_quantiles(x.price.to_numpy()[order], w[None, order], np.arange(1, 1000) / 1000).mean()
+        assert got.loc[1000 + n, "l_extendedprice_mean"] == pytest.approx(want, rel=1e-6)
+
+
 def test_kernel_queries_read_every_vector(spark, tmp_path):
     rng = np.random.default_rng(0)
     n = 900
