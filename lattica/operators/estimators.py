@@ -142,7 +142,11 @@ class Classifier(_Base):
 
 
 class Regressor(_Base):
-    """In-context regression: mean, median, variance and any quantiles, from a mean of the views' quantile vectors."""
+    """In-context regression: mean, median, variance and any quantiles, from a mean of the views' quantile vectors. All rows
+    are context unless max_context is given."""
+
+    def __init__(self, **params):
+        super().__init__(**{"max_context": None} | params)
 
     def fit(self, df: DataFrame, y: str, features: list[str] | None = None) -> Regressor:
         features = features or [c for c in df.columns if c != y]

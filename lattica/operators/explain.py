@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .predictor import bandwidth
+from .predictor import bandwidth, chunk, dealt
 
 #: Columns up to which every coalition is evaluated; beyond it, permutations are sampled.
 EXACT = 10
@@ -46,10 +46,11 @@ def interactions_from_values(values: dict[frozenset, np.ndarray], d: int) -> dic
 
 
 class KernelExplainer:
-    """Explains kernel regression (or the probability of one class) from a broadcast context."""
+    """Explains kernel regression (or the probability of one class) from a broadcast context: all rows, or max_context of them."""
 
-    def __init__(self, context: DataFrame, features: list[str], y: str, max_context: int = 2048, seed: int = 0, n_permutations: int = 32):
-        rows = context.select(*(F.col(c).cast("double").alias(c) for c in features), F.col(y).cast("double").alias("__y")).na.drop().orderBy(F.xxhash64(*features, F.lit(seed))).limit(max_context).toPandas()
+    def __init__(self, context: DataFrame, features: list[str], y: str, max_context: int | None = None, seed: int = 0, n_permutations: int = 32):
+        rows = context.select(*(F.col(c).cast("double").alias(c) for c in features), F.col(y).cast("double").alias("__y")).na.drop().orderBy(F.xxhash64(*features, F.lit(seed)))
+        rows = (rows if max_context is None else rows.limit(max_context)).toArrow().to_pandas()
         self.features, self.seed, self.n_permutations = list(features), seed, n_permutations
         x = rows[features].to_numpy(float)
         self.mean, self.std = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
@@ -84,34 +85,34 @@ class KernelExplainer:
 
     def shapley(self, query: DataFrame, key: str) -> DataFrame:
         """key, feature, phi: one row a column of every query row. Sums to the prediction less the mean."""
-        features, explain = self.features, self._explain
+        features, explain, step = self.features, self._explain, min(256, chunk(len(self.x)))
         kind = dict(query.dtypes)[key]
 
         def run(batches):
             for pdf in batches:
-                for at in range(0, len(pdf), 256):
-                    part = pdf.iloc[at : at + 256]
+                for at in range(0, len(pdf), step):
+                    part = pdf.iloc[at : at + step]
                     phi = explain(part[features].to_numpy(float))
                     yield pd.DataFrame({key: np.repeat(part[key].to_numpy(), len(features)), "feature": features * len(part), "phi": phi.ravel()})
 
-        return query.select(key, *(F.col(c).cast("double").alias(c) for c in features)).mapInPandas(run, f"`{key}` {kind}, feature string, phi double")
+        return dealt(query.select(key, *(F.col(c).cast("double").alias(c) for c in features))).mapInPandas(run, f"`{key}` {kind}, feature string, phi double")
 
     def interactions(self, query: DataFrame, key: str) -> DataFrame:
         """key, a, b, phi of every pair of columns."""
-        features, values = self.features, self._values
+        features, values, step = self.features, self._values, min(256, chunk(len(self.x)))
         d, kind = len(features), dict(query.dtypes)[key]
         if d > EXACT:
             raise ValueError(f"interactions need at most {EXACT} columns")
 
         def run(batches):
             for pdf in batches:
-                for at in range(0, len(pdf), 256):
-                    part = pdf.iloc[at : at + 256]
+                for at in range(0, len(pdf), step):
+                    part = pdf.iloc[at : at + step]
                     v = values(part[features].to_numpy(float), {frozenset(s) for k in range(d + 1) for s in itertools.combinations(range(d), k)})
                     for (i, j), phi in interactions_from_values(v, d).items():
                         yield pd.DataFrame({key: part[key].to_numpy(), "a": features[i], "b": features[j], "phi": phi})
 
-        return query.select(key, *(F.col(c).cast("double").alias(c) for c in features)).mapInPandas(run, f"`{key}` {kind}, a string, b string, phi double")
+        return dealt(query.select(key, *(F.col(c).cast("double").alias(c) for c in features))).mapInPandas(run, f"`{key}` {kind}, a string, b string, phi double")
 
 
 def importance(phi: DataFrame) -> DataFrame:

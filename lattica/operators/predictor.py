@@ -43,6 +43,11 @@ def chunk(n: int) -> int:
     return max(1, min(1024, CHUNK_CELLS // max(n, 1)))
 
 
+def dealt(query: DataFrame) -> DataFrame:
+    """Query rows dealt by number: against a whole context few bytes of them can be much work."""
+    return query.repartition(int(query.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def weigh(v: np.ndarray, x: np.ndarray, h: float, d: int) -> np.ndarray:
     """Kernel weights of query rows v against context rows x."""
     return np.exp(-np.maximum((v * v).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * v @ x.T, 0.0) / (2 * h * h * d))
@@ -153,9 +158,7 @@ class KernelPredictor:
                 out += [np.interp(levels, *_knots(y, c, r, 0.0, t)) for r, t in zip(w, np.where(total > EPS, total, n), strict=True)]
             return pd.Series(out)
 
-        # few rows can mean much work here, so they are dealt by number and not by size
-        dealt = asked.repartition(int(query.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        return query.join(dealt.withColumn("quantiles", score("features")), "features").select(*query.columns, "quantiles")
+        return query.join(dealt(asked).withColumn("quantiles", score("features")), "features").select(*query.columns, "quantiles")
 
     def _tiled_quantiles(self, held: DataFrame, asked: DataFrame, h: float, d: int, n: int, tiles: int) -> DataFrame:
         """Large contexts, cut into tiles by y. A first pass sums up each tile's weights for each query row, so a second one knows

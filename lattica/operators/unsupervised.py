@@ -1,6 +1,6 @@
 """Density, imputation and generation by the chain rule, each column predicted from others by the context kernel.
 
-The fitted rows (at most max_context, chosen by a hash) travel to the executors as one array; scoring, imputing and
+The fitted rows (all of them, or max_context chosen by a hash if that is given) travel to the executors as one array; scoring, imputing and
 generating are then single passes over the rows, all columns and sweeps inside a batch, so no lineage grows.
 """
 
@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .ensemble import permutations
-from .predictor import bandwidth
+from .predictor import bandwidth, chunk, dealt
 from .preprocess import by_missing_rate, is_categorical
 
 FLOOR = 1e-10
@@ -51,8 +51,16 @@ class Conditionals:
         w = np.exp(-dist / (2 * h * h * len(given)))
         return w / w.sum(axis=1, keepdims=True), ok
 
+    def _pieces(self, f, rows: np.ndarray, *each: np.ndarray) -> np.ndarray:
+        """f over so many rows at once that their weights stay small."""
+        step = chunk(len(self.raw))
+        return np.concatenate([f(rows[i : i + step], *(e[i : i + step] for e in each)) for i in range(0, max(len(rows), 1), step)])
+
     def log_prob(self, rows: np.ndarray, given: list[int], target: int) -> np.ndarray:
         """log p(target | given) of each row; 0 where the target is missing."""
+        return self._pieces(lambda r: self._log_prob(r, given, target), rows)
+
+    def _log_prob(self, rows: np.ndarray, given: list[int], target: int) -> np.ndarray:
         w, ok = self.weights(rows, given, target)
         y, x = self.raw[ok, target], rows[:, target]
         if self.categorical[target]:
@@ -64,6 +72,9 @@ class Conditionals:
 
     def draw(self, rows: np.ndarray, given: list[int], target: int, temperature: float, u: np.ndarray) -> np.ndarray:
         """Draws of the target: tempered class probabilities, or a tempered quantile."""
+        return self._pieces(lambda r, v: self._draw(r, given, target, temperature, v), rows, u)
+
+    def _draw(self, rows: np.ndarray, given: list[int], target: int, temperature: float, u: np.ndarray) -> np.ndarray:
         w, ok = self.weights(rows, given, target)
         y = self.raw[ok, target]
         if not len(y):
@@ -91,7 +102,7 @@ class Conditionals:
 class Unsupervised:
     """fit, then score_samples, impute or generate."""
 
-    def __init__(self, max_context: int = 2048, max_categories: int = 10, seed: int = 0):
+    def __init__(self, max_context: int | None = None, max_categories: int = 10, seed: int = 0):
         self.max_context, self.max_categories, self.seed = max_context, max_categories, seed
 
     def fit(self, df: DataFrame, columns: list[str]) -> Unsupervised:
@@ -99,7 +110,8 @@ class Unsupervised:
         self.columns = list(columns)
         self.categorical = is_categorical(clean, columns, self.max_categories)
         self.order = [columns.index(c) for c in by_missing_rate(clean, columns)]
-        rows = clean.orderBy(F.xxhash64(*columns, F.lit(self.seed))).limit(self.max_context).toPandas()
+        rows = clean.orderBy(F.xxhash64(*columns, F.lit(self.seed)))
+        rows = (rows if self.max_context is None else rows.limit(self.max_context)).toArrow().to_pandas()
         self.model = Conditionals(rows.to_numpy(float).reshape(-1, len(columns)), [self.categorical[c] for c in columns])
         return self
 
@@ -122,7 +134,7 @@ class Unsupervised:
                         total += memo[key]
                 yield pdf.assign(density=np.exp(total / len(perms)))
 
-        return df.mapInPandas(run, _schema(df) + ", density double")
+        return dealt(df).mapInPandas(run, _schema(df) + ", density double")
 
     def impute(self, df: DataFrame, temperature: float = 0.0, n_iterations: int = 2) -> DataFrame:
         """Missing cells filled: a warm start of medians and modes, then sweeps over columns by missing rate."""

@@ -217,6 +217,29 @@ def test_two_targets_from_all_orders(spark, tmp_path):
         assert got.loc[1000 + n, "l_extendedprice_mean"] == pytest.approx(want, rel=1e-6)
 
 
+def test_all_rows_are_context(spark):
+    rng = np.random.default_rng(0)
+    n = 5000
+    a, c = rng.normal(size=n), np.where(np.arange(n) % 1250 == 7, 9.0, np.arange(n) % 2)  # 9 is rare
+    y = a + c
+    df = spark.createDataFrame([(i, float(a[i]), float(c[i]), float(y[i])) for i in range(n)], "id long, a double, c double, y double")
+    u = Unsupervised().fit(df, ["a", "c"])
+    assert len(u.model.raw) == n and (u.model.raw[:, 1] == 9).sum() == 4
+    assert len(Unsupervised(max_context=100).fit(df, ["a", "c"]).model.raw) == 100
+    z = (a - a.mean()) / a.std()
+    few = df.where("id in (7, 8, 1257)")
+    got = u.score_samples(few, 1).toPandas().set_index("id")["density"]
+    s = n**-0.2 * a.std()
+    w = lambda i: np.exp(-((z - z[i]) ** 2) / (2 * n ** (-2 / 5)))
+    for i in (7, 8, 1257):
+        p = np.exp(-((a[i] - a) ** 2) / (2 * s * s)).mean() / (s * np.sqrt(2 * np.pi))
+        assert got[i] == pytest.approx(p * w(i)[c == c[i]].sum() / w(i).sum(), rel=1e-9)
+    phi = explain.KernelExplainer(df, ["a"], "y").shapley(few, "id").toPandas().set_index("id")["phi"]
+    assert phi[7] == pytest.approx(w(7) @ y / w(7).sum() - y.mean(), rel=1e-9)
+    assert Regressor(n_estimators=1).fit(df, "y", ["a"]).limited.count() == n
+    assert Regressor(n_estimators=1, max_context=50).fit(df, "y", ["a"]).limited.count() == 50
+
+
 def test_kernel_queries_read_every_vector(spark, tmp_path):
     rng = np.random.default_rng(0)
     n = 900
