@@ -31,7 +31,7 @@ from .common import P_BYTE, P_SEQ, buffers, connected, doc_words, mix, pieces, s
 
 #: Blocks beyond the pigeonhole's d + 1: 2 and this share of d. A set leaves out as many of its lightest blocks.
 SPARE = 0.25
-#: Growth of the size bands.
+#: Growth of the size bands, at least; den / num if that is more.
 RATIO = 1.25
 #: Entries a map task gathers before it sends them on.
 FLUSH = 1_500_000
@@ -83,7 +83,7 @@ def bands(num: int, den: int, most: int) -> list[tuple[int, int, int]]:
     """(lowest size, highest size, blocks) of each band; 0 blocks where only equal sets can link."""
     out, lo = [], 1
     while lo <= most:
-        hi = max(lo + 1, int(lo * RATIO))
+        hi = max(lo + 1, int(lo * RATIO), lo * den // num)  # so the largest partner is in the next band at most
         d = 2 * hi * (den - num) // (den + num)
         out.append((lo, hi, d + 1 + spare(d) if d else 0))
         lo = hi + 1
@@ -184,7 +184,7 @@ def _entries(docs: DataFrame, w: int, num: int, den: int, shards: int) -> DataFr
                     if d in seen:
                         continue
                     seen.add(d)
-                    while len(s) * 2 > table[-1][1]:
+                    while max(len(s) * 2, len(s) * den // num + 1) > table[-1][1]:
                         table = bands(num, den, table[-1][1] * 4)
                     k = block_keys(s, num, den, table)
                     keys.append(k)

@@ -113,6 +113,17 @@ def test_blocks_hold_every_link():
                 assert len(np.intersect1d(ngram_jaccard.block_keys(base, 4, 5, table), ngram_jaccard.block_keys(other, 4, 5, table)))
 
 
+def test_blocks_hold_links_of_loose_thresholds():
+    rng = np.random.default_rng(2)
+    for num, den, sizes in ((7, 10, [(15, 21), (20, 27), (799, 1140)]), (1, 2, [(4, 7), (4, 8), (30, 60), (700, 1400)])):
+        table = ngram_jaccard.bands(num, den, 1 << 14)
+        assert all(n * den // num <= table[i + 1][1] for i, (_, n, _) in enumerate(table[:-1]))
+        for few, many in sizes:
+            big = np.unique(rng.integers(0, 1 << 63, many, dtype=np.uint64))
+            keys = [ngram_jaccard.block_keys(s, num, den, table) for s in (np.sort(rng.permutation(big)[:few]), big)]
+            assert len(np.intersect1d(*keys))
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(1000, i) for i in range(1001, 1100)] + [(7, 7)]
     got = connected(spark.createDataFrame(edges, "u long, v long")).collect()
