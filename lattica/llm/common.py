@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: 64-bit odd multipliers of the word and shingle hashes (fixed values).
@@ -16,6 +17,10 @@ P_MIX2 = 0x94D049BB133111EB
 P_SEQ = 0xD6E8FEB86659FD93
 #: Bytes hashed in one numpy step; keeps temporaries near 50 MB whatever the batch.
 CHUNK = 1 << 20
+#: Bytes up to which words are hashed in numpy steps of eight.
+LONG = 64
+#: The lowest 0 to 8 bytes of a number.
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 _tables: dict[str, np.ndarray] = {}
 _own_dirs: dict[str, str] = {}
@@ -58,29 +63,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P^i and P^-i modulo 2^64 for i < n."""
-    if len(_tables.get("pow", ())) < n:
-        size = max(n, CHUNK + 1)
-        for name, base in (("pow", P_BYTE), ("inv", pow(P_BYTE, -1, 1 << 64))):
-            a = np.full(size, base, dtype=np.uint64)
-            a[0] = 1
-            _tables[name] = np.cumprod(a)
-    return _tables["pow"], _tables["inv"]
-
-
 def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
     if "lower" not in _tables:
         lower = np.arange(256, dtype=np.uint8)
         lower[65:91] += 32
         space = np.zeros(256, dtype=bool)
         space[[9, 10, 11, 12, 13, 32]] = True
-        _tables["lower"], _tables["space"] = (lower.astype(np.uint64) + np.uint64(1)), space
+        _tables["lower"], _tables["space"] = lower, space
     return _tables["lower"], _tables["space"]
 
 
-def hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes, A-Z lower-cased: (64-bit hashes, start of each word)."""
+def _long_word(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word, seed=len(word))
+
+
+def hash_words(data: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes, A-Z lower-cased if fold: (64-bit hashes, start of each word).
+
+    A word is taken eight bytes at a time, each mixed into the last one's hash; words of more than LONG bytes are hashed
+    by XXH3. Neither is linear in the bytes, so words built from each other by patterns stay apart.
+    """
     lower, space = _byte_tables()
     hashes, starts, at, n = [], [], 0, len(data)
     while at < n:
@@ -99,11 +101,20 @@ def hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         edge = np.diff(word)
         first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         if len(first):
-            up, down = _powers(len(part) + 1)
-            total = np.zeros(len(part) + 1, dtype=np.uint64)
-            np.cumsum(lower[part] * up[: len(part)], out=total[1:])
-            h = (total[last] - total[first]) * down[first]
-            hashes.append(mix(h ^ ((last - first).astype(np.uint64) << np.uint64(48))))
+            low = np.zeros(len(part) + 8, np.uint8)
+            low[: len(part)] = lower[part] if fold else part
+            eight = np.ndarray((len(part) + 1,), "<u8", low.data, strides=(1,))
+            size = last - first
+            h = mix(size.astype(np.uint64) * np.uint64(P_BYTE))
+            some, done = np.flatnonzero(size <= LONG), 0
+            while len(some):
+                left = np.minimum(size[some] - done, 8)
+                h[some] = mix((h[some] ^ (eight[first[some] + done] & _MASKS[left])) + np.uint64(P_SEQ))
+                done += 8
+                some = some[size[some] > done]
+            for i in np.flatnonzero(size > LONG).tolist():
+                h[i] = _long_word(low[first[i] : last[i]].tobytes())
+            hashes.append(h)
             starts.append(first + at)
         at = end
     if not hashes:

@@ -7,9 +7,9 @@ that can take them (best fit), and open new ones only when none can. Sequences w
 plan. Every piece then finds its place from its length and its rank among pieces of that length, so no group of pieces
 is gathered anywhere: ranks come from counts by (length, salt).
 
-Tokenising works on white-space separated chunks, which the tokenizer never joins: each worker keeps the ids of the
+Tokenising works on white-space separated chunks, where the tokenizer never joins them: each worker keeps the ids of the
 chunks it has met (by 64-bit hash, at most CACHE of them) and asks the tokenizer for new ones only. Texts with the
-marks of special tokens are given to the tokenizer whole.
+marks of special tokens, and all texts where the tokenizer's ids depend on white space, are given to the tokenizer whole.
 
 Defined cases: a null or empty text is the end token alone. Repeated rows are packed as often as they come. A null
 doc_id is kept. Extra columns are ignored. With no rows the result is empty.
@@ -49,6 +49,10 @@ class _Ids:
         self.tokenizer = Tokenizer.from_file(name if os.sep in name else public_tokenizers.path(name))
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.hash, self.start, self.size, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        own = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        #: whether white space never matters, and whether A-Z count as a-z
+        self.splits = all(own(gap.join(("the", "Of", "7", "!?", "é"))) == [i for v in ("the", "Of", "7", "!?", "é") for i in own(v)] for gap in (" ", "\n", "\t  ", "\r\n"))
+        self.folds = own("the and ing q7x abcdefghijklmnopqrstuvwxyz") == own("THE AND ING Q7X ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
     def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, size = [], []
@@ -62,8 +66,12 @@ class _Ids:
     def of(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with their end tokens, offsets of n+1 into them)."""
         n = len(off) - 1
+        if not self.splits:
+            raw = data.tobytes()
+            own = [self.whole(raw[a:c]) for a, c in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+            return np.concatenate(own), np.concatenate(([0], np.cumsum([len(v) for v in own])))
         text = joined(data, off, 32)
-        h, first = hash_words(text)
+        h, first = hash_words(text, self.folds)
         at = np.searchsorted(first, off + np.arange(n + 1))
         uniq, where, inverse = np.unique(h, return_index=True, return_inverse=True)
         place = np.minimum(np.searchsorted(self.hash, uniq), max(0, len(self.hash) - 1))
