@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 IRREGULAR = "IRREG"
 #: Units of frequency aliases (fixed values): (Spark unit, whether the label is the period's last day).
-UNITS = {"s": ("SECOND", False), "min": ("MINUTE", False), "h": ("HOUR", False), "D": ("DAY", False), "W": ("WEEK", True), "MS": ("MONTH", False), "ME": ("MONTH", True), "QS": ("QUARTER", False), "QE": ("QUARTER", True), "YS": ("YEAR", False), "YE": ("YEAR", True)}
+UNITS = {"s": ("SECOND", False), "min": ("MINUTE", False), "h": ("HOUR", False), "D": ("DAY", False), "W": ("WEEK", True), "MS": ("MONTH", False), "ME": ("MONTH", True), "QS": ("QUARTER", False), "QE": ("QUARTER", True), "YS": ("YEAR", False), "YE": ("YEAR", True), "B": ("DAY", False)}
 #: Seconds of the units that have a fixed length (fixed values).
 SECONDS = {"s": 1, "min": 60, "h": 3600, "D": 86400, "W": 604800}
 #: Months of the calendar units (fixed values).
 MONTHS = {"MS": 1, "ME": 1, "QS": 3, "QE": 3, "YS": 12, "YE": 12}
+_DAY = 86_400_000_000
 
 
 def parse_freq(freq: str) -> tuple[int, str]:
@@ -32,34 +33,68 @@ def _ntz(c: Column) -> Column:
     return c.cast("timestamp_ntz")
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a time without zone, read from its own fields: the session's time zone plays no part."""
+    day = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    return day * F.lit(_DAY) + (F.hour(ts) * 3600 + F.minute(ts) * 60).cast("long") * F.lit(1_000_000) + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+
+
+def _div(a: Column, b: int) -> Column:
+    """Floor of a / b in whole numbers."""
+    return F.call_function("div", a - F.pmod(a, F.lit(b)), F.lit(b)) if b != 1 else a
+
+
+def _date(days: Column) -> Column:
+    return _ntz(F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int")))
+
+
+def _business(days: Column) -> Column:
+    """Number of the business day that days since 1970 falls on; a weekend counts as its Friday."""
+    monday = days + F.lit(3)
+    return _div(monday, 7) * 5 + F.least(F.pmod(monday, F.lit(7)), F.lit(4))
+
+
 def add_steps(ts: Column, steps: Column, freq: str) -> Column:
     """ts moved by a number of periods; calendar periods keep to month ends where the label is one."""
     n, unit = parse_freq(freq)
+    if unit == "B":
+        days = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+        return _ntz(F.timestamp_add("DAY", (_business_day(_business(days) + steps * n) - days).cast("long"), ts))
     if unit in SECONDS:
         return _ntz(F.timestamp_add("SECOND", (steps * n * SECONDS[unit]).cast("long"), ts))
     moved = _ntz(F.timestamp_add("MONTH", (steps * n * MONTHS[unit]).cast("int"), ts))
     return _ntz(F.last_day(moved)) if UNITS[unit][1] else moved
 
 
-def bucket(ts: Column, freq: str) -> Column:
-    """Start of the period that holds ts."""
-    n, unit = parse_freq(freq)
-    if n != 1 and unit in SECONDS:
-        step = n * SECONDS[unit]
-        day = F.date_trunc("DAY", ts)
-        inside = F.floor((F.unix_timestamp(ts.cast("timestamp")) - F.unix_timestamp(day.cast("timestamp"))) / step) * step
-        return _ntz(F.timestamp_add("SECOND", inside.cast("long"), _ntz(day)))
-    return _ntz(F.date_trunc(UNITS[unit][0], ts))
+def _business_day(number: Column) -> Column:
+    """Days since 1970 of a business day's number."""
+    return _div(number, 5) * 7 - 3 + F.pmod(number, F.lit(5))
 
 
-def label(start: Column, freq: str) -> Column:
+def period(ts: Column, unit: str) -> Column:
+    """Number of the unit's period that holds ts: seconds, minutes, hours, days, weeks from Monday, business days or months since a fixed start."""
+    if unit == "W":
+        return _div(_div(micros(ts), _DAY) + 3, 7)
+    if unit == "B":
+        return _business(_div(micros(ts), _DAY))
+    if unit in SECONDS:
+        return _div(micros(ts), SECONDS[unit] * 1_000_000)
+    return _div((F.year(ts) * 12 + F.month(ts) - 1).cast("long"), MONTHS[unit])
+
+
+def label(number: Column, unit: str) -> Column:
     """The label of a period: its start, or its last day for the frequencies that name period ends."""
-    _, unit = parse_freq(freq)
-    if not UNITS[unit][1]:
-        return start
     if unit == "W":
-        return _ntz(F.timestamp_add("DAY", F.lit(6), start))
-    return _ntz(F.last_day(_ntz(F.timestamp_add("MONTH", F.lit(MONTHS[unit] - 1), start))))
+        return _date(number * 7 + 3)
+    if unit == "B":
+        return _date(_business_day(number))
+    if unit in SECONDS:
+        size = SECONDS[unit] * 1_000_000
+        days = _div(number * size, _DAY)
+        return _ntz(F.timestamp_add("MICROSECOND", number * size - days * _DAY, _date(days)))
+    month = (number + (1 if UNITS[unit][1] else 0)) * MONTHS[unit] - (1 if UNITS[unit][1] else 0)
+    first = F.make_date(_div(month, 12).cast("int"), (F.pmod(month, F.lit(12)) + 1).cast("int"), F.lit(1))
+    return _ntz(F.last_day(first) if UNITS[unit][1] else first)
 
 
 @dataclass(frozen=True)
@@ -245,22 +280,26 @@ class Panel:
         """item, freq: each item's frequency alias, IRREG if its steps differ; null with fewer than three rows."""
         step = F.lead(self.ts).over(self.window())
         ts, nxt = F.col(self.ts), F.col("__next")
-        seconds = F.unix_timestamp(nxt.cast("timestamp")) - F.unix_timestamp(ts.cast("timestamp"))
+        us, day = micros(ts), _div(micros(ts), _DAY)
+        seconds = (micros(nxt) - us) / 1_000_000
         months = (F.year(nxt) - F.year(ts)) * 12 + F.month(nxt) - F.month(ts)
-        at_start = (F.dayofmonth(ts) == 1) & (ts == _ntz(F.date_trunc("DAY", ts)))
-        at_end = (F.to_date(ts) == F.last_day(ts)) & (ts == _ntz(F.date_trunc("DAY", ts)))
-        agg = self.df.withColumn("__next", step).groupBy(self.item).agg(F.count("*").alias("n"), F.min(seconds).alias("s0"), F.max(seconds).alias("s1"), F.min(months).alias("m0"), F.max(months).alias("m1"), F.bool_and(at_start).alias("starts"), F.bool_and(at_end).alias("ends"))
-        alias = F.lit(IRREGULAR)
-        calendar = F.when(F.col("m0") != F.col("m1"), F.lit(IRREGULAR))
-        for name, size in (("M", 1), ("Q", 3), ("Y", 12)):
-            calendar = calendar.when(F.col("m0") == size, F.concat(F.lit(name), F.when(F.col("starts"), "S").otherwise("E")))
-        fixed = F.when(F.col("s0") == 604800, "W")
+        midnight = F.pmod(us, F.lit(_DAY)) == 0
+        at_start = (F.dayofmonth(ts) == 1) & midnight
+        at_end = (F.to_date(ts) == F.last_day(ts)) & midnight
+        weekday = F.pmod(day + 3, F.lit(7))
+        business = (weekday < 5) & (nxt.isNull() | ((micros(nxt) - us) == F.when(weekday == 4, 3 * _DAY).otherwise(_DAY)))
+        agg = self.df.withColumn("__next", step).groupBy(self.item).agg(F.count("*").alias("n"), F.min(seconds).alias("s0"), F.max(seconds).alias("s1"), F.min(months).alias("m0"), F.max(months).alias("m1"), F.bool_and(at_start).alias("starts"), F.bool_and(at_end).alias("ends"), F.bool_and(business).alias("business"))
+        times = lambda k, name: F.when(k == 1, name).otherwise(F.concat(k.cast("string"), name))
+        side = lambda name: F.concat(F.lit(name), F.when(F.col("starts"), "S").otherwise("E"))
+        m = F.col("m0")
+        calendar = F.when(m != F.col("m1"), F.lit(IRREGULAR)).when(m % 12 == 0, times((m / 12).cast("int"), side("Y"))).when(m % 3 == 0, times((m / 3).cast("int"), side("Q"))).otherwise(times(m, side("M")))
+        week = (F.col("s0") / 604800).cast("long")
+        fixed = F.when(F.col("s0") % 604800 == 0, times(week, F.lit("W")))
         for unit in ("D", "h", "min", "s"):
             size = SECONDS[unit]
-            k = (F.col("s0") / size).cast("long")
-            fixed = fixed.when(F.col("s0") % size == 0, F.when(k == 1, F.lit(unit)).otherwise(F.concat(k.cast("string"), F.lit(unit))))
-        alias = F.when(F.col("n") < 3, F.lit(None)).when((F.col("s0") == F.col("s1")) & (F.col("s0") > 0), fixed).when((F.col("starts") | F.col("ends")) & (F.col("m0") > 0), F.coalesce(calendar, F.lit(IRREGULAR))).otherwise(F.lit(IRREGULAR))
-        return agg.select(self.item, alias.alias("freq"))
+            fixed = fixed.when(F.col("s0") % size == 0, times((F.col("s0") / size).cast("long"), F.lit(unit)))
+        alias = F.when(F.col("n") < 3, F.lit(None)).when((F.col("s0") == F.col("s1")) & (F.col("s0") > 0), fixed).when((F.col("starts") | F.col("ends")) & (m > 0), F.coalesce(calendar, F.lit(IRREGULAR)))
+        return agg.select(self.item, alias.when(F.col("business"), F.lit("B")).otherwise(F.lit(IRREGULAR)).alias("freq"))
 
     def infer_frequency(self, raise_if_irregular: bool = False) -> str | None:
         """The alias that all items share, else IRREG."""
@@ -275,7 +314,8 @@ class Panel:
 
     def convert_frequency(self, freq: str, numeric: str = "mean", other: str = "first") -> Panel:
         """Resamples each item: numeric columns by max, min, sum, mean, median, first or last, others by first or last.
-        Empty periods between an item's first and last appear with nulls (0 for sums)."""
+        Empty periods between an item's first and last appear with nulls (0 for sums). Multiples of a unit, such as 2D or
+        2ME, begin at the item's first day, or end or begin at its first calendar period, and hold every row once."""
         kinds = dict(self.df.dtypes)
         how = {"max": F.max, "min": F.min, "sum": F.sum, "mean": F.avg, "median": F.median}
 
@@ -288,15 +328,26 @@ class Panel:
             pick = F.min_by if name == "first" else F.max_by
             return pick(F.col(c), F.when(F.col(c).isNotNull(), F.col(self.ts))).alias(c)
 
-        sums = self.df.withColumn("__b", bucket(F.col(self.ts), freq)).groupBy(self.item, "__b").agg(*(agg(c) for c in self.values()))
         n, unit = parse_freq(freq)
-        every = f"INTERVAL {n * SECONDS[unit]} SECOND" if unit in SECONDS else f"INTERVAL {n * MONTHS[unit]} MONTH"
-        spine = sums.groupBy(self.item).agg(F.min("__b").alias("a"), F.max("__b").alias("z")).select(self.item, F.explode(F.sequence("a", "z", F.expr(every))).alias("__b"))
-        out = spine.join(sums, [self.item, "__b"], "left")
+        ends, numbered = UNITS[unit][1], self.df.withColumn("__p", period(F.col(self.ts), unit))
+        at, shown = F.col("__p"), F.col("__k")
+        if n > 1:  # multiples are counted from the item's first day (fixed units) or first period (calendar units)
+            first = F.min("__p") if unit not in ("s", "min", "h") else _div(F.min("__p"), 86400 // SECONDS[unit]) * (86400 // SECONDS[unit])
+            numbered = numbered.join(numbered.groupBy(F.col(self.item).alias("__item")).agg(first.alias("__o")), F.col(self.item).eqNullSafe(F.col("__item"))).drop("__item")
+            at = _div(F.col("__p") - F.col("__o") + (n - 1 if ends else 0), n)
+            shown = F.col("__o") + F.col("__k") * n
+        keys = [self.item, "__o"] if n > 1 else [self.item]
+        sums = numbered.withColumn("__k", at).groupBy(*keys, "__k").agg(*(agg(c) for c in self.values()))
+        # the periods up to the next one with rows follow on as empty ones: no join with a spine
+        gap = F.lead("__k", 1).over(Window.partitionBy(self.item).orderBy("__k")) - F.col("__k")
+        out = sums.withColumn("__n", F.coalesce(gap, F.lit(1))).withColumn("__g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+        own = F.col("__g") == 0
         for c in self.values():
-            if numeric == "sum" and re.match(r"(tiny|small|big)?int|float|double|decimal", kinds[c]):
-                out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0).cast(dict(out.dtypes)[c])))
-        return self.with_df(out.withColumn(self.ts, label(F.col("__b"), freq)).select(self.item, self.ts, *self.values()))
+            zero = numeric == "sum" and re.match(r"(tiny|small|big)?int|float|double|decimal", kinds[c])
+            kind = dict(out.dtypes)[c]
+            out = out.withColumn(c, F.coalesce(F.when(own, F.col(c)), F.lit(0).cast(kind)) if zero else F.when(own, F.col(c)))
+        out = out.withColumn("__k", F.col("__k") + F.col("__g")).withColumn("__t", label(shown, unit))
+        return self.with_df(out.select(self.item, F.col("__t").alias(self.ts), *self.values()))
 
     # -- future
 

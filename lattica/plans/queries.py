@@ -255,6 +255,64 @@ def resample_quarter_end(spark, sf):
     return out.select("item_id", "ts", (F.round("target", 4) + 0.0).alias("target"))
 
 
+def _ticks(step: str) -> str:
+    return f"""WITH {E}, o AS (SELECT user_id, date_trunc('day', min(ts)) AS o FROM e GROUP BY user_id),
+b AS (SELECT user_id, o, epoch_us(ts - o) // epoch_us({step}) AS k, sum(target) AS v, count(*) AS n FROM e JOIN o USING (user_id) GROUP BY ALL),
+s AS (SELECT user_id, o, unnest(range(min(k), max(k) + 1)) AS k FROM b GROUP BY user_id, o)
+SELECT s.user_id, (s.o + s.k * {step})::TIMESTAMP AS ts, round(coalesce(v, 0), 6) + 0.0 AS target, coalesce(n, 0) AS n FROM s LEFT JOIN b ON b.user_id = s.user_id AND b.k = s.k"""
+
+
+def _counted(spark, sf, freq: str) -> DataFrame:
+    """Sums and numbers of rows of the events' periods."""
+    p = events(spark, sf)
+    return p.with_df(p.df.drop("event_id").withColumn("n", F.lit(1).cast("long"))).convert_frequency(freq, "sum").df.select("user_id", "ts", r6("target").alias("target"), "n")
+
+
+@query(_ticks("INTERVAL 2 DAY"))
+def resample_2days(spark, sf):
+    return _counted(spark, sf, "2D")
+
+
+@query(_ticks("INTERVAL 5 HOUR"))
+def resample_5hours(spark, sf):
+    return _counted(spark, sf, "5h")
+
+
+@query(_ticks("INTERVAL 36 HOUR"))
+def resample_36hours(spark, sf):
+    return _counted(spark, sf, "36h")
+
+
+def _periods(number: str, shown: str, ends: bool) -> str:
+    """Sums over two calendar periods; number: a period's, shown: the label of period p."""
+    return f"""WITH r AS (SELECT o_orderpriority AS item_id, {number} AS p, o_totalprice AS v FROM orders),
+o AS (SELECT item_id, min(p) AS o FROM r GROUP BY item_id),
+b AS (SELECT item_id, o, (p - o + {int(ends)}) // 2 AS k, sum(v) AS v, count(*) AS n FROM r JOIN o USING (item_id) GROUP BY ALL),
+s AS (SELECT item_id, o, unnest(range(min(k), max(k) + 1)) AS k FROM b GROUP BY item_id, o),
+t AS (SELECT s.item_id, s.o + 2 * s.k AS p, v, n FROM s LEFT JOIN b ON b.item_id = s.item_id AND b.k = s.k)
+SELECT item_id, ({shown})::TIMESTAMP AS ts, round(coalesce(v, 0), 2) + 0.0 AS target, coalesce(n, 0) AS n FROM t"""
+
+
+def _orders_by(spark, sf, freq: str) -> DataFrame:
+    df = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("item_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.col("o_totalprice").alias("target"), F.lit(1).cast("long").alias("n"))
+    return Panel(df, "item_id", "ts").convert_frequency(freq, "sum").df.select("item_id", "ts", (F.round("target", 2) + 0.0).alias("target"), "n")
+
+
+@query(_periods("date_diff('week', DATE '1969-12-29', o_orderdate::DATE)", "DATE '1970-01-04' + p::INT * 7", True))
+def resample_2weeks(spark, sf):
+    return _orders_by(spark, sf, "2W")
+
+
+@query(_periods("year(o_orderdate) * 12 + month(o_orderdate) - 1", "make_date(p // 12, p % 12 + 1, 1)", False))
+def resample_2month_starts(spark, sf):
+    return _orders_by(spark, sf, "2MS")
+
+
+@query(_periods("year(o_orderdate) * 4 + quarter(o_orderdate) - 1", "last_day(make_date(p // 4, p % 4 * 3 + 3, 1))", True))
+def resample_2quarter_ends(spark, sf):
+    return _orders_by(spark, sf, "2QE")
+
+
 @query(f"WITH {E} SELECT user_id, max(ts) + s * INTERVAL 6 HOUR AS ts FROM e, range(1, 6) t(s) GROUP BY user_id, s")
 def horizon(spark, sf):
     return events(spark, sf).build_horizon(5, "6h").df.select("user_id", "ts")

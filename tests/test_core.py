@@ -64,7 +64,40 @@ def test_slices_are_python_slices(spark):
             assert values(p.slice_by_timestep(a, b)) == [float(v) for n in (3, 8) for v in list(range(n))[a:b]]
 
 
-def test_frequencies(spark):
+@pytest.fixture(params=["UTC", "America/New_York"])
+def zone(spark, request):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", old)
+
+
+@pytest.mark.parametrize("freq", ["D", "2D", "5h", "36h", "7min", "90s", "W", "2W", "3W", "MS", "2MS", "ME", "2ME", "QS", "2QE", "3QS", "YE", "2YS", "B"])
+def test_resampling_is_that_of_pandas(spark, zone, freq):
+    """Every row falls into one period, whatever the session's time zone; the clocks change on 2024-03-10 in New York."""
+    rng = random.Random(freq)
+    if freq.endswith(("s", "min")):
+        rows = [(k, str(pd.Timestamp("2024-03-10 01:50:00.250") + pd.Timedelta(seconds=rng.randrange(9000))), rng.random()) for k in "ab" for _ in range(60)]
+    else:
+        rows = [(k, str(pd.Timestamp("2024-02-28 23:30") + pd.Timedelta(minutes=rng.randrange(90 * 1440 if freq[-1] in "Dh" else 900 * 1440))), rng.random()) for k in "ab" for _ in range(120)]
+    got = panel(spark, rows).convert_frequency(freq, "sum").sorted().df.select("item_id", F.col("timestamp").cast("string").alias("t"), "target").collect()
+    df = pd.DataFrame(rows, columns=["item_id", "timestamp", "target"]).astype({"timestamp": "datetime64[ns]"})
+    want = pd.concat({k: g.set_index("timestamp")["target"].resample(freq).sum() for k, g in df.groupby("item_id")})
+    assert [(r.item_id, r.t) for r in got] == [(k, f"{t:%Y-%m-%d %H:%M:%S}") for k, t in want.index]
+    assert [r.target for r in got] == pytest.approx(want.tolist())
+    assert sum(r.target for r in got) == pytest.approx(df.target.sum())
+
+
+def test_business_days_and_multiples(spark, zone):
+    for freq in ("B", "2MS", "2QE", "3YE", "2W-SUN", "D"):
+        stamps = pd.date_range("2024-03-06", periods=8, freq=freq)
+        p = panel(spark, [("a", str(t), 1.0) for t in stamps])
+        assert p.infer_frequency() == freq.removesuffix("-SUN")
+        late = [r.timestamp for r in p.build_horizon(4).sorted().df.collect()]
+        assert late == [t.to_pydatetime() for t in pd.date_range(stamps[-1], periods=5, freq=freq)[1:]]
+
+
+def test_frequencies(spark, zone):
     for freq, alias in {"h": "h", "2h": "2h", "D": "D", "MS": "MS", "ME": "ME", "QS": "QS", "YE": "YE", "15min": "15min"}.items():
         stamps = pd.date_range("2023-01-31", periods=6, freq=freq)
         p = panel(spark, [("a", str(t), 1.0) for t in stamps])
