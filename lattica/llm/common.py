@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: 64-bit odd multipliers of the word and shingle hashes (fixed values).
@@ -27,10 +28,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors and the driver share: spark.checkpoint.dir, or one of our own where that is unset and all runs in one process."""
     app = spark.sparkContext.applicationId
     found = spark.conf.get("spark.checkpoint.dir", None) or _own_dirs.get(app)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         found = _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="lattica-shared-")
     return f"{found.rstrip('/')}/lattica-{app}"
 
@@ -43,6 +46,43 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _uri(folder: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+
+
+def save_array(folder: str, name: str, array: np.ndarray) -> None:
+    """Writes an array under a name of its own and renames it, so that repeated tasks do no harm."""
+    fs, path = _uri(folder)
+    fs.create_dir(path, recursive=True)
+    own = f"{path}/.{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(own) as out:
+        out.write(np.ascontiguousarray(array).data if array.size else b"")
+    fs.move(own, f"{path}/{name}")
+
+
+def map_array(folder: str, name: str, dtype) -> np.ndarray:
+    """A read-only memory map of a saved array."""
+    fs, path = _uri(folder)
+    size = fs.get_file_info(f"{path}/{name}").size
+    if not size:
+        return np.empty(0, dtype)
+    if isinstance(fs, pafs.LocalFileSystem):
+        return np.memmap(f"{path}/{name}", dtype, "r")
+    with tempfile.NamedTemporaryFile(prefix="lattica-map-") as local, fs.open_input_stream(f"{path}/{name}") as source:
+        while block := source.read(1 << 24):
+            local.write(block)
+        local.flush()
+        return np.memmap(local.name, dtype, "r")  # the mapping outlives the name
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def held_out(doc_id, buckets: int, remainder: int):
     """crc32(doc_id as text) mod buckets = remainder; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % buckets == remainder

@@ -2,37 +2,51 @@
 
 Vectors are scaled to length 1, so a cosine of t or more is a distance of at most eps = sqrt(2 - 2t). They are turned to
 their principal axes (one pass sums the second moments, a matrix of the dimension's square), sorted by the grid cells of
-side eps on the leading axes, and the sorted sequence is cut into intervals. Pairs of intervals are found by recursion
-over the sequence's halves, skipping halves whose boxes on the leading axes lie more than eps apart; projections never
-lengthen a distance, so nothing that links is skipped. Each remaining pair of intervals is one piece of work, which
-recurses on inside the interval in the same way and compares the leaves by matrix products in double precision.
+side eps on the leading axes, and the sorted sequence is cut into intervals, each saved as arrays in the shared folder
+with its box on the leading axes. Every interval finds its later partners by recursion over the sequence's halves,
+skipping halves whose boxes lie more than eps apart; projections never lengthen a distance, so nothing that links is
+skipped. An interval and a few partners are one piece of work: rows of numbers alone are dealt, and the worker maps the
+arrays it needs, so no vector crosses a shuffle for a pair of intervals and the driver holds no list of them. Leaves are
+skipped by their boxes in the same way, the rest are screened by matrix products in single precision with its error's
+bound as slack, and what passes is decided in double precision.
+
+How much is skipped depends on the vectors: where few axes hold most of the spread, most intervals lie apart; where all
+directions are alike and eps is wider than the spread on each axis, as for vectors drawn at random, no partition by
+boxes can skip anything, and the work grows with the square of the number of vectors.
 
 Equal vectors are one weighted point, so groups of copies cost one row. Pieces of work return counts of links and, for
 the components, a spanning forest of what they found, never the pairs.
 
 Defined cases: null, zero and non-finite vectors, null components and empty vectors link with nothing; vectors of
 another dimension than the most frequent one are compared among their own dimension. Rows that repeat a vec_id are
-vectors of their own for n_links and share a component id. Extra columns are ignored.
+vectors of their own for n_links and share a component id. A null vec_id takes part and names a component only where all
+members' ids are null; ids must be whole numbers. A threshold of 1 links vectors whose cosine rounds to 1. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected, stage
+from .common import connected, map_array, save_array, shared_dir, stage
 
-#: Leading axes of the grid.
-AXES = 8
-#: Vectors of an interval: the sequence is cut into about PARTS intervals of a size between the two bounds.
-PARTS, SMALLEST, LARGEST = 24, 512, 4096
-#: Vectors of a leaf that is compared by a matrix product.
+#: Leading axes of the grid and of the boxes.
+AXES = 16
+#: Vectors of an interval: the sequence is cut into about PARTS intervals of a size between the two bounds, and of at most BYTES.
+PARTS, SMALLEST, LARGEST, BYTES = 24, 512, 16_384, 1 << 25
+#: Partners of an interval in one piece of work, at most.
+PARTNERS = 16
+#: Vectors of a leaf.
 LEAF = 256
-#: Slack of comparisons of distances.
-_EDGE = 1e-9
+#: Slack of comparisons of distances, and the least side of a cell.
+_EDGE, _SIDE = 1e-9, 0.02
+#: Points that stand for more rows than this, and a thousandth of all, get their labels by broadcast.
+HEAVY = 1_000
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -71,8 +85,8 @@ def _apart(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], e
     return float(gap @ gap) > (eps + _EDGE) ** 2
 
 
-def interval_pairs(boxes: list[tuple[np.ndarray, np.ndarray]], eps: float) -> list[tuple[int, int]]:
-    """Pairs (i <= j) of intervals whose boxes are not provably apart: recursion over halves of the sequence."""
+def interval_pairs(boxes: list[tuple[np.ndarray, np.ndarray]], eps: float, only: int | None = None) -> list[tuple[int, int]]:
+    """Pairs (i <= j) of intervals (with only: of that i) whose boxes are not provably apart: recursion over halves of the sequence."""
     n = len(boxes)
     memo: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
@@ -87,6 +101,8 @@ def interval_pairs(boxes: list[tuple[np.ndarray, np.ndarray]], eps: float) -> li
         return memo[a, b]
 
     out, todo = [], [(0, n, 0, n)] if n else []
+    if only is not None:
+        todo = [(only, only + 1, only, only + 1)] + ([(only, only + 1, only + 1, n)] if only + 1 < n else [])
     while todo:
         a, b, c, d = todo.pop()
         if (a, b) != (c, d) and _apart(box(a, b), box(c, d), eps):
@@ -107,30 +123,35 @@ def interval_pairs(boxes: list[tuple[np.ndarray, np.ndarray]], eps: float) -> li
 
 def join_blocks(x: np.ndarray, px: np.ndarray, y: np.ndarray | None, py: np.ndarray | None, t: float):
     """Index pairs of linked rows of x and y (y None: of x with itself, i < j), in chunks. px, py: leading coordinates, in sequence order."""
-    eps = math.sqrt(2 - 2 * t)
+    eps = math.sqrt(max(0.0, 2 - 2 * t))
     same = y is None
     y, py = (x, px) if same else (y, py)
-    leaves = [[(i, min(i + LEAF, len(z))) for i in range(0, len(z), LEAF)] for z in (x, y)]
-    boxes = [[(p[a:b].min(axis=0), p[a:b].max(axis=0)) for a, b in z] for p, z in ((px, leaves[0]), (py, leaves[1]))]
-    for i, (a, b) in enumerate(leaves[0]):
-        for j in range(i if same else 0, len(leaves[1])):
-            if _apart(boxes[0][i], boxes[1][j], eps):
-                continue
-            c, d = leaves[1][j]
-            cos = x[a:b] @ y[c:d].T
-            r, s = np.nonzero(cos >= t - _EDGE)
-            if len(r):
-                near = cos[r, s]
-                edge = np.abs(near - t) <= _EDGE
-                for k in np.flatnonzero(edge):  # at the threshold the plain sum decides, not the product's order of adding
-                    u, v = x[a + r[k]], y[c + s[k]]
-                    near[k] = math.fsum(u * v) / math.sqrt(math.fsum(u * u) * math.fsum(v * v))
-                keep = near >= t
-                r, s = r[keep] + a, s[keep] + c
-                if same and i == j:
+    slack = np.float32(t - (x.shape[1] + 16) * 2.0**-22)
+    x32, y32 = x.astype(np.float32), y.astype(np.float32)
+    starts = [np.arange(0, len(z), LEAF) for z in (x, y)]
+    low, high = [np.minimum.reduceat(p, at) for p, at in zip((px, py), starts, strict=True)], [np.maximum.reduceat(p, at) for p, at in zip((px, py), starts, strict=True)]
+    for i, a in enumerate(starts[0].tolist()):
+        b = min(a + LEAF, len(x))
+        gap = np.maximum(0, np.maximum(low[0][i] - high[1], low[1] - high[0][i]))
+        live = (gap * gap).sum(axis=1) <= (eps + _EDGE) ** 2
+        if same:
+            live[:i] = False
+        edge = np.flatnonzero(np.diff(np.concatenate(([0], live.astype(np.int8), [0]))))
+        for first, last in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):  # runs of leaves that aren't apart
+            for c in range(first * LEAF, min(last * LEAF, len(y)), 16 * LEAF):
+                d = min(c + 16 * LEAF, last * LEAF, len(y))
+                r, s = np.nonzero(x32[a:b] @ y32[c:d].T >= slack)
+                r, s = r + a, s + c
+                if same:
                     r, s = r[r < s], s[r < s]
-                if len(r):
-                    yield r, s
+                for g in range(0, len(r), 1 << 16):
+                    u, v = r[g : g + (1 << 16)], s[g : g + (1 << 16)]
+                    near = np.einsum("ij,ij->i", x[u], y[v])
+                    for k in np.flatnonzero(np.abs(near - t) <= _EDGE):  # at the threshold the exact sum decides
+                        p, q = x[u[k]], y[v[k]]
+                        near[k] = math.fsum(p * q) / math.sqrt(math.fsum(p * p) * math.fsum(q * q))
+                    if (keep := near >= t).any():
+                        yield u[keep], v[keep]
 
 
 def _spanning(r: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,103 +182,116 @@ def _forest(u: np.ndarray, v: np.ndarray, parent: dict[int, int]) -> None:
             parent[max(a, b)] = min(a, b)
 
 
+def _order(lead: np.ndarray, eps: float) -> np.ndarray:
+    """Place of each row in the epsilon grid order: its cells on the leading axes, as one number (of as many axes as fit)."""
+    side = max(eps, _SIDE)
+    cell, each = np.floor((lead + 1) / side).astype(np.int64), int(2 / side) + 3
+    key = np.zeros(len(cell), np.int64)
+    for k in range(min(cell.shape[1], int(62 / math.log2(each)))):
+        key = key * each + np.clip(cell[:, k], 0, each - 1)
+    return key
+
+
 def _links(points: DataFrame, dim: int, t: float) -> DataFrame:
     """points: pid, weight, v. Returns (pid, links, root): counts of linked weight, and edges pid-root of a spanning forest (root null: none)."""
-    eps = math.sqrt(2 - 2 * t)
-    n = points.count()
-    size = min(LARGEST, max(SMALLEST, -(-n // PARTS)))
+    eps = math.sqrt(max(0.0, 2 - 2 * t))
+    n, spark = points.count(), points.sparkSession
+    size = min(LARGEST, max(SMALLEST, -(-n // PARTS)), max(LEAF, BYTES // (8 * dim)))
     axes = _axes(points, dim)
-    width = axes.shape[1]
+    kind = dict(points.dtypes)["v"]
+    real = np.float32 if kind == "array<float>" else np.float64
+    folder = f"{shared_dir(spark)}/sequence-{uuid.uuid4().hex[:12]}"
 
     def place(batches):
         for b in batches:
-            lead = _unit(_matrix(b.column("v"), dim)) @ axes
-            cell = np.floor((lead + 1) / eps).astype(np.int64)
-            key = np.zeros(len(cell), np.int64)
-            for k in range(width):
-                key = key * (int(2 / eps) + 2) + cell[:, k]
-            yield pa.RecordBatch.from_arrays([b.column("pid"), b.column("weight"), b.column("v"), pa.array(key)], names=["pid", "weight", "v", "cell"])
-
-    placed = points.mapInArrow(place, "pid long, weight long, v array<float>, cell long" if "float" in dict(points.dtypes)["v"] else "pid long, weight long, v array<double>, cell long")
-    # intervals: the sequence's order is (cell, pid); cut by counts of cells, then of rows within a partition
-    parts = max(1, -(-n // size))
-    ordered = placed.repartitionByRange(parts, "cell", "pid").sortWithinPartitions("cell", "pid")
+            yield pa.RecordBatch.from_arrays([b.column("pid"), b.column("weight"), b.column("v"), pa.array(_order(_unit(_matrix(b.column("v"), dim)) @ axes, eps))], names=["pid", "weight", "v", "cell"])
+
+    placed = points.mapInArrow(place, f"pid long, weight long, v {kind}, cell long")
+    ordered = placed.repartitionByRange(max(1, -(-n // size)), "cell", "pid").sortWithinPartitions("cell", "pid")
 
     def cut(batches):
-        """Numbers the intervals of a partition: at most `size` rows each."""
+        """Saves the intervals of a partition, at most `size` rows each, and gives their names and boxes."""
         from pyspark import TaskContext
 
-        base, seen = TaskContext.get().partitionId() << 32, 0
-        for b in batches:
-            at = (seen + np.arange(b.num_rows)) // size + base
-            seen += b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at)], names=[*b.schema.names, "interval"])
+        base, held, rows, k = TaskContext.get().partitionId() << 24, [], 0, 0
 
-    kind = dict(points.dtypes)["v"]
-    ordered = stage(ordered.mapInArrow(cut, f"pid long, weight long, v {kind}, cell long, interval long"), "sequence")
+        def save(table):
+            v = np.asarray(table.column("v").combine_chunks().flatten(), dtype=real).reshape(-1, dim)
+            lead = _unit(v.astype(np.float64)) @ axes
+            for part, array in (("v", v), ("pid", np.asarray(table.column("pid"), np.int64)), ("weight", np.asarray(table.column("weight"), np.int64))):
+                save_array(folder, f"{part}-{base + k}", array)
+            return pa.RecordBatch.from_arrays([pa.array([base + k]), pa.array([lead.min(axis=0).tolist()]), pa.array([lead.max(axis=0).tolist()])], names=["name", "low", "high"])
 
-    def boxed(batches):
-        low, high = {}, {}
         for b in batches:
-            lead, at = _unit(_matrix(b.column("v"), dim)) @ axes, np.asarray(b.column("interval"))
-            for i in np.unique(at).tolist():
-                p = lead[at == i]
-                low[i] = np.minimum(low.get(i, np.inf), p.min(axis=0))
-                high[i] = np.maximum(high.get(i, -np.inf), p.max(axis=0))
-        for i in low:
-            yield pa.RecordBatch.from_arrays([pa.array([i] * width), pa.array(np.arange(width, dtype=np.int32)), pa.array(low[i]), pa.array(high[i])], names=["interval", "axis", "low", "high"])
-
-    found = ordered.select("v", "interval").mapInArrow(boxed, "interval long, axis int, low double, high double").groupBy("interval", "axis").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("interval", "axis").toPandas()
-    names = found["interval"].unique().tolist()
-    low, high = found["low"].to_numpy().reshape(len(names), width), found["high"].to_numpy().reshape(len(names), width)
-    pairs = interval_pairs([(low[i], high[i]) for i in range(len(names))], eps)
-    spark = points.sparkSession
-    work = spark.createDataFrame([(names[s], k, side) for k, (i, j) in enumerate(pairs) for side, s in enumerate((i, j)) if side == 0 or i != j] or [(0, 0, 0)], "interval long, work int, side int")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = ordered.drop("cell").join(F.broadcast(work) if work.count() <= 1_000_000 else work, "interval").repartition(max(tasks, min(len(pairs), 4 * tasks)), "work").sortWithinPartitions("work", "side", "pid")
-
-    def compare(pid, weight, side, v):
-        x = _unit(v)
-        lead = x @ axes
-        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        order = lambda r: r[np.lexsort(np.floor((lead[r] + 1) / eps).T[::-1])]
-        one, two = order(one), order(two)
-        count, parent = np.zeros(len(pid), np.int64), {}
-        for r, s in join_blocks(x[one], lead[one], x[two] if len(two) else None, lead[two] if len(two) else None, t):
-            r, s = one[r], (two if len(two) else one)[s]
-            count += np.bincount(r, weight[s], len(pid)).astype(np.int64) + np.bincount(s, weight[r], len(pid)).astype(np.int64)
-            _forest(*_spanning(r, s), parent)
-        hit = np.flatnonzero(count)
-        root = []
-        for i in hit.tolist():
-            k = i
-            while parent[k] != k:
-                k = parent[k]
-            root.append(int(pid[k]))
-        return pa.RecordBatch.from_arrays([pa.array(pid[hit]), pa.array(count[hit]), pa.array(root, pa.int64())], names=["pid", "links", "root"])
+            held.append(b)
+            rows += b.num_rows
+            while rows >= size:
+                t_ = pa.Table.from_batches(held)
+                yield save(t_.slice(0, size))
+                k, rest = k + 1, t_.slice(size)
+                held, rows = rest.to_batches(), rest.num_rows
+        if rows:
+            yield save(pa.Table.from_batches(held))
+
+    boxes = stage(ordered.mapInArrow(cut, "name long, low array<double>, high array<double>"), "boxes")
+    m = boxes.count()
+
+    def index(batches):
+        """Saves the boxes in the sequence's order: 2 * AXES + 1 numbers an interval."""
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        save_array(folder, "names", np.asarray(table.column("name"), np.int64))
+        for side in ("low", "high"):
+            save_array(folder, side, np.asarray(table.column(side).combine_chunks().flatten(), np.float64))
+        yield pa.RecordBatch.from_arrays([pa.array([table.num_rows])], names=["n"])
+
+    boxes.coalesce(1).sortWithinPartitions("name").mapInArrow(index, "n long").count()
+    each = min(PARTNERS, max(1, m // 8))
+
+    def deal(batches):
+        low, high = (map_array(folder, side, np.float64).reshape(m, -1) for side in ("low", "high"))
+        all_boxes = [(low[i], high[i]) for i in range(m)]
+        for b in batches:
+            for i in b.column("id").to_pylist():
+                mates = sorted(j for _, j in interval_pairs(all_boxes, eps, i))
+                some = [mates[g : g + each] for g in range(0, len(mates), each)]
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(some), pa.int64()), pa.array(some, pa.list_(pa.int64()))], names=["one", "others"])
+
+    work = stage(spark.range(0, m, 1, max(1, min(m, 256))).mapInArrow(deal, "one long, others array<long>"), "work")
+
+    def load(name):
+        v = _unit(map_array(folder, f"v-{name}", real).reshape(-1, dim).astype(np.float64))
+        return v, v @ axes, map_array(folder, f"pid-{name}", np.int64), map_array(folder, f"weight-{name}", np.int64)
+
+    def compare(one, others, names):
+        x, lead, pid, weight = load(names[one])
+        for j in others:
+            y, lead_y, pid_y, weight_y = (None, None, pid[:0], weight[:0]) if j == one else load(names[j])
+            ids, count, parent = np.concatenate((pid, pid_y)), np.zeros(len(pid) + len(pid_y), np.int64), {}
+            for r, s in join_blocks(x, lead, y, lead_y, t):
+                mass, s = (weight if y is None else weight_y)[s], s if y is None else s + len(pid)
+                count += (np.bincount(r, mass, len(ids)) + np.bincount(s, weight[r], len(ids))).astype(np.int64)
+                _forest(*_spanning(r, s), parent)
+            hit = np.flatnonzero(count)
+            root = []
+            for i in hit.tolist():
+                while parent[i] != i:
+                    i = parent[i]
+                root.append(int(ids[i]))
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(count[hit]), pa.array(root, pa.int64())], names=["pid", "links", "root"])
 
     def run(batches):
-        held, now = [], None
+        names = map_array(folder, "names", np.int64).tolist()
         for b in batches:
-            works = np.asarray(b.column("work"))
-            cuts = [0, *(np.flatnonzero(works[1:] != works[:-1]) + 1).tolist(), len(works)]
-            for a, c in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == c:
-                    continue
-                if works[a] != now and held:
-                    yield compare(*_gather(held, dim))
-                    held = []
-                now = works[a]
-                held.append(b.slice(a, c - a))
-        if held:
-            yield compare(*_gather(held, dim))
-
-    return dealt.select("pid", "weight", "v", "work", "side").mapInArrow(run, "pid long, links long, root long")
-
+            for one, others in zip(b.column("one").to_pylist(), b.column("others").to_pylist(), strict=True):
+                yield from compare(one, others, names)
 
-def _gather(held: list[pa.RecordBatch], dim: int):
-    t = pa.Table.from_batches(held).combine_chunks()
-    return np.asarray(t.column("pid")), np.asarray(t.column("weight")), np.asarray(t.column("side")), _matrix(t.column("v"), dim)
+    pieces = work.count()
+    tasks = min(pieces, max(int(spark.conf.get("spark.sql.shuffle.partitions")), pieces // 8))
+    return work.repartition(max(1, tasks)).mapInArrow(run, "pid long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -271,7 +305,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     # equal vectors are one point; adding 0 makes -0 and 0 equal
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0).cast(kind[6:-1])))
     points = rows.where("v is not null").groupBy("v").agg(F.count("*").alias("weight"), F.min("vec_id").alias("low"))
-    points = stage(points.withColumn("pid", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "points")
+    key = [F.xxhash64("v").alias("k1"), F.xxhash64(F.lit("wide"), "v").alias("k2")]  # 128 bits name a vector where its label is joined
+    points = stage(points.withColumn("pid", F.monotonically_increasing_id()).select("*", F.size("v").alias("dim"), *key), "points")
     found = None
     for (dim,) in sorted(points.select("dim").distinct().collect()):
         part = _links(points.where(F.col("dim") == dim).select("pid", "weight", "v"), dim, threshold)
@@ -280,11 +315,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     links = stage(found, "links")
     total = links.groupBy("pid").agg(F.sum("links").alias("links"))
-    comp = connected(links.where("pid <> root").select(F.col("pid").alias("u"), F.col("root").alias("v")).distinct())
-    named = points.drop("v").join(total, "pid", "left").join(comp.withColumnRenamed("node", "pid"), "pid", "left").withColumn("comp", F.coalesce("component", "pid"))
-    least = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    label = stage(named.join(least, "comp").select("pid", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "label")
-    tagged = points.select("pid", "v").join(label, "pid").select(F.col("v").alias("__v"), "n_links", "component_id")
-    out = rows.where("v is not null").join(tagged, F.col("v") == F.col("__v")).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    comp = stage(connected(links.where("pid <> root").select(F.col("pid").alias("u"), F.col("root").alias("v")).distinct()), "linked")
+    small = points.drop("v", "dim")
+    named = small.join(comp.select(F.col("node").alias("pid"), F.col("component").alias("comp")), "pid")
+    least = named.groupBy("comp").agg(F.min("low").alias("least"))
+    least = F.broadcast(least) if comp.select("component").distinct().count() <= 1_000_000 else least
+    label = small.join(named.join(least, "comp").select("pid", "least"), "pid", "left").join(total, "pid", "left")
+    label = stage(label.select("k1", "k2", "weight", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "low").alias("component_id")), "label")
+    good = rows.where("v is not null").select("vec_id", *key)
+    # vectors that many rows share, at most a thousand of them, would each be one hot key of the join
+    heavy = max(HEAVY, rows.count() // 1000)
+    some = F.broadcast(label.where(F.col("weight") > heavy))
+    out = good.join(some, ["k1", "k2"]).unionByName(good.join(some.select("k1", "k2"), ["k1", "k2"], "left_anti").join(label.where(F.col("weight") <= heavy), ["k1", "k2"]))
+    out = out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
     alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     return out.union(alone)

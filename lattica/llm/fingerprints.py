@@ -13,10 +13,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import stage
+
 #: Documents in one range of the ordered walk, and the most ranges (the driver holds one id for each).
 RANGE_ROWS, RANGES = 2_000, 8_192
 #: A list of digests of at most this many is broadcast; a longer one is joined by shuffle.
 BROADCAST_DIGESTS = 500_000
+#: Digests of more documents than this, and than a thousandth of all, are joined by broadcast in any case.
+HEAVY = 1_000
 
 
 def _icu(cls: str, method: str, text: Column) -> Column:
@@ -39,19 +43,23 @@ def fingerprint(text: Column) -> Column:
     return digest(canonical(text))
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """fingerprint, part, copy_of: for each digest of two or more documents, the smallest doc_id of each set of byte-equal canonical texts.
+def copies(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """fingerprint, part, copy_of, n: for each digest of two or more documents, the smallest doc_id of each set of byte-equal canonical texts.
 
-    part is null unless texts of one digest differ; it is then the canonical text that the row stands for.
+    part is null unless texts of one digest differ; it is then the canonical text that the row stands for. prints: the
+    digests of docs, one row a document.
     """
-    own = docs.select(F.col("doc_id"), canonical("text").alias("canon")).withColumn("fingerprint", digest(F.col("canon")))
-    twice = own.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
+    twice = prints.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
     few = F.broadcast(twice) if twice.count() <= BROADCAST_DIGESTS else twice
+    own = docs.select(F.col("doc_id"), canonical("text").alias("canon")).withColumn("fingerprint", digest(F.col("canon")))
     met = own.join(few, "fingerprint", "left_semi")
-    by = met.groupBy("fingerprint").agg(F.min("canon").alias("c1"), F.max("canon").alias("c2"), F.min("doc_id").alias("copy_of"))
-    same = by.where("c1 = c2").select("fingerprint", F.lit(None).cast("string").alias("part"), "copy_of")
-    clash = by.where("c1 <> c2").select("fingerprint")
-    apart = met.join(clash, "fingerprint", "left_semi").groupBy("fingerprint", F.col("canon").alias("part")).agg(F.min("doc_id").alias("copy_of"))
+    by = met.groupBy("fingerprint").agg(F.min("canon").alias("c1"), F.max("canon").alias("c2"), F.min("doc_id").alias("copy_of"), F.count("*").alias("n"))
+    by = stage(by.select("fingerprint", (F.col("c1") == F.col("c2")).alias("same"), "copy_of", "n"), "buckets")
+    same = by.where("same").select("fingerprint", F.lit(None).cast("string").alias("part"), "copy_of", "n")
+    clash = by.where("not same").select("fingerprint")
+    if clash.isEmpty():
+        return same
+    apart = met.join(clash, "fingerprint", "left_semi").groupBy("fingerprint", F.col("canon").alias("part")).agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n"))
     return same.union(apart)
 
 
@@ -104,11 +112,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     own = own.withColumn("n_chars", F.length("text").cast("long"))
     own = own.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half)))
     own = own.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint"
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint", F.xxhash64("text").alias("text_hash")
     )
     near = lambda c: F.when(F.col("fingerprint") == F.col(c), 1.0).otherwise(0.0)
-    own = own.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))
-    groups = copies(docs)
-    alike = groups.where("part is null").select("fingerprint", "copy_of")
-    out = own.join(alike, "fingerprint", "left").select(*own.columns, F.coalesce("copy_of", "doc_id").alias("copy_of"))
-    return out
+    own = stage(own.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"), "text_hash"), "digests")
+    groups = copies(docs, own.select("fingerprint"))
+    alike, clash = groups.where("part is null").select("fingerprint", "copy_of", "n"), groups.where("part is not null")
+    columns = [c for c in own.columns if c != "text_hash"]
+    named = lambda df: df.select(*columns, F.coalesce("copy_of", "doc_id").alias("copy_of"))
+    if not clash.isEmpty():  # texts of one digest that differ: their rows are known by the text's own hash and doc_id
+        met = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__hash"), canonical("text").alias("part")).withColumn("fingerprint", digest(F.col("part")))
+        met = met.join(clash, ["fingerprint", "part"]).select("fingerprint", "__id", "__hash", F.col("copy_of").alias("__copy")).distinct()
+        own = own.join(met, (own["fingerprint"] == met["fingerprint"]) & own["doc_id"].eqNullSafe(met["__id"]) & (own["text_hash"] == met["__hash"]), "left").select(*(own[c] for c in columns), "__copy")
+        named = lambda df: df.select(*columns, F.coalesce("copy_of", "__copy", "doc_id").alias("copy_of"))
+    if alike.count() <= BROADCAST_DIGESTS:
+        return named(own.join(F.broadcast(alike), "fingerprint", "left"))
+    # digests that very many documents share, at most a thousand of them, would each be one hot key of the join
+    heavy = max(HEAVY, own.count() // 1000)
+    some = F.broadcast(alike.where(F.col("n") > heavy))
+    rest = own.join(some.select("fingerprint"), "fingerprint", "left_anti")
+    return named(own.join(some, "fingerprint")).union(named(rest.join(alike.where(F.col("n") <= heavy), "fingerprint", "left")))

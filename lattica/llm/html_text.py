@@ -3,12 +3,14 @@
 A page becomes a tree of elements (optional end tags, void and raw-text elements, comments and broken nesting handled)
 and a list of text blocks in page order. Elements that never hold the article (navigation, forms, scripts, footers ...)
 and elements whose role, class or id words say so are left out. Every block passes points for its length and its commas
-to its parent, half of them to the parent above and less to those further up; an element's points are discounted by the
-share of its text that is in links. The best element, or the article or main element around it, is the container; its
-siblings are kept if they score well too, or are headings or paragraphs of little link text.
+to its parent, half of them to the parent above and a third of what is left to each one further up; an element's points
+are discounted by the share of its text that is in links. The best element, or the article or main element around it, is
+the container; its siblings are kept if they score well too or, beside a container that is neither, hold paragraphs or
+headings of little link text. Parsing and scoring take time in proportion to the page, whatever its nesting.
 
 Defined cases: null and empty pages, and pages without text, give an empty text. Unclosed elements end with their
-parent; an unclosed comment or script reaches to the end. White space is what Unicode says, no-break spaces included.
+parent, unclosed form controls and templates are empty; an unclosed comment or script reaches to the end; a quote that
+never ends is a part of its tag up to the next >. White space is what Unicode says, no-break spaces included.
 Rows are independent, so repeated rows give repeated results. Extra columns are ignored.
 """
 
@@ -22,8 +24,10 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Element names (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template xmp svg math canvas object audio video select button noframes".split())
-SKIP = frozenset("nav footer aside form menu dialog head fieldset".split()) | RAW
+RAW = frozenset("script style textarea title iframe xmp noframes noembed".split())
+#: Parts that never hold the article, and are empty where their end is missing.
+CONTROLS = frozenset("button select datalist noscript template".split())
+SKIP = frozenset("nav footer aside form menu dialog head fieldset".split()) | CONTROLS | RAW
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: Elements that the start of another one ends, up to the nearest of the bounds (fixed values).
 ENDS = {
@@ -40,9 +44,14 @@ JUNK = frozenset(
     "sidebar aside rail footer contentinfo masthead topbar cookie cookies consent gdpr privacy notice notices alert share sharing social related recommended recommendations "
     "newsletter subscribe subscription signup login register popup modal overlay dialog widget widgets pagination pager toolbar complementary search paywall outbrain taboola hidden".split()
 )
+#: Elements whose points go to what holds them (fixed values).
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li pre td blockquote dd dt figcaption".split())
+#: Characters from which text outside of paragraphs, beside the container, is kept.
+LOOSE = 80
 COMMENTS = frozenset("comment comments commentlist disqus reply replies respond discussion reactions feedback".split())
 HEADS = frozenset("header banner masthead".split())
-_TOKEN = re.compile(r"""<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)(>|\Z)""")
+_TOKEN = re.compile(r"""<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|(?!["'])[^\s>]*+))?)*+)(>|\Z)?""")
+_DIGITS = re.compile(r"&#(?:0*[1-9]\d{7,}|[xX]0*[1-9a-fA-F][0-9a-fA-F]{6,});?")
 _ATTR = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -57,7 +66,33 @@ class _Page:
         self._parse(source)
 
     def _parse(self, s: str) -> None:
-        stack, at, n, links, open_block = [0], 0, len(s), 0, None
+        tag, stack, at, n, links, open_block = self.tag, [0], 0, len(s), 0, None
+        held: dict[str, list[int]] = {}  # where in the stack the open elements of a name are
+        tops: list[int] = []  # where in the stack the open blocks and left-out parts are
+        ended: set[int] = set()  # links that ended while blocks inside them stay open
+        low = s.lower()
+        last_end = {name: low.rfind("</" + name) for name in CONTROLS}
+
+        def cut(to: int) -> None:
+            nonlocal links
+            while len(stack) > to:
+                e = stack.pop()
+                if e in ended:
+                    continue
+                held[tag[e]].pop()
+                links -= tag[e] == "a"
+                if tops and tops[-1] == len(stack):
+                    tops.pop()
+
+        def end(name: str) -> None:
+            """An end tag; one of an inline element leaves the blocks inside it open."""
+            nonlocal links
+            if at_ := held.get(name):
+                if name in BLOCK or name in SKIP or not tops or tops[-1] < at_[-1]:
+                    cut(at_[-1])
+                else:
+                    ended.add(stack[at_.pop()])
+                    links -= name == "a"
 
         def text(raw: str) -> None:
             nonlocal open_block
@@ -65,10 +100,9 @@ class _Page:
                 if open_block is None:
                     if raw.isspace():
                         return
-                    owner = next(e for e in reversed(stack) if e == 0 or self.tag[e] in BLOCK or self.tag[e] in SKIP)
-                    open_block = [owner, [], 0]
+                    open_block = [stack[tops[-1]] if tops else 0, [], 0]
                     self.blocks.append(open_block)
-                plain = html.unescape(raw) if "&" in raw else raw
+                plain = html.unescape(_DIGITS.sub("\ufffd", raw)) if "&" in raw else raw
                 open_block[1].append(plain)
                 if links:
                     open_block[2] += len("".join(plain.split()))
@@ -86,24 +120,20 @@ class _Page:
                 if m[0] == "<!--" and s.startswith(">", at):
                     at += 1
                     continue
-                end = s.find(close, at)
-                at = n if end < 0 else end + len(close)
+                stop = s.find(close, at)
+                at = n if stop < 0 else stop + len(close)
                 continue
             name = name.lower()
             if m[1]:
-                if name in BLOCK or name in RAW:
+                if name in BLOCK or name in SKIP:
                     open_block = None
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[i]] == name:
-                        links -= sum(self.tag[e] == "a" for e in stack[i:])
-                        del stack[i:]
-                        break
+                end(name)
                 continue
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(s, at)
-                if name not in ("button",):
-                    open_block = open_block if name in ("svg", "math", "canvas", "audio", "video", "object") else None
-                at = n if end is None else end.end()
+                open_block = None
+                stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])").search(low, at) if len(low) == n else re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(s, at)
+                stop = s.find(">", stop.end()) if stop else -1
+                at = n if stop < 0 else stop + 1
                 continue
             if name == "br" or name == "wbr":
                 text(" " if name == "br" else "")
@@ -112,36 +142,31 @@ class _Page:
                 if name == "hr":
                     open_block = None
                 continue
+            if name in CONTROLS and last_end[name] < at:
+                continue
+            if name == "a":
+                end("a")
             if name in BLOCK:
                 open_block = None
-                cut = len(stack)
-                if name != "p" or True:
-                    for i in range(len(stack) - 1, 0, -1):
-                        t = self.tag[stack[i]]
-                        if t == "p":
-                            cut = i
-                            break
-                        if t in BLOCK and t not in ("p",):
-                            break
+                to = len(stack)
+                if tops and tag[stack[tops[-1]]] == "p":
+                    to = tops[-1]
                 if name in ENDS:
-                    ended, bound = ENDS[name]
-                    for i in range(len(stack) - 1, 0, -1):
-                        t = self.tag[stack[i]]
-                        if t in bound:
-                            break
-                        if t in ended:
-                            cut = min(cut, i)
-                            break
-                if cut < len(stack):
-                    links -= sum(self.tag[e] == "a" for e in stack[cut:])
-                    del stack[cut:]
-            self.tag.append(name)
+                    over, bound = (max((held[x][-1] for x in names if held.get(x)), default=-1) for names in ENDS[name])
+                    if over > bound:
+                        to = min(to, over)
+                cut(to)
+            elif name in CONTROLS:
+                open_block = None
+            tag.append(name)
             self.parent.append(stack[-1])
             self.attrs.append(m[3])
-            if name == "a":
-                links += 1
             if not (m[3].endswith("/") and name not in BLOCK and name not in ("a", "b", "i", "span", "em", "strong")):
-                stack.append(len(self.tag) - 1)
+                held.setdefault(name, []).append(len(stack))
+                if name in BLOCK or name in SKIP:
+                    tops.append(len(stack))
+                links += name == "a"
+                stack.append(len(tag) - 1)
 
 
 def _words(attrs: str) -> tuple[set[str], bool]:
@@ -185,7 +210,7 @@ def main_text(source: str | None) -> str:
     for e in range(1, n):
         p, t = parent[e], tag[e]
         within[e] = within[p] or t in ("article", "main")
-        junk[e] = junk[p] or t in SKIP or t == "header" and not within[e]
+        junk[e] = junk[p] or t in SKIP and not (t == "form" and marks[e]) or t == "header" and not within[e]
         if not junk[e] and page.attrs[e] and t not in ("html", "body", "main"):
             words, hidden = _words(page.attrs[e])
             if words & COMMENTS:
@@ -196,17 +221,18 @@ def main_text(source: str | None) -> str:
     if not kept:
         return ""
     # points
-    points = [0.0] * n
+    points, own, above, prose = [0.0] * n, [0.0] * n, [0.0] * n, [False] * n
     for owner, text, links in kept:
         size = len(text)
         share = (1 + text.count(",") + text.count("،") + text.count("、") + min(size / 100, 3.0 + size / 1000)) * (1 - min(1.0, links / max(1, size)))
         # a paragraph's points go to what holds it
-        e = parent[owner] if tag[owner] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "td", "blockquote", "dd", "dt", "figcaption") else owner
-        level = 0
-        while e > 0:
-            points[e] += share if level == 0 else share / 2 if level == 1 else share / (3 * level)
-            level += 1
-            e = parent[e]
+        own[parent[owner] if tag[owner] in PARAGRAPHS else owner] += share
+        prose[owner] = prose[owner] or tag[owner] in PARAGRAPHS
+    for e in range(n - 1, 0, -1):
+        p = parent[e]
+        points[e] = own[e] + above[e]
+        above[p] += own[e] / 2 + above[e] / 3
+        prose[p] = prose[p] or prose[e]
     for e in range(1, n):
         points[e] *= 1 - min(1.0, linked[e] / max(1, chars[e]))
         if tag[e] == "article":
@@ -232,15 +258,15 @@ def main_text(source: str | None) -> str:
     for e in range(best + 1, n):
         inside[e] = inside[parent[e]]
     if parent[best] >= 0:
-        own = {e for e in range(1, n) if parent[e] == parent[best] and e != best and not junk[e]}
-        for e in own:
+        beside = {e for e in range(1, n) if parent[e] == parent[best] and e != best and not junk[e]}
+        for e in beside:
             density = linked[e] / max(1, chars[e])
-            if density < 0.25 and (points[e] >= max(10.0, 0.2 * points[best]) or tag[e] in ("p", "h1", "h2") and tag[best] not in ("article", "main")):
+            if density < 0.25 and (points[e] >= max(10.0, 0.2 * points[best]) or (prose[e] or chars[e] >= LOOSE) and tag[best] not in ("article", "main")):
                 inside[e] = True
         for e in range(1, n):
-            inside[e] = inside[e] or inside[parent[e]] and parent[e] in own
-            if inside[e] and parent[e] in own:
-                own.add(e)
+            inside[e] = inside[e] or inside[parent[e]] and parent[e] in beside
+            if inside[e] and parent[e] in beside:
+                beside.add(e)
     # lists of links inside the container are menus
     for e in range(1, n):
         if inside[e] and e != best and tag[e] in ("ul", "ol", "dl", "div", "section", "table") and links_in[e] >= 2 and linked[e] > 0.6 * chars[e]:

@@ -3,8 +3,8 @@
 Counting is three shuffles of packed, sorted runs, each merged by shards that write sorted arrays into the shared folder:
 word hashes with counts (a word's id is its place), bigrams (id before, id) with counts, and for every word the numbers
 of different words before it and of bigrams seen once, twice and more often after it. Runs are aggregated before the
-shuffle; the bigrams of a word that holds more than 1/(4*shards) of all tokens are spread over all shards. The driver
-sees a row a shard only. Workers map the arrays of the shared folder (of a local copy, where that folder is not a file
+shuffle; the numbers of shards follow the size of the texts, every shard is a task of its own, and the bigrams of a word
+that holds more than 1/(4*shards) of all tokens are spread over all shards. The driver sees a row a shard only. Workers map the arrays of the shared folder (of a local copy, where that folder is not a file
 system they can map) and look up sorted queries.
 
 P(v|u) = (c(uv) - D(c(uv))) / c(u) + g(u) P1(v), P1(v) = (b(v) - D'(b(v))) / B + g1 / (V + 1) with b(v) the number of
@@ -18,54 +18,22 @@ Repeated rows count and are scored as often as they come. At most 2^32 - 2 diffe
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import doc_words, mix, pieces, shared_dir
+from .common import doc_words, map_array, mix, pieces, save_array, shared_dir
 
 #: Tokens gathered by a map task before it sends a run on.
 FLUSH = 4_000_000
-#: Tokens for which there is one shard of bigrams, and words for one of words.
-SHARD_TOKENS = 6_000_000
+#: Tokens for which there is one shard of bigrams and, at some bytes a token, at least one of words.
+SHARD_TOKENS, TOKEN_BYTES = 6_000_000, 6
 
 _maps: dict = {}
 
 
-def _uri(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-
-
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    """Writes an array under a name of its own and renames it, so that repeated tasks do no harm."""
-    fs, path = _uri(folder)
-    fs.create_dir(path, recursive=True)
-    own = f"{path}/.{name}-{uuid.uuid4().hex}"
-    with fs.open_output_stream(own) as out:
-        out.write(np.ascontiguousarray(array).data if array.size else b"")
-    fs.move(own, f"{path}/{name}")
-
-
-def _map(folder: str, name: str, dtype) -> np.ndarray:
-    """A read-only memory map of a saved array."""
-    fs, path = _uri(folder)
-    size = fs.get_file_info(f"{path}/{name}").size
-    if not size:
-        return np.empty(0, dtype)
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(f"{path}/{name}", dtype, "r")
-    with tempfile.NamedTemporaryFile(prefix="lattica-map-") as local, fs.open_input_stream(f"{path}/{name}") as source:
-        while block := source.read(1 << 24):
-            local.write(block)
-        local.flush()
-        return np.memmap(local.name, dtype, "r")  # the mapping outlives the name
-
-
 def _runs(batches):
     """(shard, [blobs]) of rows sorted by shard."""
     now, held = None, []
@@ -120,20 +88,19 @@ def _raw(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 class Reader:
-    """Word ids, counts and bigram counts from the mapped arrays. meta: folder, bits (of word shards), offsets, hot, shards."""
+    """Word ids, counts and bigram counts from the mapped arrays. meta: folder, bits (of word shards), offsets, least (tokens of a hot word), shards."""
 
     def __init__(self, meta: dict):
         self.meta, self.folder = meta, meta["folder"]
         self.offsets = np.array(meta["offsets"], np.int64)  # first id of each word shard, and the number of words
         self.words = int(self.offsets[-1])
         self.begin, self.end = self.words, self.words + 1
-        self.hash = [_map(self.folder, f"word-hash-{i}", np.uint64) if meta["offsets"][i] < meta["offsets"][i + 1] else np.empty(0, np.uint64) for i in range(len(self.offsets) - 1)]
-        self.hot = np.array(sorted(meta.get("hot", [])), np.int64)
+        self.hash = [map_array(self.folder, f"word-hash-{i}", np.uint64) if meta["offsets"][i] < meta["offsets"][i + 1] else np.empty(0, np.uint64) for i in range(len(self.offsets) - 1)]
         self.files: dict = {}
 
     def file(self, name: str, dtype) -> np.ndarray:
         if name not in self.files:
-            self.files[name] = _map(self.folder, name, dtype)
+            self.files[name] = map_array(self.folder, name, dtype)
         return self.files[name]
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
@@ -150,12 +117,15 @@ class Reader:
         return out[inverse]
 
     def shard_of(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """Shard of each bigram: by the word before, or by both where that is a hot one."""
+        """Shard of each bigram, sorted by the word before: by that word, or by both where it is a hot one."""
         h = mix(before.astype(np.uint64) + np.uint64(1))
-        if len(self.hot):
-            place = np.minimum(np.searchsorted(self.hot, before), len(self.hot) - 1)
-            hot = self.hot[place] == before
-            h[hot] = mix(h[hot] ^ (after[hot].astype(np.uint64) + np.uint64(1)))
+        new = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1]))) if len(before) else np.zeros(0, np.int64)
+        words = before[new]
+        own = words < self.words
+        count = np.full(len(words), self.meta["docs"], np.int64)  # that of the begin context
+        count[own] = self.word_values(words[own], "word-n", np.int64)[:, 0]
+        hot = np.repeat(count > self.meta["least"], np.diff(np.append(new, len(before))))
+        h[hot] = mix(h[hot] ^ (after[hot].astype(np.uint64) + np.uint64(1)))
         return ((h >> np.uint64(32)) % np.uint64(self.meta["shards"])).astype(np.int64)
 
     def word_values(self, ids: np.ndarray, name: str, dtype, width: int = 1) -> np.ndarray:
@@ -197,7 +167,7 @@ class Reader:
 
 def reader(meta: dict) -> Reader:
     """The worker's reader of a folder, kept between tasks."""
-    key = (meta["folder"], meta.get("shards"), len(meta.get("hot", [])))
+    key = (meta["folder"], meta["shards"])
     if key not in _maps:
         _maps.clear()
         _maps[key] = Reader(meta)
@@ -212,7 +182,7 @@ def _discounts(n: list[int]) -> list[float]:
     return [min(k - 0.05, max(0.05, k - (k + 1) * y * b / a)) if a and b else 0.75 * min(k, 1) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
 
 
-def _words(rows: DataFrame, folder: str, bits: int, partitions: int) -> list:
+def _words(rows: DataFrame, folder: str, bits: int) -> list:
     """Counts words into 2^bits sorted shards on disk. Returns (shard, words, tokens)."""
 
     def count(batches):
@@ -238,29 +208,15 @@ def _words(rows: DataFrame, folder: str, bits: int, partitions: int) -> list:
     def merge(batches):
         for shard, blobs in _runs(batches):
             key, n = _joined(blobs)
-            _save(folder, f"word-hash-{shard}", key)
-            _save(folder, f"word-n-{shard}", n)
+            save_array(folder, f"word-hash-{shard}", key)
+            save_array(folder, f"word-n-{shard}", n)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(key)]), pa.array([int(n.sum())])], names=["shard", "words", "tokens"])
 
-    runs = rows.mapInArrow(count, "shard int, blob binary").repartition(partitions, "shard").sortWithinPartitions("shard")
+    runs = rows.mapInArrow(count, "shard int, blob binary").repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("shard")
     return runs.mapInArrow(merge, "shard int, words long, tokens long").collect()
 
 
-def _hot_words(spark, meta: dict, least: float) -> list[int]:
-    """Ids of words with more than `least` tokens."""
-
-    def run(batches):
-        r = Reader(meta)
-        for b in batches:
-            for i in b.column("id").to_pylist():
-                if meta["offsets"][i] < meta["offsets"][i + 1]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(_map(meta["folder"], f"word-n-{i}", np.int64) > least) + r.offsets[i])], names=["word"])
-
-    n = len(meta["offsets"]) - 1
-    return [r["word"] for r in spark.range(0, n, 1, min(n, 64)).mapInArrow(run, "word long").collect()]
-
-
-def _bigrams(rows: DataFrame, meta: dict, partitions: int) -> tuple[list, list]:
+def _bigrams(rows: DataFrame, meta: dict) -> tuple[list, list]:
     """Counts bigrams into sorted shards, and the words' numbers of neighbours. Returns counts of counts of both."""
     shards, n_words = meta["shards"], len(meta["offsets"]) - 1
 
@@ -291,11 +247,11 @@ def _bigrams(rows: DataFrame, meta: dict, partitions: int) -> tuple[list, list]:
         r = reader(meta)
         for shard, blobs in _runs(batches):
             key, n = _joined(blobs)
-            _save(r.folder, f"pair-key-{shard}", key)
-            _save(r.folder, f"pair-n-{shard}", np.minimum(n, 255).astype(np.uint8))
+            save_array(r.folder, f"pair-key-{shard}", key)
+            save_array(r.folder, f"pair-n-{shard}", np.minimum(n, 255).astype(np.uint8))
             big = np.flatnonzero(n >= 255)
-            _save(r.folder, f"pair-bigat-{shard}", big.astype(np.int64))
-            _save(r.folder, f"pair-bign-{shard}", n[big])
+            save_array(r.folder, f"pair-bigat-{shard}", big.astype(np.int64))
+            save_array(r.folder, f"pair-bign-{shard}", n[big])
             totals = [int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(n)]
             before, after = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
             first = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
@@ -331,12 +287,12 @@ def _bigrams(rows: DataFrame, meta: dict, partitions: int) -> tuple[list, list]:
                     after[at] += v[n:].reshape(n, 3)
                 else:
                     before[at] += v[n:]
-            _save(r.folder, f"word-after-{shard}", after)
-            _save(r.folder, f"word-before-{shard}", before)
+            save_array(r.folder, f"word-after-{shard}", after)
+            save_array(r.folder, f"word-before-{shard}", before)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([int((before == k).sum())]) for k in (1, 2, 3, 4)), pa.array([int(before.sum(dtype=np.int64))])], names=["shard", "n1", "n2", "n3", "n4", "total"])
 
-    runs = rows.mapInArrow(count, "shard int, blob binary").repartition(min(shards, partitions), "shard").sortWithinPartitions("shard").mapInArrow(merge, "shard int, blob binary")
-    done = runs.repartition(partitions, "shard").sortWithinPartitions("shard").mapInArrow(finish, "shard int, n1 long, n2 long, n3 long, n4 long, total long").collect()
+    runs = rows.mapInArrow(count, "shard int, blob binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(merge, "shard int, blob binary")
+    done = runs.repartitionById(n_words + 1, F.pmod("shard", F.lit(n_words + 1))).sortWithinPartitions("shard").mapInArrow(finish, "shard int, n1 long, n2 long, n3 long, n4 long, total long").collect()
     add = lambda rows: [sum(r[c] for r in rows) for c in ("n1", "n2", "n3", "n4", "total")]
     return add([r for r in done if r["shard"] < 0]), add([r for r in done if r["shard"] >= 0])
 
@@ -359,20 +315,19 @@ def fit(docs: DataFrame, learn: Column) -> dict:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder = f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex[:12]}"
     rows = _raw(docs.where(learn))
-    n_docs = docs.where(learn).count()
-    bits = max(0, (partitions - 1).bit_length())
-    found = {r["shard"]: r for r in _words(rows, folder, bits, partitions)}
+    n_docs, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("raw")), F.lit(0))).first()
+    bits = max(0, (max(partitions, size // (TOKEN_BYTES * SHARD_TOKENS)) - 1).bit_length())
+    found = {r["shard"]: r for r in _words(rows, folder, bits)}
     offsets, tokens = [0], n_docs
     for i in range(1 << bits):
         offsets.append(offsets[-1] + (found[i]["words"] if i in found else 0))
         tokens += found[i]["tokens"] if i in found else 0
     if offsets[-1] + 2 >= 1 << 32:
         raise ValueError("more different words than 32-bit ids")
-    meta = {"folder": folder, "bits": bits, "offsets": offsets, "docs": n_docs, "tokens": tokens, "shards": max(8, tokens // SHARD_TOKENS + 1), "hot": []}
-    least = tokens / (4 * meta["shards"])
-    meta["hot"] = _hot_words(spark, meta, least) + ([offsets[-1]] if n_docs > least else [])
+    meta = {"folder": folder, "bits": bits, "offsets": offsets, "docs": n_docs, "tokens": tokens, "shards": max(8, tokens // SHARD_TOKENS + 1)}
+    meta["least"] = tokens / (4 * meta["shards"])
     if n_docs:
-        pairs, before = _bigrams(rows, meta, partitions)
+        pairs, before = _bigrams(rows, meta)
         meta |= {"pair_d": _discounts(pairs[:4]), "word_d": _discounts(before[:4]), "types": before[4], "before_n": before}
         d, (b1, b2, b3, _, _) = meta["word_d"], before
         known = offsets[-1] + 1

@@ -4,8 +4,10 @@ Features are frequencies of byte bigrams and trigrams of the lower-cased (A-Z) w
 steps vote over pairwise linear SVMs (squared hinge, L2); a pair's margin becomes a probability, and a class's score is
 its mean probability against the others. The text's score is the family's score times the language's within it.
 
-The classifier is fit on a bounded sample of labelled rows (SAMPLE whole texts a language, chosen by a hash). Languages
-outside the table of families are families of their own.
+The classifier is fit on a bounded sample of labelled rows: SAMPLE whole texts a language, chosen by a hash, fewer where
+languages are so many that these would be more than TOTAL texts; a pair of families takes FAMILY texts of each, spread
+over its languages. Each pair's rows and products are made when it is its turn. Languages outside the table of families
+are families of their own.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; rows with a null lang are never learnt
 from; with one learnt language every text with a letter gets it, with none all texts are `und`. Repeated rows are
@@ -22,8 +24,8 @@ from .common import hash_fraction, pieces
 
 #: Places of the hashed n-grams.
 DIM = 1 << 13
-#: Texts of each language that are learnt from.
-SAMPLE = 400
+#: Texts of each language that are learnt from, of all languages, and of each family in a pair of families.
+SAMPLE, TOTAL, FAMILY = 400, 20_000, 1_200
 #: L2 weight of the SVMs.
 RIDGE = 1.0
 #: Families of languages by ISO 639-1 code (fixed values).
@@ -93,25 +95,40 @@ def _svm(gram: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 class Hierarchy:
     """The fitted classifier: pairwise weights between families, and between the languages of each."""
 
-    def __init__(self, x: np.ndarray, lang: list[str]):
+    def __init__(self, x: list[tuple[np.ndarray, np.ndarray]], lang: list[str]):
+        """x: places and values of each text's profile."""
         self.langs = sorted(set(lang))
         family = [_FAMILY.get(v, f"own:{v}") for v in self.langs]
         self.families = sorted(set(family))
         self.members = [[i for i, f in enumerate(family) if f == g] for g in self.families]
-        of = np.array([self.langs.index(v) for v in lang])
-        kin = np.array([self.families.index(family[i]) for i in of])
-        scale = 1 / np.maximum(x.std(axis=0), 1e-5) if len(x) else np.ones(DIM)
-        z = (x * scale).astype(np.float64)
-        centre = z.mean(axis=0) if len(x) else np.zeros(DIM)
-        z -= centre
-        gram = z @ z.T / DIM
+        of = np.array([self.langs.index(v) for v in lang], np.int64)
+        kin = np.array([self.families.index(family[i]) for i in of], np.int64)
+        total, squares = np.zeros(DIM), np.zeros(DIM)
+        for at, value in x:
+            total[at] += value
+            squares[at] += value.astype(np.float64) ** 2
+        n = max(1, len(x))
+        scale = 1 / np.maximum(np.sqrt(np.maximum(0, squares / n - (total / n) ** 2)), 1e-5)
+        centre = total / n * scale
         self.pairs: list[tuple[int, int, int]] = []  # (group, or -1 between families; a; b)
         weights, offsets = [], []
+        turn = np.empty(len(of), np.int64)  # place of each text among those of its language: the first of all of them make a family's share
+        for v in range(len(self.langs)):
+            own = np.flatnonzero(of == v)
+            turn[own] = np.arange(len(own))
         jobs = [(-1, a, b, kin) for a in range(len(self.families)) for b in range(a)] + [(g, a, b, of) for g, m in enumerate(self.members) for a in m for b in m if b < a]
         for g, a, b, label in jobs:
-            rows = np.flatnonzero((label == a) | (label == b))
-            beta, offset = _svm(gram[np.ix_(rows, rows)], np.where(label[rows] == a, 1.0, -1.0))
-            w = z[rows].T @ beta / DIM
+            sides = [np.flatnonzero(label == v) for v in (a, b)]
+            if g < 0:
+                sides = [np.sort(v[np.argsort(turn[v], kind="stable")[:FAMILY]]) for v in sides]
+            rows = np.sort(np.concatenate(sides))
+            z = np.zeros((len(rows), DIM))
+            for k, i in enumerate(rows.tolist()):
+                at, value = x[i]
+                z[k, at] = value * scale[at]
+            z -= centre
+            beta, offset = _svm(z @ z.T / DIM, np.where(label[rows] == a, 1.0, -1.0))
+            w = z.T @ beta / DIM
             weights.append(w * scale)
             offsets.append(offset - float(w @ centre))
             self.pairs.append((g, a, b))
@@ -144,12 +161,11 @@ class Hierarchy:
 
 def fit(docs: DataFrame, learn: Column) -> Hierarchy:
     """Fits on SAMPLE texts a language (all if there are fewer) of the rows of docs that learn allows."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    keep = F.lit(0.0)
-    for lang, n in sorted(counts.items()):
-        keep = F.when(F.col("lang") == lang, min(1.0, SAMPLE / n)).otherwise(keep)
-    chosen = rows.where(hash_fraction(F.col("doc_id").cast("string"), F.lit("language")) < keep)
+    each = min(SAMPLE, max(1, TOTAL // max(1, len(counts))))
+    shares = rows.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in sorted(counts.items())], "lang string, __share double")
+    chosen = rows.join(F.broadcast(shares), "lang").where(hash_fraction(F.col("doc_id").cast("string"), F.lit("language")) < F.col("__share"))
 
     def run(batches):
         for b in batches:
@@ -161,9 +177,7 @@ def fit(docs: DataFrame, learn: Column) -> Hierarchy:
 
     got = chosen.select("lang", F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, "lang string, doc_id string, at binary, value binary").toPandas()
     got = got.sort_values(["lang", "doc_id", "at", "value"])
-    x = np.zeros((len(got), DIM), np.float32)
-    for i, (at, value) in enumerate(zip(got["at"], got["value"], strict=True)):
-        x[i, np.frombuffer(at, np.uint16)] = np.frombuffer(value, np.float32)
+    x = [(np.frombuffer(at, np.uint16), np.frombuffer(value, np.float32)) for at, value in zip(got["at"], got["value"], strict=True)]
     return Hierarchy(x, got["lang"].tolist())
 
 

@@ -2,9 +2,12 @@
 
 Every line is labelled good or bad. A line's features are shares of character classes, its length, mean word length and
 share of distinct and of doubled words, together with the same features of the line before and the line after. The
-field is fit by gradient steps on a bounded sample of labelled documents (SAMPLE of each label, chosen by a hash), whose
-lines all carry their document's label. A document's score is the mean of its lines' forward-backward marginals of
-`good`, weighted by line length in bytes.
+field is fit by gradient steps on a bounded sample of labelled documents: SAMPLE of each label, chosen by a hash, and of
+each at most LINES lines in a row, from a place chosen by a hash. Lines begin with their document's label, from which no
+transitions can be learnt; after that first fit, on the lines' own features alone, lines that are surely of the other label change it
+(in bad documents at most a quarter of them), and the whole field is fit, so that it learns where labels change inside a
+document; this is done ROUNDS times. A document's score is the mean of its lines' forward-backward marginals of `good`,
+weighted by line length in bytes.
 
 Defined cases: a null or empty text is one empty line. A doc_id with several labels counts with their rounded mean;
 labels other than 0 and 1, and null ones, are left out. Without any label of one kind, the field learns the other.
@@ -13,6 +16,8 @@ Without labels all scores are 0.5. Extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -21,6 +26,10 @@ from .common import hash_fraction, hash_words, joined, pieces
 
 #: Labelled documents of each label that are learnt from.
 SAMPLE = 1_500
+#: Lines of each that are learnt from.
+LINES = 400
+#: Times that labels change, and how sure a fit must be to change a line's label.
+ROUNDS, SURE = 2, 0.7
 #: Gradient steps, their size, and the L2 weight.
 STEPS, STEP, RIDGE = 250, 0.1, 1e-3
 #: Score from which a document counts as good.
@@ -28,6 +37,8 @@ CUT = 0.3
 #: Character classes of a line, as shares of its bytes (fixed values); bytes from 128 on are a class of their own.
 CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t\r\v\f", "|", "#$%&*", "@^~+=<>{}[]\\/_", "!?", ".,;:", "'\"()-`")
 WIDTH = len(CLASSES) + 5
+#: Bytes whose classes are counted in one step.
+STEP_BYTES = 1 << 20
 _table: list[np.ndarray] = []
 
 
@@ -51,7 +62,14 @@ def line_features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
     docs = np.searchsorted(ends, (off + np.arange(n + 1))[1:] - 1, side="right")
     docs = np.concatenate(([0], docs))
     k = len(CLASSES) + 2
-    count = np.bincount(np.repeat(np.arange(len(ends)) * k, size + 1) + _classes()[text], minlength=k * len(ends)).reshape(-1, k)[:, : k - 1]
+    count, table = np.zeros((len(ends), k), np.int64), _classes()
+    for at in range(0, len(text), STEP_BYTES):  # a byte's line number takes eight bytes
+        part = text[at : at + STEP_BYTES]
+        line = np.cumsum(part == 10) - (part == 10)
+        base = int(np.searchsorted(ends, at))
+        many = int(line[-1]) + 1
+        count[base : base + many] += np.bincount(line * k + table[part], minlength=many * k).reshape(-1, k)
+    count = count[:, : k - 1]
     h, first = hash_words(text)
     line = np.searchsorted(starts, first, side="right") - 1
     words = np.bincount(line, minlength=len(ends))
@@ -127,26 +145,51 @@ class Field:
         self.w, self.t = np.zeros(3 * WIDTH + 3), np.zeros((2, 2))
         if not len(x):
             return
-        z, y = (x - self.mean) * self.scale, np.repeat(label, np.diff(docs)).astype(float)
+        z, of = (x - self.mean) * self.scale, np.repeat(np.arange(len(docs) - 1), np.diff(docs))
+        first = label[of].astype(float)
+        self._fit(z, docs, first, STEPS, alone=True)
+        last = first
+        for _ in range(ROUNDS):
+            p, _, _ = marginals(z @ self.w, docs, self.t)
+            y = np.where((first == 1) & (p < 1 - SURE), 0.0, np.where((first == 0) & (p > SURE), 1.0, first))
+            # of a bad document's lines, the worst three quarters stay bad
+            order = np.lexsort((p, of))
+            rank = np.empty(len(p), np.int64)
+            rank[order] = np.arange(len(p)) - docs[:-1][of[order]]
+            y[(first == 0) & (4 * rank < 3 * np.diff(docs)[of])] = 0.0
+            if (y == last).all() and self.t.any():
+                break
+            self._fit(z, docs, y, STEPS)
+            last = y
+
+    def _fit(self, z: np.ndarray, docs: np.ndarray, y: np.ndarray, steps: int, alone: bool = False) -> None:
+        """alone: neither neighbours' features nor transitions."""
         inner = np.ones(len(y), bool)
         inner[docs[:-1]] = False
         seen = np.zeros((2, 2))
-        for v in (0, 1):
-            seen[v, v] = (inner & (y == v)).sum()
+        np.add.at(seen, (y[:-1][inner[1:]].astype(int), y[1:][inner[1:]].astype(int)), 1)
         n = len(docs) - 1
         # every document weighs the same, whatever its number of lines
         share = np.repeat(1 / np.diff(docs), np.diff(docs))
-        m1, m2, both = np.zeros(len(self.w) + 4), np.zeros(len(self.w) + 4), np.zeros(len(self.w) + 4)
-        for i in range(1, STEPS + 1):
+        m1, m2 = np.zeros(len(self.w) + 4), np.zeros(len(self.w) + 4)
+        both = np.concatenate((self.w, self.t.ravel()))
+        for i in range(1, steps + 1):
             p, pairs, _ = marginals(z @ self.w, docs, self.t)
             grad = np.concatenate((z.T @ ((y - p) * share) / n - RIDGE * self.w, ((seen - pairs) / max(1, inner.sum()) - 10 * RIDGE * self.t).ravel()))
+            if alone:
+                grad[WIDTH : len(self.w) - 1] = grad[len(self.w) :] = 0
             m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
             both = both + STEP * (m1 / (1 - 0.9**i)) / (np.sqrt(m2 / (1 - 0.99**i)) + 1e-8)
             self.w, self.t = both[:-4], both[-4:].reshape(2, 2)
 
-    def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    def lines(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(marginal of `good` of each line, bytes of each line, offsets of n+1 of the documents' lines)."""
         x, size, docs = line_features(data, off)
         p, _, _ = marginals(((with_neighbours(x, docs) - self.mean) * self.scale) @ self.w, docs, self.t)
+        return p, size, docs
+
+    def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        p, size, docs = self.lines(data, off)
         weight = np.maximum(size, 1).astype(float)
         return np.add.reduceat(p * weight, docs[:-1]) / np.add.reduceat(weight, docs[:-1])
 
@@ -159,14 +202,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Field:
     for v, n in counts.items():
         keep = F.when(F.col("quality") == v, min(1.0, SAMPLE / n)).otherwise(keep)
     chosen = known.where(hash_fraction(F.col("doc_id").cast("string"), F.lit("quality")) < keep).select(F.col("doc_id").alias("__id"), F.col("quality").alias("__label"))
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))  # at most about 2 * SAMPLE rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))  # at most about 2 * SAMPLE rows
 
     def run(batches):
         for b in batches:
             for row, data, off in pieces(b.column("raw"), 1 << 19):
                 x, _, lines = line_features(data, off)
-                x = with_neighbours(x, lines)
-                blobs = [x[a:c].tobytes() for a, c in zip(lines[:-1], lines[1:], strict=True)]
+                x, blobs = with_neighbours(x, lines), []
+                for a, c, doc in zip(lines[:-1].tolist(), lines[1:].tolist(), b.column("doc_id").slice(row, len(lines) - 1).to_pylist(), strict=True):
+                    a += zlib.crc32(f"line {doc}".encode()) % max(1, c - a - LINES + 1)
+                    blobs.append(x[a : min(c, a + LINES)].tobytes())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, len(blobs)), b.column("label").slice(row, len(blobs)), pa.array(blobs)], names=["doc_id", "label", "x"])
 
     got = rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("__label").alias("label"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, "doc_id string, label int, x binary").toPandas()
@@ -190,3 +235,18 @@ def score(docs: DataFrame, model: Field, keep: list[str] | None = None) -> DataF
 
     out = rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", score double")
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"))
+
+
+def label_lines(docs: DataFrame, model: Field) -> DataFrame:
+    """doc_id, line (from 0), n_bytes, good (the line's marginal) and label (1 good, 0 bad) of every line of every row."""
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
+
+    def run(batches):
+        for b in batches:
+            for row, data, off in pieces(b.column("raw"), 1 << 19):
+                p, size, lines = model.lines(data, off)
+                n = np.diff(lines)
+                own = b.column("doc_id").slice(row, len(n)).take(pa.array(np.repeat(np.arange(len(n)), n)))
+                yield pa.RecordBatch.from_arrays([own, pa.array(np.arange(len(p)) - np.repeat(lines[:-1], n)), pa.array(size.astype(np.int64)), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "line", "n_bytes", "good", "label"])
+
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, line long, n_bytes long, good double, label int")

@@ -6,6 +6,7 @@ import html
 import math
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lattica.llm import embedding_join, fingerprints, html_text, kneser_ney, language_id, mixing, ngram_jaccard, packing, quality, url_filter
-from lattica.llm.common import connected, held_out
+from lattica.llm.common import connected, hash_words, held_out
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, key long, n int, h string, label string"
 WORDS = {"en": "the of and thing ation ering with that".split(), "de": "der und ung keit schen über ein lich".split(), "fr": "le que ment eaux où dans une".split(), "es": "el ción para mente los qué año".split()}
@@ -67,6 +68,54 @@ def words_of(text):
     return (text or "").encode().lower().split()
 
 
+def _chain(n, w, share, seed):
+    """Rows of which each shares about `share` of its shingles with the one before: links near the threshold."""
+    rng = random.Random(seed)
+    words, out = [f"w{rng.randrange(10**6)}" for _ in range(n)], []
+    for i in range(24):
+        out.append((1000 + i, " ".join(words)))
+        cut = max(1, round(n * (1 - share) / (1 + share)))
+        words = words[cut:] + [f"w{rng.randrange(10**6)}" for _ in range(cut + rng.choice([-1, 0, 0, 1]))]
+    return out
+
+
+@pytest.mark.parametrize(("w", "num", "den"), [(1, 1, 2), (2, 7, 10), (1, 19, 20)])
+def test_jaccard_components_at_other_thresholds(spark, w, num, den):
+    rows = [(i, t) for k, n in enumerate((6, 25, 90, 400)) for i, t in [(i + 100 * k, t) for i, t in _chain(n, w, num / den, n)]]
+    base = _chain(100, 1, 0.5, 9)[0][1].split()
+    rows += [(5000 + k, " ".join(base[k : k + 50])) for k in range(0, 50, 2)] + [(6000, " ".join(base))]
+    rows = list(dict(rows).items())
+    test_jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows, w, num, den)
+
+
+def test_null_and_repeated_ids(spark):
+    """Rows without an id take part; rows that repeat an id are told apart by their text."""
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text + " more"
+    rows = [(None, text), (None, near), (None, text), (None, "something else here now yes"), (4, "first text of four is this"), (4, "other text of four is that one"), (9, "other text of four is that one"), (9, "only nine has these words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, ngram_jaccard.jaccard_components(docs, 5, 4, 5).collect()), key=str)
+    assert [c for _, _, c in got].count(4) == 3 and [c for _, _, c in got].count(9) == 1 and [c for _, _, c in got].count(None) == 4
+    kept = sorted(map(tuple, ngram_jaccard.keep_first(docs, 5, 4, 5).collect()), key=str)
+    assert len(kept) == 5 and (4, rows[4][1]) in kept and (4, rows[5][1]) in kept and (9, rows[7][1]) in kept and (None, rows[3][1]) in kept
+    assert sum(r in kept for r in {(None, text), (None, near)}) == 1
+
+
+def test_packed_keys_and_buckets():
+    rng = np.random.default_rng(3)
+    key, node = rng.integers(0, 1 << 48, 500, dtype=np.uint64), rng.integers(-9, 9, 500)
+    k, n = ngram_jaccard.unpacked_keys(ngram_jaccard.packed_keys(key, node))
+    assert sorted(zip(k.tolist(), n.tolist(), strict=True)) == sorted(zip(key.tolist(), node.tolist(), strict=True))
+    flag = int(ngram_jaccard._FLAG)
+    blobs = [ngram_jaccard.packed_keys(np.array([1, 2, 3, 4, 5 | flag], np.uint64), np.array([10, 10, 10, 10, 10])), ngram_jaccard.packed_keys(np.array([1, 2, 3, 5], np.uint64), np.array([20, 20, 20, 20])), ngram_jaccard.packed_keys(np.array([2, 3, 4], np.uint64), np.array([30, 30, 10]))]
+    got = sorted(zip(*(x.tolist() for x in ngram_jaccard._buckets(blobs)), strict=True))
+    assert got in ([(-1, 10, 20), (2, 10, 20), (2, 10, 30), (5, 10, 20)], [(-1, 10, 20), (3, 10, 20), (3, 10, 30), (5, 10, 20)])
+    assert ngram_jaccard._other_name(5, 1) != ngram_jaccard._other_name(5, 2)
+    for bits in (128, 512):
+        s = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+        assert ngram_jaccard.folded([ngram_jaccard.narrow_sketch(s, 2048)], bits // 8).tobytes() == ngram_jaccard.narrow_sketch(s, bits)
+
+
 @pytest.mark.parametrize(("w", "num", "den"), [(3, 90, 100), (5, 4, 5)])
 def test_jaccard_components(docs, rows, w, num, den):
     sets, parent = {}, {}
@@ -196,6 +245,44 @@ def test_pack(docs, rows, none):
     assert packing.pack(none).collect() == []
 
 
+def _ids(spark, texts, tokenizer):
+    got = packing.token_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 1 << 20, tokenizer).collect()
+    return {r.doc_id: (r.length, r.ids_crc32) for r in got}
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_every_tokenizer(spark, name):
+    """Ids are the tokenizer's own, also where white space, case or long words of a pattern matter."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    morse = ["a"]
+    while len(morse[-1]) < 2048:
+        morse.append(morse[-1] + morse[-1].translate({97: 98, 98: 97}))
+    texts = ["the The THE", "a\n\n  b\tc ", " lead", "it's IT'S 'S", "don't\r\nDon’t", "", "<|endoftext|> x", morse[-1], morse[-1].translate({97: 98, 98: 97}), "é É e\u0301 straße STRASSE 7 77 ٣"]
+    t = Tokenizer.from_file(public_tokenizers.path(name))
+    want = {}
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        want[i] = (len(ids), zlib.crc32(ids.tobytes()))
+    assert _ids(spark, texts, name) == want
+
+
+def test_word_hashes_of_patterns_stay_apart():
+    """Words that a hash linear in its bytes confuses; and case folds, whatever the length."""
+    one, two = b"a", b"b"
+    while len(one) < 1 << 13:
+        one, two = one + two, two + one
+        h, first = hash_words(np.frombuffer(one + b" " + two + b"\t" + one.upper(), np.uint8))
+        assert h[0] != h[1] and h[0] == h[2] and first.tolist() == [0, len(one) + 1, 2 * len(one) + 2]
+        h, _ = hash_words(np.frombuffer(one + b" " + one.upper(), np.uint8), fold=False)
+        assert h[0] != h[1]
+    texts = [b"x" * k for k in range(1, 140)]
+    h, _ = hash_words(np.frombuffer(b" ".join(texts), np.uint8))
+    assert len(set(h.tolist())) == len(texts)
+    assert all(hash_words(np.frombuffer(b"\n" * (k % 5) + v, np.uint8))[0][0] == h[k] for k, v in enumerate(texts))
+
+
 def test_packing_plan_places_every_rank_once():
     rng = random.Random(5)
     for capacity in (7, 64, 2048):
@@ -242,6 +329,17 @@ def test_fingerprints(docs, rows, none):
     assert digest(rows[-7][1]) != "" and fingerprints.fingerprints(none).collect() == []
 
 
+@pytest.mark.parametrize(("broadcast", "heavy"), [(500_000, 1000), (0, 2)])
+def test_fingerprints_that_clash(spark, monkeypatch, broadcast, heavy):
+    """With a digest of the length alone, copies are still those of equal canonical bytes; also where lists are too long to broadcast."""
+    monkeypatch.setattr(fingerprints, "digest", lambda canon: F.length(canon).cast("string"))
+    monkeypatch.setattr(fingerprints, "BROADCAST_DIGESTS", broadcast)
+    monkeypatch.setattr(fingerprints, "HEAVY", heavy)
+    rows = [(5, "abc"), (3, "ABC "), (9, "xyz"), (8, "xyz"), (7, "none"), (None, "abc"), (2, "xyz9"), (1, None), (0, ""), (11, "long one"), (12, "LONG one"), (13, "long  one")]
+    got = {(r.doc_id, r.n_chars): r.copy_of for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 3): 3, (3, 4): 3, (9, 3): 8, (8, 3): 8, (7, 4): 7, (None, 3): 3, (2, 4): 2, (1, 0): 0, (0, 0): 0, (11, 8): 11, (12, 8): 11, (13, 9): 11}
+
+
 def test_fingerprint_folds(spark):
     pairs = [("é ﬁne  Straße X", "é FINE STRASSE x "), ("", None), ("\t", "")]
     for a, b in pairs:
@@ -273,6 +371,43 @@ def test_embeddings(spark):
     assert embedding_join.near_duplicates(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("threshold", [0.9, 1.0])
+def test_embeddings_over_many_intervals(spark, monkeypatch, threshold):
+    """More intervals than one, a large group of copies, repeated and null ids, two dimensions, ties at the threshold."""
+    monkeypatch.setattr(embedding_join, "SMALLEST", 64)
+    monkeypatch.setattr(embedding_join, "PARTS", 9)
+    monkeypatch.setattr(embedding_join, "HEAVY", 50)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(700, 8)) * (np.arange(8) + 1.0) ** -1.0
+    x[300:400] = x[5]
+    x[400:500] = x[:100] + rng.normal(size=(100, 8)) * 0.05
+    x[500], x[501], x[502] = np.eye(8)[0], np.eye(8)[0] * 0.9 + np.eye(8)[1] * math.sqrt(1 - 0.81), np.eye(8)[0] * 3
+    other = rng.normal(size=(40, 3))
+    ids = [None if i == 5 else 3 if i == 4 else i for i in range(700)]
+    rows = [(ids[i], [float(c) for c in v]) for i, v in enumerate(x)] + [(1000 + i, [float(c) for c in v]) for i, v in enumerate(other)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    want = Counter()
+    for part, names in ((x, ids), (other, list(range(1000, 1040)))):
+        z = part / np.linalg.norm(part, axis=1, keepdims=True)
+        link = z @ z.T >= threshold - (1e-12 if threshold < 1 else 1e-15)
+        np.fill_diagonal(link, True)
+        for i in range(len(z)):
+            seen, todo = {i}, [i]
+            while todo:
+                for j in np.flatnonzero(link[todo.pop()]).tolist():
+                    if j not in seen:
+                        seen.add(j)
+                        todo.append(j)
+            least = min((names[j] for j in seen if names[j] is not None), default=None)
+            want[names[i], int(link[i].sum()) - 1, least, names[i] == least] += 1
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_join.near_duplicates(df, threshold).collect())
+    assert sum(n for _, n, _, _ in got.elements()) > 9900 and got.total() == 740
+    if threshold < 1:
+        assert got == want
+    else:  # copies link; a scaled copy may round to either side of 1
+        assert {k: n for k, n in got.items() if k[0] not in (500, 502)} == {k: n for k, n in want.items() if k[0] not in (500, 502)}
+
+
 def test_interval_pairs_skip_only_what_is_apart():
     rng = np.random.default_rng(4)
     p = np.sort(rng.normal(size=(40, 3)), axis=0)
@@ -388,6 +523,59 @@ def test_html():
     assert html.unescape("&amp;") == "&"
 
 
+def test_html_odd_markup():
+    text = html_text.main_text
+    assert text('<p class="x>Hello world') == "Hello world"
+    assert text("<p title=it's>one</p><p>don't</p>") == "one\n\ndon't"
+    assert text("<article><p>a <math><mi>x</mi></math> b <svg class=i/>c</p><object><p>d</p></object></article>") == "a x b c\n\nd"
+    assert text("<article><svg/><p>all of it</p><button>no<p>more</article>").startswith("all of it")
+    assert text("<body><div><p>one, long enough to be, well, the container</p></div><div><p>two short</p></div></body>") == "one, long enough to be, well, the container\n\ntwo short"
+    assert text("<article><a href=x><p>linked</p><p>plain text after a link without an end, and on, and on</p></article>") == "linked\n\nplain text after a link without an end, and on, and on"
+    assert text("<form><article><h1>T</h1><p>a page within a form</p></article></form>") == "T\n\na page within a form"
+    assert text("<p>" + "&#" + "9" * 9000 + ";&#x" + "F" * 50 + ";&#0000065;") == "\ufffd\ufffdA"
+
+
+def test_html_hostile_pages_take_linear_time():
+    n = 40_000
+    pages = {
+        "open and other end tags": "<b>" * n + "</i>" * n + "x", "nested blocks": "<div>x" * n, "inline around rules": "<b>" * n + "x<hr>" * n, "one quote": "<a " * 3 * n + '"', "quotes": '<a b="' * n, "both quotes": "<a b='\"" * n,
+        "script": "<script>" + "</script " * n, "lists": "<ul><li>" * n, "links": "<a><div>" * n + "</a>" * n, "ampersands": "&" * 10 * n, "digits": "&#" + "9" * 10 * n, "less than": "<" * 10 * n, "comments": "<!--" * n, "tables": "<table><tr><td>" * n, "buttons": "<button>x" * n + "</button>", "names": "<a " + "=" * 10 * n,
+    }
+    for name, page in pages.items():
+        began = time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - began < 8, name  # a quadratic step would take minutes
+
+
+def generated_page(rng):
+    """(page, its main blocks) in one of several layouts, with parts around the article that are not of it."""
+    say = lambda k: " ".join(rng.choice(WORDS["en"]) + rng.choice(WORDS["en"]) for _ in range(k))
+    blocks = [say(rng.randint(4, 9)), *(say(rng.randint(12, 60)).replace(" ", ", ", rng.randint(1, 4)).capitalize() + "." for _ in range(rng.randint(3, 9)))]
+    body = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}" + rng.choice(["</p>", ""]) for b in blocks[1:])
+    if rng.random() < 0.5:
+        items = [say(5) for _ in range(3)]
+        body += "</p><ul>" + "".join(f"<li>{i}" for i in items) + "</ul>"
+        blocks += items
+    wrap = rng.choice(["<article>{}</article>", "<main><div class=post>{}</div></main>", '<div id="content"><div>{}</div></div>', "<div class='story-body'>{}</div>", "<section>{}</section>", "<table><tr><td>{}</td></tr></table>"])
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>{say(2)}</a></li>" for k in range(6)) + "</ul>"
+    before = [f"<nav>{menu}</nav>", f"<header><h2>{say(3)}</h2>{menu}</header>", f"<div class='cookie-notice'><p>{say(30)}, {say(9)}</p></div>", f"<div class=ad>{say(25)}</div>", f"<script>var a='<p>{say(40)}</p>'</script>", f"<form><p>{say(20)}</p><input></form>", f"<div role=navigation>{menu}</div>"]
+    after = [f"<aside><p>{say(40)}, {say(40)}</p></aside>", f"<footer><p>{say(30)}</p></footer>", f"<div id=comments><p>{say(40)}, {say(9)}</p><p>{say(30)}</p></div>", f"<div class='sidebar right'><p>{say(50)}</p>{menu}</div>", f"<div class='related'>{menu}</div>", f"<style>p{{{say(3)}}}</style>"]
+    pick = lambda parts: "".join(rng.sample(parts, rng.randint(1, len(parts))))
+    return f"<!DOCTYPE html><html><head><title>{say(4)}</title></head><body>{pick(before)}{wrap.format(body)}{pick(after)}</body></html>", blocks
+
+
+def test_html_of_generated_pages():
+    """Word recall and precision on pages of known main text."""
+    rng, found, wanted, both, exact = random.Random(6), 0, 0, 0, 0
+    for _ in range(300):
+        page, blocks = generated_page(rng)
+        got, want = html_text.main_text(page), "\n\n".join(blocks)
+        exact += got == want
+        g, w = Counter(got.split()), Counter(want.split())
+        found, wanted, both = found + g.total(), wanted + w.total(), both + (g & w).total()
+    assert both / wanted > 0.99 and both / found > 0.99 and exact >= 290
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 6), (None, "u", "<p>x", 7), (1, "u", PAGE, 5)], "page_id long, url string, html string, text int")
     got = html_text.extract(df).collect()
@@ -430,6 +618,38 @@ def test_url_mining(spark):
     assert url_filter.mine(df, known.limit(0)) == [] and url_filter.mine(df.limit(0), known) == []
 
 
+def test_url_rules_of_brute_force(spark):
+    """All rules at a support and confidence, from counts of every token set; a template of many constant segments is one item."""
+    rng = random.Random(4)
+    deep = "/".join(f"seg{chr(97 + i)}" for i in range(20))
+    urls = [f"http://{rng.choice(['x', 'y', 'z'])}.{rng.choice(['aa', 'bb'])}.io/{rng.choice([deep, 'en', 'de'])}/{i}" for i in range(400)]
+    urls += urls[:20]
+    labels = [(i, int(not ("//x" in u and rng.random() < 0.9 or rng.random() < 0.2)), None) for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    bad = {str(i): q == 0 for i, q, _ in labels}
+    seen = [(frozenset(r.tokens), r.bad) for r in url_filter.labelled(pages, known).collect()]
+    assert len(seen) == 420 and all(b == bad[u.rsplit("/", 1)[1]] for u, b in [(r.url, r.bad) for r in url_filter.labelled(pages, known).collect()])
+    n, support = len(seen), 0.05
+    rows = {t: frozenset(i for i, (v, _) in enumerate(seen) if t in v) for v, _ in seen for t in v}
+    groups = defaultdict(set)
+    for t, r in rows.items():
+        if len(r) >= support * n:
+            groups[r].add(t)
+    want, lists = {}, [(frozenset(), frozenset(range(n)))]
+    for r, g in sorted(groups.items(), key=lambda x: sorted(x[1])):
+        lists += [(k | g, v & r) for k, v in lists if len(v & r) >= support * n]
+    for k, v in lists:
+        for verdict in ("block", "allow"):
+            hit = sum(seen[i][1] == (verdict == "block") for i in v)
+            if k and hit >= support * n and hit / len(v) >= 0.6 and url_filter.lower_bound(hit / len(v), len(v)) >= 0.5:
+                want[k, verdict] = (round(hit / len(v), 9), round(hit / n, 9))
+    want = {(k, v): c for (k, v), c in want.items() if not any(w == v and j < k and d[0] >= c[0] for (j, w), d in want.items())}
+    got = {(r.tokens, r.verdict): (round(r.confidence, 9), round(r.support, 9)) for r in url_filter.mine(pages, known, support)}
+    assert got == want and {v for _, v in got} == {"block", "allow"}
+    assert any(len([t for t in k if t.startswith("p:seg")]) == 20 for g in groups.values() for k in [g])
+
+
 def spark_tokens(host, url):
     labels = host.split(".")
     return ["d:" + ".".join(labels[-2:]), *("h:" + v for v in labels), "q:ref", "p:" + url.split("/")[3], "p:#"]
