@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), works on all documents its predecessor kept, and is written as Parquet and read
 again before the next. All but the last return the columns of docs.
+
+Defined cases: null texts, and texts without a letter, go with the first stage. An empty table passes through every stage
+and gives no rows. Rows that repeat a doc_id are judged each by its own text; rows that repeat each other are one to the
+n-gram Jaccard join, which keeps the smallest doc_id of a group (nulls last; of ties in doc_id the smaller hash of the
+text). Null ids are never held out and take part in every stage. A null source is a source of its own, last in order.
+Without labels every document scores 0.5 and stays. Extra columns, whatever their names, pass through all stages but the
+last.
 """
 
 from __future__ import annotations
