@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected, map_array, save_array, shared_dir, stage
+from .common import connected, lean, map_array, save_array, shared_dir, stage
 
 #: Leading axes of the grid and of the boxes.
 AXES = 16
@@ -70,7 +70,7 @@ def _axes(points: DataFrame, dim: int) -> np.ndarray:
             total, s, n = total + x.T @ x, s + x.sum(axis=0), n + len(x)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim + dim + 1, dtype=np.int32)), pa.array(np.concatenate((total.ravel(), s, [float(n)])))], names=["i", "x"])
 
-    found = points.select("v").mapInArrow(sums, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+    found = points.select("v").mapInArrow(lean(sums), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
     x = np.zeros(dim * dim + dim + 1)
     x[found["i"].to_numpy()] = found["x"].to_numpy()
     n, s = max(x[-1], 1.0), x[dim * dim : dim * dim + dim]
@@ -206,7 +206,7 @@ def _links(points: DataFrame, dim: int, t: float) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("pid"), b.column("weight"), b.column("v"), pa.array(_order(_unit(_matrix(b.column("v"), dim)) @ axes, eps))], names=["pid", "weight", "v", "cell"])
 
-    placed = points.mapInArrow(place, f"pid long, weight long, v {kind}, cell long")
+    placed = points.mapInArrow(lean(place), f"pid long, weight long, v {kind}, cell long")
     ordered = placed.repartitionByRange(max(1, -(-n // size)), "cell", "pid").sortWithinPartitions("cell", "pid")
 
     def cut(batches):
@@ -233,7 +233,7 @@ def _links(points: DataFrame, dim: int, t: float) -> DataFrame:
         if rows:
             yield save(pa.Table.from_batches(held))
 
-    boxes = stage(ordered.mapInArrow(cut, "name long, low array<double>, high array<double>"), "boxes")
+    boxes = stage(ordered.mapInArrow(lean(cut), "name long, low array<double>, high array<double>"), "boxes")
     m = boxes.count()
 
     def index(batches):
@@ -247,7 +247,7 @@ def _links(points: DataFrame, dim: int, t: float) -> DataFrame:
             save_array(folder, side, np.asarray(table.column(side).combine_chunks().flatten(), np.float64))
         yield pa.RecordBatch.from_arrays([pa.array([table.num_rows])], names=["n"])
 
-    boxes.coalesce(1).sortWithinPartitions("name").mapInArrow(index, "n long").count()
+    boxes.coalesce(1).sortWithinPartitions("name").mapInArrow(lean(index), "n long").count()
     each = min(PARTNERS, max(1, m // 8))
 
     def deal(batches):
@@ -259,7 +259,7 @@ def _links(points: DataFrame, dim: int, t: float) -> DataFrame:
                 some = [mates[g : g + each] for g in range(0, len(mates), each)]
                 yield pa.RecordBatch.from_arrays([pa.array([i] * len(some), pa.int64()), pa.array(some, pa.list_(pa.int64()))], names=["one", "others"])
 
-    work = stage(spark.range(0, m, 1, max(1, min(m, 256))).mapInArrow(deal, "one long, others array<long>"), "work")
+    work = stage(spark.range(0, m, 1, max(1, min(m, 256))).mapInArrow(lean(deal), "one long, others array<long>"), "work")
 
     def load(name):
         v = _unit(map_array(folder, f"v-{name}", real).reshape(-1, dim).astype(np.float64))
@@ -291,7 +291,7 @@ def _links(points: DataFrame, dim: int, t: float) -> DataFrame:
 
     pieces = work.count()
     tasks = min(pieces, max(int(spark.conf.get("spark.sql.shuffle.partitions")), pieces // 8))
-    return work.repartition(max(1, tasks)).mapInArrow(run, "pid long, links long, root long")
+    return work.repartition(max(1, tasks)).mapInArrow(lean(run), "pid long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

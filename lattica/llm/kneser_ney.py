@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import doc_words, map_array, mix, pieces, save_array, shared_dir
+from .common import doc_words, lean, map_array, mix, pieces, save_array, shared_dir
 
 #: Tokens gathered by a map task before it sends a run on.
 FLUSH = 4_000_000
@@ -212,8 +212,8 @@ def _words(rows: DataFrame, folder: str, bits: int) -> list:
             save_array(folder, f"word-n-{shard}", n)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(key)]), pa.array([int(n.sum())])], names=["shard", "words", "tokens"])
 
-    runs = rows.mapInArrow(count, "shard int, blob binary").repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("shard")
-    return runs.mapInArrow(merge, "shard int, words long, tokens long").collect()
+    runs = rows.mapInArrow(lean(count), "shard int, blob binary").repartitionById(1 << bits, F.col("shard")).sortWithinPartitions("shard")
+    return runs.mapInArrow(lean(merge), "shard int, words long, tokens long").collect()
 
 
 def _bigrams(rows: DataFrame, meta: dict) -> tuple[list, list]:
@@ -291,8 +291,8 @@ def _bigrams(rows: DataFrame, meta: dict) -> tuple[list, list]:
             save_array(r.folder, f"word-before-{shard}", before)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([int((before == k).sum())]) for k in (1, 2, 3, 4)), pa.array([int(before.sum(dtype=np.int64))])], names=["shard", "n1", "n2", "n3", "n4", "total"])
 
-    runs = rows.mapInArrow(count, "shard int, blob binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(merge, "shard int, blob binary")
-    done = runs.repartitionById(n_words + 1, F.pmod("shard", F.lit(n_words + 1))).sortWithinPartitions("shard").mapInArrow(finish, "shard int, n1 long, n2 long, n3 long, n4 long, total long").collect()
+    runs = rows.mapInArrow(lean(count), "shard int, blob binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard").mapInArrow(lean(merge), "shard int, blob binary")
+    done = runs.repartitionById(n_words + 1, F.pmod("shard", F.lit(n_words + 1))).sortWithinPartitions("shard").mapInArrow(lean(finish), "shard int, n1 long, n2 long, n3 long, n4 long, total long").collect()
     add = lambda rows: [sum(r[c] for r in rows) for c in ("n1", "n2", "n3", "n4", "total")]
     return add([r for r in done if r["shard"] < 0]), add([r for r in done if r["shard"] >= 0])
 
@@ -380,4 +380,4 @@ def score(docs: DataFrame, meta: dict, *keep: Column) -> DataFrame:
                 cols = [np.diff(ends), add((n > 0).astype(np.int64)), np.full(len(ends) - 1, total, np.int64), add(base), add(p)]
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(row, len(ends) - 1) for c in names), *map(pa.array, cols)], names=[*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return rows.mapInArrow(run, "".join(f"{c} {kinds[c]}, " for c in names) + "n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(lean(run), "".join(f"{c} {kinds[c]}, " for c in names) + "n_tokens long, n_known long, train_tokens long, base_score double, score double")

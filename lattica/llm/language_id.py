@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import hash_fraction, pieces
+from .common import hash_fraction, lean, pieces
 
 #: Places of the hashed n-grams.
 DIM = 1 << 13
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, learn: Column) -> Hierarchy:
                     full = [np.flatnonzero(v) for v in x]
                     yield pa.RecordBatch.from_arrays([b.column("lang").slice(row + at, len(x)), b.column("doc_id").slice(row + at, len(x)), pa.array([i.astype(np.uint16).tobytes() for i in full]), pa.array([v[i].tobytes() for v, i in zip(x, full, strict=True)])], names=["lang", "doc_id", "at", "value"])
 
-    got = chosen.select("lang", F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, "lang string, doc_id string, at binary, value binary").toPandas()
+    got = chosen.select("lang", F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("raw")).mapInArrow(lean(run), "lang string, doc_id string, at binary, value binary").toPandas()
     got = got.sort_values(["lang", "doc_id", "at", "value"])
     x = [(np.frombuffer(at, np.uint16), np.frombuffer(value, np.float32)) for at, value in zip(got["at"], got["value"], strict=True)]
     return Hierarchy(x, got["lang"].tolist())
@@ -204,5 +204,5 @@ def identify(docs: DataFrame, model: Hierarchy, keep: list[str] | None = None) -
                         score, pred = np.zeros(len(x)), ["und"] * len(x)
                     yield pa.RecordBatch.from_arrays([*some, pa.array(pred), pa.array(np.where(letters, score, 0.0))], names=[*names, "lang_pred", "score"])
 
-    out = rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", lang_pred string, score double")
+    out = rows.mapInArrow(lean(run), ", ".join(f"{c} {kinds[c]}" for c in names) + ", lang_pred string, score double")
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")

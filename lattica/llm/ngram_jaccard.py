@@ -31,21 +31,23 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .common import P_BYTE, P_SEQ, connected, doc_words, mix, pieces, stage, unused
+from .common import P_BYTE, P_SEQ, connected, doc_words, lean, mix, pieces, stage, unused
 
 #: Blocks beyond the pigeonhole's d + 1: 2 and this share of d. A set leaves out as many of its lightest blocks.
 SPARE = 0.25
 #: Growth of the size bands, at least; den / num if that is more.
 RATIO = 1.25
 #: Entries a map task gathers before it sends them on.
-FLUSH = 1_500_000
+FLUSH = 600_000
+#: Entries of a shard that are grouped in one step.
+RANGE = 400_000
 #: Least bits of the narrow sketches that pairs are tried on before their texts are, and bits per shingle of the largest
 #: symmetric difference of two sets that link (rounded up to a power of two).
 LEAST_BITS, BITS = 256, 16
 #: Sets of one bucket, or partners of one hub, that are compared in one piece of work.
 BLOCK = 512
 #: Pairs that a task remembers having sent.
-SENT = 200_000
+SENT = 50_000
 #: A list of candidates of at most this many is broadcast (some 30 bytes each); a longer one is joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Bits of a block key that are sent, and the bit that says that its flush held other sets too.
@@ -202,7 +204,7 @@ def set_table(docs: DataFrame, w: int, num: int, den: int) -> DataFrame:
             own = b.slice(row, len(sets))
             yield _batch(_SETS, own.column("doc_id"), own.column("th"), [len(s) for s in sets], [x[0] for x in d], [x[1] for x in d], [narrow_sketch(s, sketch_bits(len(s), num, den)) if len(s) else None for s in sets])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, th long, n long, d1 long, d2 long, sketch binary")
+    return _texts(docs).mapInArrow(lean(run), "doc_id long, th long, n long, d1 long, d2 long, sketch binary")
 
 
 def _other_name(d1: int, d2: int) -> int:
@@ -255,33 +257,55 @@ def _entries(docs: DataFrame, w: int, num: int, den: int, shards: int, clashing:
         if held:
             yield from send(keys, nodes, turn)
 
-    return _texts(docs).select("raw").mapInArrow(run, "shard int, blob binary, key long, pivot long, member long")
+    return _texts(docs).select("raw").mapInArrow(lean(run), "shard int, blob binary, key long, pivot long, member long")
 
 
 def _buckets(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of one shard's blobs: (key, pivot, member) of keys that nodes share.
 
     A key of two nodes in all is no more than its pair, and is sent once under key -1. Of keys with the same nodes and no
-    others one is enough.
+    others one is enough. The shard is worked off in ranges of keys of about RANGE entries.
     """
     got = [unpacked_keys(x) for x in raws]
     key, node = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
+    del got
+    parts = max(1, len(key) // RANGE)
+    part = ((key & _KEY) % np.uint64(parts)).astype(np.int32)
+    out, known = [], set()
+    for i in range(parts):
+        own = part == i
+        if own.any():
+            out.append(_range(key[own], node[own], known))
+    found = [np.concatenate([x[c] for x in out]) for c in range(3)]
+    alone = found[0] == -1
+    pairs = np.unique(np.column_stack((found[1][alone], found[2][alone])), axis=0)
+    return np.concatenate((np.full(len(pairs), -1, np.int64), found[0][~alone])), np.concatenate((pairs[:, 0], found[1][~alone])), np.concatenate((pairs[:, 1], found[2][~alone]))
+
+
+def _range(key: np.ndarray, node: np.ndarray, known: set) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What _buckets gives, of some keys. known: the sets of three nodes and more that came before."""
     order = np.lexsort((node, key & _KEY))
     key, node = key[order], node[order]
     flag, key = key >> np.uint64(KEY_BITS), key & _KEY
     new = np.concatenate(([True], key[1:] != key[:-1]))
     group = np.cumsum(new) - 1
-    some = np.bincount(group, flag.astype(np.float64)) > 0  # a flush held nodes that aren't here
+    some = np.bincount(group, flag) > 0  # a flush held nodes that aren't here
     keep = np.concatenate(([True], ~((key[1:] == key[:-1]) & (node[1:] == node[:-1]))))
     key, node, group = key[keep], node[keep], group[keep]
     size = np.bincount(group, minlength=len(some))
-    begin = np.cumsum(size) - size
+    live = ((size > 1) | some)[group]  # most keys are one node's alone
+    key, node, group = key[live], node[live], group[live]
+    if not len(key):
+        return key.view(np.int64), node, node
+    begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    size, some, group = size[group[begin]], some[group[begin]], np.repeat(np.arange(len(begin)), size[group[begin]])
     name = mix(node.view(np.uint64))
     one, two = np.bitwise_xor.reduceat(name, begin), np.add.reduceat(mix(name + np.uint64(1)), begin)
-    closed = np.flatnonzero((size > 1) & ~some)
-    order = closed[np.lexsort((two[closed], one[closed], size[closed]))]
     again = np.zeros(len(size), bool)
-    again[order[1:]] = (size[order[1:]] == size[order[:-1]]) & (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
+    for i in np.flatnonzero((size > 2) & ~some).tolist():
+        which = (int(size[i]), int(one[i]), int(two[i]))
+        again[i] = which in known
+        known.add(which)
     use = ((size > 1) & ~again)[group]
     use[begin] = False
     pivot = node[begin][group]
@@ -315,7 +339,7 @@ def _shared(docs: DataFrame, w: int, num: int, den: int, shards: int, clashing:
             yield from ready(held)
 
     packed = _entries(docs, w, num, den, shards, clashing)
-    return packed.repartition(shards // 2, "shard").sortWithinPartitions("shard").mapInArrow(run, "key long, pivot long, member long")
+    return packed.repartition(shards // 2, "shard").sortWithinPartitions("shard").mapInArrow(lean(run), "key long, pivot long, member long")
 
 
 def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
@@ -334,7 +358,7 @@ def _near(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame
 
     side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
-    return met.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return met.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(run), "a long, b long")
 
 
 def _linked(s: np.ndarray, t: np.ndarray, num: int, den: int) -> bool:
@@ -376,7 +400,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, w: int, num
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
     dealt = found.select("hub", "salt", "role", "node", "raw").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role", "node")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(lean(run), "a long, b long")
 
 
 def _forest(comp: list, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -453,7 +477,7 @@ def _residual(members: DataFrame, classes: DataFrame, num: int, den: int, forest
             yield fresh(work(held))
 
     dealt = some.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return dealt.mapInArrow(run, "a long, b long, key long").distinct()
+    return dealt.mapInArrow(lean(run), "a long, b long, key long").distinct()
 
 
 def _open(members: DataFrame, sure: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import hash_words, joined, pieces as runs, stage
+from .common import hash_words, joined, lean, pieces as runs, stage
 
 #: The tokenizer's file: a name in the folder of public tokenizers, or a path.
 TOKENIZER = "word_bpe_49k.json"
@@ -139,7 +139,7 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str = TOKENIZ
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(number, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(lean(run), f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
@@ -229,4 +229,4 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = TOKENIZER) -> D
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "rank"), pa.array(sequence), pa.array(offset)], names=[*(c for c in b.schema.names if c != "rank"), "sequence_id", "offset"])
 
     kind = dict(found.dtypes)["doc_id"]
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(lean(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

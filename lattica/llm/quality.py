@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import hash_fraction, hash_words, joined, pieces
+from .common import hash_fraction, hash_words, joined, lean, pieces
 
 #: Labelled documents of each label that are learnt from.
 SAMPLE = 1_500
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column) -> Field:
                     blobs.append(x[a : min(c, a + LINES)].tobytes())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(row, len(blobs)), b.column("label").slice(row, len(blobs)), pa.array(blobs)], names=["doc_id", "label", "x"])
 
-    got = rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("__label").alias("label"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, "doc_id string, label int, x binary").toPandas()
+    got = rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("__label").alias("label"), F.col("text").cast("binary").alias("raw")).mapInArrow(lean(run), "doc_id string, label int, x binary").toPandas()
     got = got.sort_values(["doc_id", "x"])
     parts = [np.frombuffer(v, np.float32).reshape(-1, 3 * WIDTH + 3) for v in got["x"]]
     at = np.concatenate(([0], np.cumsum([len(v) for v in parts]))).astype(np.int64)
@@ -233,7 +233,7 @@ def score(docs: DataFrame, model: Field, keep: list[str] | None = None) -> DataF
                 s = np.clip(model.score(data, off), 0.0, 1.0)
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(row, len(s)) for c in names), pa.array(s)], names=[*names, "score"])
 
-    out = rows.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", score double")
+    out = rows.mapInArrow(lean(run), ", ".join(f"{c} {kinds[c]}" for c in names) + ", score double")
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"))
 
 
@@ -249,4 +249,4 @@ def label_lines(docs: DataFrame, model: Field) -> DataFrame:
                 own = b.column("doc_id").slice(row, len(n)).take(pa.array(np.repeat(np.arange(len(n)), n)))
                 yield pa.RecordBatch.from_arrays([own, pa.array(np.arange(len(p)) - np.repeat(lines[:-1], n)), pa.array(size.astype(np.int64)), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "line", "n_bytes", "good", "label"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, line long, n_bytes long, good double, label int")
+    return rows.mapInArrow(lean(run), f"doc_id {dict(rows.dtypes)['doc_id']}, line long, n_bytes long, good double, label int")
