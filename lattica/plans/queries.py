@@ -635,6 +635,27 @@ def kernel_class_weights(spark, sf):
     return each.select("row_id", "s.class", (F.round("s.weight", 5) + 0.0).alias("weight"))
 
 
+_DOT = "list_dot_product(q.f, q.f) + list_dot_product(c.f, c.f) - 2 * list_dot_product(q.f, c.f)"
+
+
+@query(
+    f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS f FROM embeddings), c AS (SELECT * FROM v WHERE vec_id % 5 <> 0), h AS (SELECT pow(count(*), -1.0 / 68) AS h FROM c)
+SELECT q.vec_id AS row_id, c.label AS class, round(sum(exp(-({_DOT}) / (2 * h * h * 64))), 5) + 0.0 AS weight FROM v q, c, h WHERE q.vec_id % 5 = 0 GROUP BY q.vec_id, c.label"""
+)
+def kernel_class_weights_whole(spark, sf):
+    """kernel_class_weights beside SQL over the whole table."""
+    return kernel_class_weights(spark, sf)
+
+
+@query(
+    f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS f FROM embeddings)
+SELECT q.vec_id, round(ln(sum(CASE WHEN c.label = 0 THEN exp(-({_DOT}) / (2 * 0.25 * 64)) ELSE 0 END) + 1e-9), 6) + 0.0 AS logit FROM v q, v c WHERE q.vec_id % 5 = 0 AND c.vec_id % 5 <> 0 GROUP BY q.vec_id"""
+)
+def kernel_logits_whole(spark, sf):
+    """kernel_logits beside SQL over the whole table."""
+    return kernel_logits(spark, sf)
+
+
 # -- quantile distributions
 
 _QN = 19
