@@ -63,7 +63,7 @@ def _sum(values: Column) -> Column:
 
 @dataclass(frozen=True)
 class Quantiles:
-    """A column of n sorted quantiles at fixed levels. tails: 'exp' or 'gpd'."""
+    """A column of n sorted quantiles at fixed levels. tails: 'exp' or 'gpd'; the latter for icdf, cdf and sample alone."""
 
     q: Column
     n: int
@@ -77,6 +77,10 @@ class Quantiles:
     def at(self, i: int) -> Column:
         return F.element_at(self.q, i + 1)
 
+    def _exponential(self, what: str) -> None:
+        if self.tails != "exp":
+            raise NotImplementedError(f"{what} is known for exponential tails alone")
+
     def _slope(self, first: int, k: int, logs: list[float]) -> Column:
         """|cov/var| of quantiles first..first+k-1 against logs, within the bounds of a tail's scale."""
         mean = sum(logs) / k
@@ -159,6 +163,7 @@ class Quantiles:
 
     def density(self, z: Column) -> Column:
         """1 / Q'(F(z)), the slope within its bounds."""
+        self._exponential("the density")
         a, n = self.alphas, self.n
         bl, br = self.tail_scales()
         level, levels, k = self.cdf(z), F.lit(a).cast("array<double>"), self._segment(z)
@@ -177,11 +182,13 @@ class Quantiles:
 
     def mean(self) -> Column:
         """Mean with both exponential tails."""
+        self._exponential("the mean")
         a, (bl, br) = self.alphas, self.tail_scales()
         inside = _sum(F.transform(self._pairs(), lambda s: s["d"] * (s["a"] + s["b"]) / 2))
         return a[0] * (self.at(0) - bl) + inside + (1 - a[-1]) * (self.at(self.n - 1) + br)
 
     def second_moment(self) -> Column:
+        self._exponential("the variance")
         a, (bl, br) = self.alphas, self.tail_scales()
         ql, qr, ar = self.at(0), self.at(self.n - 1), -br
         inside = _sum(F.transform(self._pairs(), lambda s: s["d"] * (s["a"] * s["a"] + s["a"] * s["b"] + s["b"] * s["b"]) / 3))
@@ -216,6 +223,7 @@ class Quantiles:
 
     def crps(self, z: Column) -> Column:
         """CRPS in closed form: 2 * integral of (1{z <= Q(a)} - a) (Q(a) - z) over all levels, spline and exponential tails."""
+        self._exponential("the CRPS")
         a, (bl, br) = self.alphas, self.tail_scales()
         al, ar, ql, qr = a[0], a[-1], self.at(0), self.at(self.n - 1)
         level = self.cdf(z)

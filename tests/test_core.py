@@ -64,6 +64,25 @@ def test_slices_are_python_slices(spark):
             assert values(p.slice_by_timestep(a, b)) == [float(v) for n in (3, 8) for v in list(range(n))[a:b]]
 
 
+def test_tails_that_are_not_known_are_refused(spark):
+    q = Q.Quantiles(F.array(*(F.lit(float(v)) for v in range(9))), 9, tails="gpd")
+    for ask in (q.mean, q.variance, lambda: q.density(F.lit(1.0)), lambda: q.crps(F.lit(1.0))):
+        with pytest.raises(NotImplementedError):
+            ask()
+    assert spark.range(1).select(q.cdf(F.lit(4.0))).first()[0] == pytest.approx(0.5)
+
+
+def test_a_feature_may_be_called_features(spark):
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 3), float(i % 7 > 3)) for i in range(60)], "k long, features double, other double, y double")
+    got = {}
+    for name in ("features", "plain"):
+        data = df.withColumnRenamed("features", name)
+        model = Regressor().fit(data.drop("k"), "y")
+        out = model.predict(data.drop("y"), "k").toPandas().sort_values("k")
+        got[name] = out[[c for c in out.columns if c != "k"]].to_numpy(dtype=float)
+    assert np.allclose(got["features"], got["plain"])
+
+
 @pytest.fixture(params=["UTC", "America/New_York"])
 def zone(spark, request):
     old = spark.conf.get("spark.sql.session.timeZone")
