@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.staging import staged
 from .quantiles import pinball
 
 
@@ -27,7 +28,7 @@ def auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """ROC-AUC by rank sums. Rows are counted by distinct score first, and ranks are running sums over range
     partitions of the scores, so no task orders the whole table."""
     by = df.groupBy(score).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count("*").alias("n"))
-    by = by.orderBy(score).withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
+    by = staged(by.orderBy(score).withColumn("__at", F.monotonically_increasing_id()), "scores").withColumn("__part", F.shiftright("__at", 33))
     parts = by.groupBy("__part").agg(F.sum("n").alias("__n"))
     ahead = parts.alias("p").join(parts.alias("q"), F.col("q.__part") < F.col("p.__part"), "left").groupBy(F.col("p.__part").alias("__part")).agg(F.coalesce(F.sum("q.__n"), F.lit(0)).alias("__ahead"))
     ranked = by.join(ahead, "__part").withColumn("__upto", F.col("__ahead") + F.sum("n").over(Window.partitionBy("__part").orderBy("__at")))

@@ -10,6 +10,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 #: Bounds of the fitted quantities and number of knots of a tail (fixed values).
@@ -46,15 +47,18 @@ def isotonic(values: np.ndarray, weights: np.ndarray | None = None) -> np.ndarra
     return np.repeat(means, counts)
 
 
-def isotonic_quantiles(q: Column) -> Column:
-    """Isotonic regression of each row's quantiles, in Arrow batches."""
-    import pandas as pd
+def isotonic_quantiles(q: Column, weights: Column | None = None) -> Column:
+    """Isotonic regression of each row's quantiles, weighted by an array of the same length if there is one, in Arrow batches."""
 
     @F.pandas_udf("array<double>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else isotonic(np.asarray(v, float)))
+    def plain(s: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else isotonic(np.asarray(v, float)) for v in s])
 
-    return run(q)
+    @F.pandas_udf("array<double>")
+    def weighted(s: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None or k is None else isotonic(np.asarray(v, float), np.asarray(k, float)) for v, k in zip(s, w, strict=True)])
+
+    return plain(q) if weights is None else weighted(q, weights)
 
 
 def _sum(values: Column) -> Column:

@@ -11,6 +11,8 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.staging import staged
+
 IRREGULAR = "IRREG"
 #: Units of frequency aliases (fixed values): (Spark unit, whether the label is the period's last day).
 UNITS = {"s": ("SECOND", False), "min": ("MINUTE", False), "h": ("HOUR", False), "D": ("DAY", False), "W": ("WEEK", True), "MS": ("MONTH", False), "ME": ("MONTH", True), "QS": ("QUARTER", False), "QE": ("QUARTER", True), "YS": ("YEAR", False), "YE": ("YEAR", True), "B": ("DAY", False)}
@@ -147,7 +149,7 @@ class Panel:
 
     def indptr(self) -> DataFrame:
         """Where each item's rows begin and end in the sorted frame. The running sum is over items, in range partitions."""
-        counts = self.num_timesteps().orderBy(self.item).withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
+        counts = staged(self.num_timesteps().orderBy(self.item).withColumn("__at", F.monotonically_increasing_id()), "items").withColumn("__part", F.shiftright("__at", 33))
         parts = counts.groupBy("__part").agg(F.sum("num_timesteps").alias("__n"))
         ahead = parts.alias("p").join(parts.alias("q"), F.col("q.__part") < F.col("p.__part"), "left").groupBy(F.col("p.__part").alias("__part")).agg(F.coalesce(F.sum("q.__n"), F.lit(0)).alias("__ahead"))
         run = F.sum("num_timesteps").over(Window.partitionBy("__part").orderBy("__at"))

@@ -15,7 +15,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 EPS = 1e-9
 #: Numbers of a context (rows x columns) up to which it is broadcast: 64 MB.
@@ -53,12 +53,6 @@ def weigh(v: np.ndarray, x: np.ndarray, h: float, d: int) -> np.ndarray:
     return np.exp(-np.maximum((v * v).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * v @ x.T, 0.0) / (2 * h * h * d))
 
 
-def kernel_weight(a: Column, b: Column, h: float, d: int) -> Column:
-    """The kernel as a column expression over two feature arrays."""
-    dist = F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-    return F.exp(-dist / (2 * h * h * d))
-
-
 def weighted_quantiles(y: np.ndarray, w: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """Quantiles of values y (sorted) under each row of weights w: linear between the middles of the weights' steps."""
     total = w.sum(axis=1, keepdims=True)
@@ -111,28 +105,28 @@ class KernelPredictor:
         return query.withColumn("sums", score("features"))
 
     def _tiled_sums(self, context: DataFrame, query: DataFrame, n_classes: int, h: float, d: int, n: int) -> DataFrame:
-        """Large contexts: each query row is copied to every context tile; a tile is one group of at most broadcast_cells numbers."""
+        """Large contexts: each different query row is copied to every context tile; a tile is one group of about broadcast_cells numbers. Equal
+        context rows travel as one with their number, so that copies don't meet in one tile."""
         tiles = math.ceil(n * d / self.broadcast_cells)
-        names = query.columns
-        tagged = query.withColumn("__q", F.monotonically_increasing_id())
-        sent = tagged.select("__q", "features").withColumn("__tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-        parts = max(1, math.ceil(sent.count() / tiles / 100_000))
-        sent = sent.withColumn("__part", F.pmod(F.xxhash64("__q"), F.lit(parts)).cast("int"))
-        held = context.select("features", "y").withColumn("__tile", F.pmod(F.xxhash64("features", "y"), F.lit(tiles)).cast("int")).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        names, asked = query.columns, query.select("features").distinct()
+        sent = asked.withColumn("__tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+        parts = max(1, math.ceil(asked.count() / 100_000))
+        sent = sent.withColumn("__part", F.pmod(F.xxhash64("features"), F.lit(parts)).cast("int"))
+        held = context.groupBy("features", "y").agg(F.count("*").alias("c")).withColumn("__tile", F.pmod(F.xxhash64("features", "y"), F.lit(tiles)).cast("int")).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
         def add(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(c):
-                return pd.DataFrame({"__q": [], "sums": []})
-            x, hot = np.stack(c["features"].map(np.asarray)), np.eye(n_classes)[c["y"].to_numpy().astype(int)]
+                return pd.DataFrame({"features": [], "sums": []}, dtype=object)
+            x, hot = np.stack(c["features"].map(np.asarray)), np.eye(n_classes)[c["y"].to_numpy().astype(int)] * c["c"].to_numpy()[:, None]
             sums, step = [], chunk(len(x))
             for at in range(0, len(q), step):
                 v = np.stack(q["features"].iloc[at : at + step].map(np.asarray))
                 sums += list(weigh(v, x, h, d) @ hot)
-            return pd.DataFrame({"__q": q["__q"].to_numpy(), "sums": sums})
+            return pd.DataFrame({"features": q["features"], "sums": sums})
 
-        met = sent.groupBy("__tile", "__part").cogroup(held.groupBy("__tile", "__part")).applyInPandas(add, "__q long, sums array<double>")
-        sums = met.groupBy("__q").agg(*(F.sum(F.element_at("sums", k + 1)).alias(f"s{k}") for k in range(n_classes)))
-        out = tagged.join(sums, "__q", "left")
+        met = sent.groupBy("__tile", "__part").cogroup(held.groupBy("__tile", "__part")).applyInPandas(add, "features array<double>, sums array<double>")
+        sums = met.groupBy("features").agg(*(F.sum(F.element_at("sums", k + 1)).alias(f"s{k}") for k in range(n_classes)))
+        out = query.join(sums, "features", "left")
         return out.select(*names, F.array(*(F.coalesce(F.col(f"s{k}"), F.lit(0.0)) for k in range(n_classes))).alias("sums"))
 
     def quantiles(self, context: DataFrame, query: DataFrame) -> DataFrame:
@@ -184,7 +178,7 @@ class KernelPredictor:
 
         def first(q: pd.DataFrame, context: pd.DataFrame) -> pd.DataFrame:
             out = [pd.DataFrame({"features": rows["features"], "__tile": rows["__tile"], "s": w @ c, "w": w[:, -1], "m": c.sum(), "y": y[-1]}) for rows, w, y, c in met(q, context)]
-            return pd.concat(out) if out else pd.DataFrame({k: [] for k in ("features", "__tile", "s", "w", "m", "y")})
+            return pd.concat(out) if out else pd.DataFrame({k: [] for k in ("features", "__tile", "s", "w", "m", "y")}, dtype=object)
 
         def second(q: pd.DataFrame, context: pd.DataFrame) -> pd.DataFrame:
             features, values = [], []
@@ -198,7 +192,7 @@ class KernelPredictor:
                     end = len(levels) if np.isnan(high) else np.searchsorted(levels, high, "right")
                     features.append(f)
                     values.append(np.interp(levels[begin:end], middle, ys))
-            return pd.DataFrame({"features": features, "__tile": q["__tile"].iloc[0] if len(q) else 0, "v": values})
+            return pd.DataFrame({"features": features, "__tile": q["__tile"].iloc[0] if len(q) else 0, "v": values}, dtype=None if features else object)
 
         row = Window.partitionBy("features").orderBy("__tile")
         kind = "features array<double>, __tile int"
@@ -225,10 +219,3 @@ def _knots(y: np.ndarray, c: np.ndarray, w: np.ndarray, before: float, total: fl
     """Quantile function of c copies of each y of weight w a copy: the middles of the first and the last copy's step, and y."""
     end = before + np.cumsum(w * c)
     return np.stack(((end - w * (c - 0.5)) / total, (end - w * 0.5) / total), axis=1).ravel(), np.repeat(y, 2)
-
-
-def sql_class_weights(context: DataFrame, query: DataFrame, h: float, d: int, key: str = "row_id", label: str = "y") -> DataFrame:
-    """Weight of each class for each query row, wholly in column expressions, for contexts of checked size."""
-    c = context.select(F.col("features").alias("__f"), F.col(label).alias("class"))
-    met = query.select(key, "features").crossJoin(F.broadcast(c))
-    return met.groupBy(key, "class").agg(F.sum(kernel_weight(F.col("features"), F.col("__f"), h, d)).alias("weight"))

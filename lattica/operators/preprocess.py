@@ -79,6 +79,10 @@ def non_constant(df: DataFrame, columns: list[str], threshold: int = 1) -> list[
     """Columns with more than `threshold` distinct values; all of them if there are no more rows than that."""
     if df.limit(threshold + 1).count() <= threshold:
         return list(columns)
+    if threshold == 1:  # no distinct values to count: the least and the largest differ, or there are nulls beside values
+        varied = lambda c: (F.min(c) != F.max(c)) | (F.count_if(F.col(c).isNull()) > 0)
+        got = _one(df, **{f"v{i}": F.coalesce(F.when(F.count(c) > 0, varied(c)), F.lit(False)) for i, c in enumerate(columns)})
+        return [c for i, c in enumerate(columns) if got[f"v{i}"]]
     counts = unique_counts(df, columns)
     return [c for c in columns if counts[c] > threshold]
 

@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import arrays as A, metrics
 from ..functions.calendar import PERIODS, calendar_features, fourier_features
-from ..functions.quantiles import Quantiles, cummax_quantiles
+from ..functions.quantiles import Quantiles, cummax_quantiles, isotonic_quantiles, sort_quantiles
 from ..operators import ensemble, explain, forecast, preprocess, synthetic, tuning
 from ..operators.estimators import Classifier, Regressor, multi_target
 from ..operators.panel import Panel
 from ..operators.predictor import KernelPredictor, bandwidth
 from ..operators.unsupervised import Unsupervised
-from ..sources.panels import from_arrays
+from ..sources.panels import from_arrays, from_frame, from_path
+from ..sources.staging import new_path
+from ..streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -772,7 +774,7 @@ def _part(spark, sf) -> DataFrame:
 @query()
 def classify(spark, sf):
     """Class probabilities of held-out vectors from the others."""
-    cols = [f"f{i}" for i in range(8)]
+    cols = [f"f{i}" for i in range(64)]
     df = table(spark, sf, "embeddings").select("vec_id", "label", *(F.element_at("embedding", i + 1).cast("double").alias(c) for i, c in enumerate(cols)))
     model = Classifier(n_estimators=4).fit(df.where("vec_id % 5 <> 0"), "label", cols)
     return model.predict(df.where("vec_id % 5 = 0"), "vec_id")
@@ -906,3 +908,243 @@ def kernel_logits(spark, sf):
     df = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("y"), F.transform("embedding", lambda v: v.cast("double")).alias("features"))
     out = KernelPredictor(0.5).class_logits(df.where("vec_id % 5 <> 0"), df.where("vec_id % 5 = 0"), 10)
     return out.select("vec_id", r6(F.element_at("logits", 1)).alias("logit"))
+
+
+# -- sources, sides and items of panels
+
+
+@query("SELECT user_id AS item_id, ts::TIMESTAMP AS timestamp, round(value, 6) + 0.0 AS value FROM events")
+def panel_from_frame(spark, sf):
+    p = from_frame(table(spark, sf, "events").select("user_id", "ts", "value"), "user_id", "ts")
+    return p.df.select(p.item, p.ts, r6("value").alias("value"))
+
+
+@query("SELECT o_custkey AS item_id, o_orderdate::TIMESTAMP AS timestamp, o_orderkey, o_totalprice FROM orders")
+def panel_from_file(spark, sf):
+    p = from_path(spark, f"{sf}/orders.parquet", item="o_custkey", ts="o_orderdate")
+    return p.df.select(p.item, p.ts, "o_orderkey", "o_totalprice")
+
+
+@query(f"WITH {E} SELECT user_id, ts, event_id, round(target, 6) + 0.0 AS target FROM e")
+def split_target(spark, sf):
+    """Features and targets apart, and side by side again."""
+    features, target = events(spark, sf).split_target()
+    return features.join(target, ["user_id", "ts"]).select("user_id", "ts", "event_id", r6("target").alias("target"))
+
+
+@query(f"WITH {E} SELECT {_OUT} FROM e WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 4)")
+def select_items(spark, sf):
+    """The four longest series."""
+    p = events(spark, sf)
+    longest = p.num_timesteps().orderBy(F.desc("num_timesteps"), "user_id").limit(4).collect()
+    return _rows(p.select_items([r["user_id"] for r in longest]))
+
+
+@query(f"WITH {E}, {P} SELECT user_id, ts, round(target, 6) + 0.0 AS target, event_id, i < n - 3 AS is_context FROM p")
+def shared_covariates(spark, sf):
+    """Context and horizon with the covariates that both have."""
+    p = events(spark, sf)
+    past, late = p.assign(past_only=F.lit(1)).scoring_inputs(3, ["event_id"])
+    future = p.with_df(late.withColumn("future_only", F.lit(2)).join(p.df.select("user_id", "ts", "target"), ["user_id", "ts"]))
+    a, b = past.align_covariates(future)
+    both = a.with_horizon(b).df
+    return both.select("user_id", "ts", r6("target").alias("target"), *(c for c in both.columns if c not in ("user_id", "ts", "target")))
+
+
+@query(f"WITH {E}, {P} SELECT user_id, ts, -1.0::DOUBLE AS target, CASE WHEN i % 2 = 0 THEN round(target, 6) + 0.0 END AS truth FROM p WHERE i >= n - 6")
+def join_truth(spark, sf):
+    """Predictions of every series' last six rows beside the truth, which is known of every other row."""
+    p = events(spark, sf)
+    known = p.with_index().df.where("running_index % 2 = 0")
+    predicted = p.tail(6).assign(target=F.lit(-1.0))
+    return predicted.join_truth(known).select("user_id", "ts", "target", r6("truth").alias("truth"))
+
+
+@query(
+    f"""WITH {E}, b AS (SELECT user_id, min(date_trunc('day', ts)) AS a, max(date_trunc('day', ts)) AS z FROM e GROUP BY user_id),
+s AS (SELECT user_id, unnest(generate_series(a, z + INTERVAL 3 DAY, INTERVAL 1 DAY))::TIMESTAMP AS ts, z FROM b), i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS i FROM s)
+SELECT user_id, ts, ts <= z AS is_context, i AS running_index, month(ts) AS month, round(sin(2 * pi() * (isodow(ts) - 1) / 6), 6) + 0.0 AS day_of_week_sin, round(cos(2 * pi() * i / 7), 6) + 0.0 AS cos_7 FROM i"""
+)
+def forecast_features(spark, sf):
+    """Features of daily context rows and three days ahead, by three transforms one after another."""
+    p = events(spark, sf)
+    daily = p.with_df(p.df.drop("event_id")).convert_frequency("D", "mean")
+    steps = (forecast.IndexEncoder(), forecast.DatetimeEncoder(("month",), {"day_of_week": [7]}), forecast.FourierEncoder((7,)))
+    df = forecast.add_features(daily, daily.build_horizon(3, "D"), steps).df
+    return df.select("user_id", "ts", "is_context", "running_index", "month", r6("day_of_week_sin").alias("day_of_week_sin"), r6("cos_7").alias("cos_7"))
+
+
+@query(
+    "SELECT event_id, quarter(ts) AS quarter, hour(ts) AS hour_of_day, "
+    + ", ".join(f"round({f}(2 * pi() * (isodow(ts) - 1) / {p - 1}), 6) + 0.0 AS day_of_week_{p}_{f}" for p in (7, 14) for f in ("sin", "cos"))
+    + " FROM events"
+)
+def calendar_periods(spark, sf):
+    """A component, a value as it is, and a feature with two periods."""
+    cols = calendar_features(F.col("ts"), ("quarter",), {"hour_of_day": None, "day_of_week": [7, 14]})
+    return table(spark, sf, "events").select("event_id", *((c if k in ("quarter", "hour_of_day") else r6(c)).alias(k) for k, c in cols.items()))
+
+
+_BINS = f"""{E}, b AS (SELECT user_id, floor(epoch(ts) / 21600)::BIGINT AS p, coalesce(sum(target), 0) AS v FROM e GROUP BY ALL),
+s AS (SELECT user_id, min(p) AS p0, max(p) - min(p) + 1 AS n FROM b GROUP BY user_id), g AS (SELECT user_id, p0, n, unnest(range(n)) AS j FROM s),
+x AS (SELECT g.user_id, n, j, coalesce(v, 0) AS x FROM g LEFT JOIN b ON b.user_id = g.user_id AND b.p = p0 + j),
+l AS (SELECT user_id, regr_slope(x, j) AS a, regr_intercept(x, j) AS c FROM x GROUP BY user_id),
+y AS (SELECT x.user_id, n, j, (x - a * j - c) * (0.5 - 0.5 * cos(2 * pi() * j / (n - 1))) AS y FROM x JOIN l ON l.user_id = x.user_id),
+k AS (SELECT user_id, n, unnest(range(n + 1)) AS k FROM s),
+m AS (SELECT k.user_id, k.n, k, CASE WHEN k = 0 THEN 0 ELSE sqrt(pow(sum(y * cos(pi() * j * k / k.n)), 2) + pow(sum(y * sin(pi() * j * k / k.n)), 2)) END AS m FROM k JOIN y ON y.user_id = k.user_id GROUP BY k.user_id, k.n, k),
+q AS (SELECT *, lag(m) OVER (PARTITION BY user_id ORDER BY k) AS before, lead(m) OVER (PARTITION BY user_id ORDER BY k) AS after, max(m) OVER (PARTITION BY user_id) AS top FROM m),
+t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY m DESC, k) AS place FROM q WHERE m > before AND m > after AND m >= 0.05 * top),
+d AS (SELECT user_id, round_even(1 / (k * (1e0 / (2 * n))), 0) AS period, max(m) AS m FROM t WHERE place <= 5 GROUP BY ALL)"""
+
+
+@query(f"WITH {_BINS} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY m DESC) - 1 AS place, period FROM d")
+def season_periods(spark, sf):
+    """Detected periods of every user's sums of six hours, strongest first: trend, window, padded transform and peaks."""
+    return detect_seasons(spark, sf).select("user_id", F.posexplode("periods").alias("place", "period"))
+
+
+# -- statistics, views and draws
+
+
+@query("SELECT 'l_quantity' AS feature, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem UNION ALL SELECT 'l_extendedprice', min(l_extendedprice), max(l_extendedprice) FROM lineitem")
+def fitted_range(spark, sf):
+    """The range that a pipeline clips new values to."""
+    got = preprocess.Pipeline("none").fit(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"]).range
+    return spark.createDataFrame([(c, float(a), float(b)) for c, (a, b) in got.items()], "feature string, low double, high double")
+
+
+@query("WITH s AS (SELECT avg(s_acctbal) AS m, stddev_pop(s_acctbal) + 1e-6 AS s FROM supplier) SELECT p_partkey, round((p_size / 25.0 - 1) * s + m, 5) + 0.0 AS x FROM part, s")
+def unscale(spark, sf):
+    """Scores back in the units of another table's column."""
+    scale = preprocess.Standard().fit(table(spark, sf, "supplier"), ["s_acctbal"])
+    return table(spark, sf, "part").select("p_partkey", (F.round(scale.inverse("s_acctbal", F.col("p_size") / 25.0 - 1), 5) + 0.0).alias("x"))
+
+
+@query("WITH x AS (SELECT s_suppkey, s_acctbal / 1000 AS x FROM supplier) SELECT s_suppkey, " + ", ".join(f"round(CASE WHEN x >= 0 THEN {up} ELSE {down} END, 6) + 0.0 AS {name}" for name, up, down in (("half", "(pow(x + 1, 0.5) - 1) / 0.5", "-(pow(1 - x, 1.5) - 1) / 1.5"), ("zero", "ln(1 + x)", "-(pow(1 - x, 2.0) - 1) / 2"), ("two", "(pow(x + 1, 2.0) - 1) / 2", "-ln(1 - x)"))) + " FROM x")
+def power_fixed(spark, sf):
+    """The power transform at three given exponents."""
+    df = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"))
+    return df.select("s_suppkey", *(r6(preprocess.yeo_johnson(F.col("x"), F.lit(lam))).alias(name) for name, lam in (("half", 0.5), ("zero", 0.0), ("two", 2.0))))
+
+
+@query(f"WITH {_LINES}, n AS (SELECT 0 AS i, 'l_quantity' AS col, count_if(l_quantity IS NULL) AS m FROM l UNION ALL SELECT 1, 'l_orderkey', 0 FROM (SELECT 1) UNION ALL SELECT 2, 'late', (SELECT count_if(l_linenumber > 1) FROM l)) SELECT (row_number() OVER (ORDER BY m, i) - 1)::INTEGER AS place, col FROM n")
+def columns_by_missing(spark, sf):
+    df = _lines(spark, sf).withColumn("late", F.when(F.col("l_linenumber") <= 1, 1))
+    return spark.createDataFrame(list(enumerate(preprocess.by_missing_rate(df, ["l_quantity", "l_orderkey", "late"]))), "place int, col string")
+
+
+@query("SELECT unnest(['none', 'nan']) AS col")
+def empty_columns(spark, sf):
+    df = table(spark, sf, "part").select("p_size", F.when(F.col("p_size") < 0, F.col("p_size")).alias("none"), F.lit(float("nan")).alias("nan"))
+    return spark.createDataFrame([(c,) for c in preprocess.masked_columns(df, df.columns)], "col string")
+
+
+@query("SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INTEGER AS best FROM embeddings")
+def best_class(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", A.argmax(F.col("embedding")).cast("int").alias("best"))
+
+
+_VIEWS = ensemble.members(3, 64, norms=("none",))
+
+
+@query(" UNION ALL ".join(f"SELECT vec_id, {m.number} AS member, round(list_sum(list_transform(range(64), lambda i: embedding[({list(m.features)})[i + 1] + 1]::DOUBLE * (i + 1))), 5) + 0.0 AS mixed FROM embeddings" for m in _VIEWS))
+def member_views(spark, sf):
+    """Every vector in three orders of its features, as a sum weighted by place."""
+    df = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("f"))
+    mixed = A.reduce_array(F.transform("f", lambda v, i: v * (i + 1)), "sum")
+    return ensemble.views(df, "f", _VIEWS).select("vec_id", "member", (F.round(mixed, 5) + 0.0).alias("mixed"))
+
+
+@query("WITH l AS (SELECT label, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT label, k, avg(v) AS m FROM l GROUP BY ALL), e AS (SELECT label, k, exp((m - max(m) OVER (PARTITION BY label)) / 0.9) AS e FROM m) SELECT label, k::INTEGER AS class, round(e / sum(e) OVER (PARTITION BY label), 6) AS proba FROM e")
+def mean_logits(spark, sf):
+    """Mean of many logits and its probabilities: each label's vectors are the members of one row."""
+    df = table(spark, sf, "embeddings").select("label", F.transform("embedding", lambda v: v.cast("double")).alias("logits"))
+    return ensemble.average_logits(df, "label", "logits", 64).select("label", F.posexplode("proba").alias("class", "proba")).withColumn("proba", F.round("proba", 6))
+
+
+def _prices(spark, sf) -> DataFrame:
+    """Every customer's prices in the order of time."""
+    each = F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey", F.col("o_totalprice").cast("double").alias("v"))))
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.transform(each, lambda r: r["v"]).alias("q"))
+
+
+@query("SELECT o_custkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) - 1)::INTEGER AS place, o_totalprice AS v FROM orders")
+def sorted_quantiles(spark, sf):
+    return _prices(spark, sf).select("o_custkey", F.posexplode(sort_quantiles(F.col("q"))).alias("place", "v"))
+
+
+@query(
+    """WITH o AS (SELECT o_custkey, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS i FROM orders),
+s AS (SELECT *, sum(v) OVER (PARTITION BY o_custkey ORDER BY i) AS s FROM o),
+m AS (SELECT a.o_custkey, a.i, b.i AS j, (b.s - a.s + a.v) / (b.i - a.i + 1) AS m FROM s a JOIN s b ON a.o_custkey = b.o_custkey AND b.i >= a.i),
+l AS (SELECT o_custkey, i, j AS k, min(m) OVER (PARTITION BY o_custkey, i ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM m)
+SELECT o_custkey, k::INTEGER AS place, round(max(m) / pi(), 4) AS v FROM l GROUP BY o_custkey, k"""
+)
+def isotonic_prices(spark, sf):
+    """The nearest non-decreasing sequence to every customer's prices; the SQL has it as a maximum of minima of means.
+    Divided by pi: means of a few prices lie on the very edges between rounded numbers."""
+    each = _prices(spark, sf).select("o_custkey", F.posexplode(isotonic_quantiles(F.col("q"))).alias("place", "v"))
+    return each.withColumn("v", F.round(F.col("v") / math.pi, 4))
+
+
+@query("WITH u AS (SELECT p_partkey, (p_partkey % 97) / 97.0 AS u FROM part) SELECT p_partkey, (CASE WHEN u < 0.04 / 0.38 THEN 0 WHEN u < 0.13 / 0.38 THEN 1 ELSE 2 END)::INTEGER AS class, round(0.09 / 0.38, 6) AS p1, round(greatest(1e-6, least(1 - 1e-6, 0.5 + (u - 0.5) * 0.5)), 6) AS level FROM u")
+def tempered_draws(spark, sf):
+    """Sharpened class probabilities, the class that a level falls into, and the level of a tempered draw."""
+    p, u = A.sharpen(F.array(F.lit(0.2), F.lit(0.3), F.lit(0.5)), 0.5), F.col("p_partkey") % 97 / 97.0
+    return table(spark, sf, "part").select("p_partkey", A.sample_category(p, u).cast("int").alias("class"), F.round(F.element_at(p, 2), 6).alias("p1"), F.round(A.tempered_level(u, 0.5), 6).alias("level"))
+
+
+@query("WITH m AS (SELECT avg(p_size) AS a, avg(p_retailprice) AS b FROM part) SELECT 'p_size' AS feature, round(avg(abs(3.0 * (p_size - a))), 6) AS importance FROM part, m UNION ALL SELECT 'p_retailprice', round(avg(abs(-0.5 * (p_retailprice - b))), 6) FROM part, m")
+def feature_importance(spark, sf):
+    phi = explain.additive_shapley(table(spark, sf, "part"), "p_partkey", {"p_size": 3.0, "p_retailprice": -0.5})
+    return explain.importance(phi).withColumn("importance", F.round("importance", 6))
+
+
+_CLIPPED = """v AS (SELECT vec_id, label, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings),
+s AS (SELECT k, avg(x) AS m, stddev_pop(x) + 1e-6 AS s FROM v WHERE vec_id % 5 <> 0 GROUP BY k), z AS (SELECT vec_id, label, v.k, greatest(-100, least(100, (x - m) / s)) AS z FROM v JOIN s ON s.k = v.k),
+a AS (SELECT k, avg(z) AS m, greatest(1e-6, stddev_samp(z)) AS s FROM z WHERE vec_id % 5 <> 0 GROUP BY k),
+i AS (SELECT z.k, avg(z) AS m, greatest(1e-6, stddev_samp(z)) AS s FROM z JOIN a ON a.k = z.k WHERE vec_id % 5 <> 0 AND abs(z - m) <= 4 * a.s GROUP BY z.k),
+o AS (SELECT vec_id, label, z.k, greatest(m - 4 * s - ln(1 + abs(z)), z) AS y, m + 4 * s AS hi FROM z JOIN i ON i.k = z.k),
+f AS (SELECT vec_id, label, list(least(hi + ln(1 + abs(y)), y) ORDER BY k) AS f FROM o GROUP BY vec_id, label),
+h AS (SELECT pow(count(*), -1.0 / 68) AS h FROM f WHERE vec_id % 5 <> 0)"""
+
+
+@query(
+    f"""WITH {_CLIPPED}, l AS (SELECT q.vec_id, c.label, ln(sum(exp(-({_DOT}) / (2 * h * h * 64))) + 1e-9) AS l FROM f q, f c, h WHERE q.vec_id % 5 = 0 AND c.vec_id % 5 <> 0 GROUP BY q.vec_id, c.label),
+e AS (SELECT vec_id, label, exp((l - max(l) OVER (PARTITION BY vec_id)) / 0.9) AS e FROM l) SELECT vec_id, arg_max(label, e) AS prediction, round(max(e) / sum(e), 5) AS proba FROM e GROUP BY vec_id"""
+)
+def classify_vectors(spark, sf):
+    """The classifier's label of every fifth vector and its probability, from all the others: scaling, clipping, kernel, softmax."""
+    cols = [f"f{i}" for i in range(64)]
+    df = table(spark, sf, "embeddings").select("vec_id", "label", *(F.element_at("embedding", i + 1).cast("double").alias(c) for i, c in enumerate(cols)))
+    model = Classifier(n_estimators=1, norms=("none",), max_context=None).fit(df.where("vec_id % 5 <> 0"), "label", cols)
+    got = model.predict(df.where("vec_id % 5 = 0"), "vec_id")
+    return got.select("vec_id", "prediction", F.round(F.array_max("proba"), 5).alias("proba"))
+
+
+# -- streams
+
+
+def _stream(spark, sf, name: str) -> DataFrame:
+    """A table as a stream of files, be it one file or a folder: a plain path would have to be a folder, a pattern needn't be."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
+
+
+@query("SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts::TIMESTAMP) AS ts, round(avg(value), 6) AS mean, round(min(value), 6) AS least, round(max(value), 6) AS most, count(value) AS n FROM events GROUP BY ALL")
+def stream_resample(spark, sf):
+    """Windows of six hours of a stream of all events, none of them late; the last state of each window."""
+    rows = _stream(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    agg = streams.resample_stream(rows, "6h", "user_id", "ts", "value", late="1000 days")
+    got = streams.drained(agg, new_path(spark, "windows"), "update")
+    last = got.groupBy("user_id", "ts").agg(*(F.max_by(c, "batch").alias(c) for c in ("mean", "min", "max", "n")))
+    return last.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), F.round("mean", 6).alias("mean"), F.round("min", 6).alias("least"), F.round("max", 6).alias("most"), "n")
+
+
+@query(ORACLE_SQL["kernel_logits_whole"])
+def stream_logits(spark, sf):
+    """kernel_logits with the query rows as a stream against the static context."""
+    prepared = lambda df: df.select("vec_id", F.col("label").alias("y"), F.transform("embedding", lambda v: v.cast("double")).alias("features"))
+    queries, context = prepared(_stream(spark, sf, "embeddings")).where("vec_id % 5 = 0").drop("y"), prepared(table(spark, sf, "embeddings")).where("vec_id % 5 <> 0")
+    out = streams.score_stream(queries, context, KernelPredictor(0.5), 10)
+    got = streams.drained(out.select("vec_id", "logits"), new_path(spark, "scores"))
+    return got.select("vec_id", r6(F.element_at("logits", 1)).alias("logit"))

@@ -61,6 +61,16 @@ def batch_files(spark: SparkSession, path: str, schema: str, per_trigger: int =
     return (reader.option("cleanSource", "delete") if delete else reader).parquet(path)
 
 
+def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there now and reads what it gave, by `batch`. A batch that runs again replaces its own rows."""
+    spark, kind = stream.sparkSession, stream.schema
+    spark.createDataFrame([], kind).write.parquet(f"{path}/rows/batch=-1")  # a stream without rows gives none
+    save = lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+    run = stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{path}/rows")
+
+
 def write_batches(df: DataFrame, path: str, meta: dict | None = None) -> None:
     """Appends a batch under Spark's commit protocol; meta goes beside it as JSON."""
     import json

@@ -194,6 +194,37 @@ def test_isotonic():
         assert np.allclose(got, want) and (np.diff(got) >= -1e-12).all()
 
 
+def test_isotonic_columns(spark):
+    df = spark.createDataFrame([([3.0, 1.0, 2.0], [1.0, 3.0, 1.0]), ([1.0, 2.0, 2.0], [1.0, 1.0, 1.0]), (None, [1.0])], "q array<double>, w array<double>")
+    got = df.select(Q.isotonic_quantiles(F.col("q")).alias("a"), Q.isotonic_quantiles(F.col("q"), F.col("w")).alias("b")).collect()
+    assert [r.a for r in got] == [[2.0, 2.0, 2.0], [1.0, 2.0, 2.0], None]
+    assert [r.b for r in got] == [[1.5, 1.5, 2.0], [1.0, 2.0, 2.0], None]
+
+
+def test_equal_context_rows_count_each(spark):
+    context = spark.createDataFrame([([0.0, 1.0], 0)] * 5 + [([1.0, 0.0], 1), ([0.5, 0.5], 1)], "features array<double>, y int")
+    query = spark.createDataFrame([(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0])], "id int, features array<double>")
+    sums = lambda cells: {r.id: r.sums for r in KernelPredictor(1.0, cells).class_sums(context, query, 2).collect()}
+    whole, tiled = sums(1000), sums(4)
+    assert set(whole) == set(tiled) == {1, 2, 3}
+    assert all(np.allclose(whole[i], tiled[i]) for i in whole)
+
+
+def test_varying_columns(spark):
+    rows = [(1, None, None, "a", float("nan")), (1, 2.0, None, "a", float("nan")), (1, 2.0, None, "b", float("nan"))]
+    df = spark.createDataFrame(rows, "same int, gap double, none int, two string, nan double")
+    assert preprocess.non_constant(df, df.columns) == ["gap", "two"]
+    assert preprocess.non_constant(df, df.columns) == [c for c, n in preprocess.unique_counts(df, df.columns).items() if n > 1]
+    assert preprocess.non_constant(df.limit(1), df.columns) == df.columns
+
+
+def test_stream_without_rows(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    stream = streams.batch_files(spark, str(tmp_path / "none"), "item_id string, target double")
+    got = streams.drained(stream, str(tmp_path / "out"))
+    assert got.count() == 0 and got.columns == ["item_id", "target", "batch"]
+
+
 def test_permutations():
     sq = ensemble.permutations(6, 4, "latin", 1)
     assert len(sq) == 6 and all(sorted(r) == list(range(6)) for r in sq) and all(sorted(c) == list(range(6)) for c in zip(*sq, strict=True))
