@@ -58,7 +58,7 @@ class _Base:
     def _sides(self, query: DataFrame, norm: str, masked: set[str]) -> tuple[DataFrame, DataFrame]:
         names = [c for c in self.names if c not in masked] or self.names[:1]
         # packed under another name first: a feature may be called features
-        pack = lambda df: self.pipelines[norm].transform(df).withColumn("__features", F.array(*(F.col(c).cast("double") for c in names)))
+        pack = lambda df: df.withColumn("__features", self.pipelines[norm].packed(names))
         return pack(self.limited).select(F.col("__features").alias("features"), F.col("__y").alias("y")), pack(query).drop(*self.names).withColumnRenamed("__features", "features")
 
     def _query(self, df: DataFrame, key: str) -> tuple[DataFrame, set[str]]:

@@ -3,6 +3,7 @@ driver-side table that transforms embed as literals, so transforming is one proj
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,6 +22,28 @@ def _one(df: DataFrame, **aggs: Column) -> dict:
     return df.agg(*(c.alias(k) for k, c in aggs.items())).first().asDict() if aggs else {}
 
 
+#: Columns up to which each has aggregates of its own; those of more columns would outgrow one generated method.
+WIDE = 16
+
+
+def _each(df: DataFrame, columns: list[str], **aggs: Callable[[Column, Column], Column]) -> dict[str, dict]:
+    """Aggregates by column, in one job: functions of the column and its place. Beyond WIDE numeric columns, rows are turned to
+    (place, value) pairs and added up by place, which gives the same with one small aggregate; tasks send one row a column."""
+    kinds = dict(df.dtypes)
+    if len(columns) <= WIDE or not all(kinds[c] in ("tinyint", "smallint", "int", "float", "double") for c in columns):
+        got = _one(df, **{f"{k}{i}": f(F.col(c), F.lit(i)) for i, c in enumerate(columns) for k, f in aggs.items()})
+        return {c: {k: got[f"{k}{i}"] for k in aggs} for i, c in enumerate(columns)}
+    pairs = df.select(F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("__i", "__x"))
+    found = pairs.groupBy("__i").agg(*(f(F.col("__x"), F.col("__i")).alias(k) for k, f in aggs.items())).collect()
+    rows = {r["__i"]: r for r in found}
+    return {c: {k: rows[i][k] if i in rows else None for k in aggs} for i, c in enumerate(columns)}
+
+
+def _at(values: list, place: Column) -> Column:
+    """The value of a column's place, from a constant array."""
+    return F.element_at(F.lit([float("nan") if v is None else float(v) for v in values]).cast("array<double>"), place + 1)
+
+
 def kinds(df: DataFrame) -> tuple[list[str], list[str], list[str]]:
     """(categorical, numeric, dropped) columns: text and booleans, numbers, and dates with everything else."""
     cat = [f.name for f in df.schema if isinstance(f.dataType, (StringType, BooleanType))]
@@ -80,17 +103,18 @@ def non_constant(df: DataFrame, columns: list[str], threshold: int = 1) -> list[
     if df.limit(threshold + 1).count() <= threshold:
         return list(columns)
     if threshold == 1:  # no distinct values to count: the least and the largest differ, or there are nulls beside values
-        varied = lambda c: (F.min(c) != F.max(c)) | (F.count_if(F.col(c).isNull()) > 0)
-        got = _one(df, **{f"v{i}": F.coalesce(F.when(F.count(c) > 0, varied(c)), F.lit(False)) for i, c in enumerate(columns)})
-        return [c for i, c in enumerate(columns) if got[f"v{i}"]]
+        got = _each(df, columns, varied=lambda x, i: F.coalesce(F.when(F.count(x) > 0, (F.min(x) != F.max(x)) | (F.count_if(x.isNull()) > 0)), F.lit(False)))
+        return [c for c in columns if got[c]["varied"]]
     counts = unique_counts(df, columns)
     return [c for c in columns if counts[c] > threshold]
 
 
 def masked_columns(df: DataFrame, columns: list[str]) -> list[str]:
     """Columns without a single value in the frame."""
-    got = _one(df, **{f"n{i}": F.count(F.nanvl(F.col(c).cast("double"), F.lit(None)) if dict(df.dtypes)[c] in ("float", "double") else F.col(c)) for i, c in enumerate(columns)})
-    return [c for i, c in enumerate(columns) if not got[f"n{i}"]]
+    kinds = dict(df.dtypes)
+    real = [c for c in columns if kinds[c] in ("float", "double")]
+    some = _each(df, real, n=lambda x, i: F.count(F.nanvl(x.cast("double"), F.lit(None)))) | _each(df, [c for c in columns if c not in real], n=lambda x, i: F.count(x))
+    return [c for c in columns if not some[c]["n"]]
 
 
 class Stage:
@@ -104,15 +128,25 @@ class Stage:
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: self.column(c) for c in self.columns})
 
+    def over(self, values: Column, columns: list[str]) -> Column:
+        """The same on an array that holds the given columns' values."""
+        return F.array(*(self.column(c, F.element_at(values, i + 1)) for i, c in enumerate(columns)))
+
 
 class Standard(Stage):
     """(x - mean) / (population std + 1e-6), within +-100."""
 
     def fit(self, df: DataFrame, columns: list[str]) -> Standard:
-        got = _one(df, **{f"m{i}": F.avg(c) for i, c in enumerate(columns)}, **{f"s{i}": F.stddev_pop(c) + 1e-6 for i, c in enumerate(columns)})
-        self.columns, self.stats = list(columns), {c: (got[f"m{i}"], got[f"s{i}"]) for i, c in enumerate(columns)}
+        got = _each(df, columns, m=lambda x, i: F.avg(x), s=lambda x, i: F.stddev_pop(x) + 1e-6)
+        self.columns, self.stats = list(columns), {c: (got[c]["m"], got[c]["s"]) for c in columns}
         return self
 
+    def over(self, values: Column, columns: list[str]) -> Column:
+        if any(None in self.stats[c] for c in columns):
+            return super().over(values, columns)
+        means, stds = zip(*(self.stats[c] for c in columns), strict=True)
+        return F.transform(values, lambda v, i: zscore(v, _at(means, i), _at(stds, i)))
+
     def column(self, c: str, x: Column | None = None) -> Column:
         m, s = self.stats[c]
         return zscore(F.col(c) if x is None else x, F.lit(m), F.lit(s))
@@ -131,12 +165,17 @@ class OutlierClip(Stage):
     def fit(self, df: DataFrame, columns: list[str]) -> OutlierClip:
         k = self.threshold
         spread = lambda x: F.greatest(F.lit(1e-6), F.coalesce(F.when(F.count(x) > 1, F.stddev_samp(x)), F.lit(0.0)))
-        one = _one(df, **{f"m{i}": F.avg(c) for i, c in enumerate(columns)}, **{f"s{i}": spread(F.col(c)) for i, c in enumerate(columns)})
-        inside = {c: F.when(F.abs(F.col(c) - one[f"m{i}"]) <= k * one[f"s{i}"], F.col(c)) if one[f"m{i}"] is not None else F.col(c) for i, c in enumerate(columns)}
-        two = _one(df, **{f"m{i}": F.avg(inside[c]) for i, c in enumerate(columns)}, **{f"s{i}": spread(inside[c]) for i, c in enumerate(columns)})
-        self.columns, self.bounds = list(columns), {c: (two[f"m{i}"] - k * two[f"s{i}"], two[f"m{i}"] + k * two[f"s{i}"]) if two[f"m{i}"] is not None else (0.0, 0.0) for i, c in enumerate(columns)}
+        one = _each(df, columns, m=lambda x, i: F.avg(x), s=lambda x, i: spread(x))
+        means, stds = [one[c]["m"] for c in columns], [one[c]["s"] for c in columns]
+        inside = lambda x, i: F.when(F.abs(x - _at(means, i)) <= k * _at(stds, i), x)
+        two = _each(df, columns, m=lambda x, i: F.avg(inside(x, i)), s=lambda x, i: spread(inside(x, i)))
+        self.columns, self.bounds = list(columns), {c: (v["m"] - k * v["s"], v["m"] + k * v["s"]) if v["m"] is not None else (0.0, 0.0) for c, v in two.items()}
         return self
 
+    def over(self, values: Column, columns: list[str]) -> Column:
+        low, high = zip(*(self.bounds[c] for c in columns), strict=True)
+        return F.transform(values, lambda v, i: soft_clip(v, _at(low, i), _at(high, i)))
+
     def column(self, c: str, x: Column | None = None) -> Column:
         low, high = self.bounds[c]
         return soft_clip(F.col(c) if x is None else x, F.lit(low), F.lit(high))
@@ -280,8 +319,8 @@ class Pipeline:
 
     def fit(self, df: DataFrame, columns: list[str]) -> Pipeline:
         self.columns = list(columns)
-        got = _one(df, **{f"a{i}": F.min(c) for i, c in enumerate(columns)}, **{f"b{i}": F.max(c) for i, c in enumerate(columns)})
-        self.range = {c: (got[f"a{i}"], got[f"b{i}"]) for i, c in enumerate(columns)}
+        got = _each(df, columns, a=lambda x, i: F.min(x), b=lambda x, i: F.max(x))
+        self.range = {c: (got[c]["a"], got[c]["b"]) for c in columns}
         self.stages: list[Stage] = [Standard().fit(df, columns)]
         df = self.stages[0].transform(df)
         if make := NORMALISERS[self.method]:
@@ -297,6 +336,15 @@ class Pipeline:
             df = s.transform(df)
         return df
 
+    def packed(self, columns: list[str]) -> Column:
+        """An array of the given columns' values, transformed: the same as transform, in expressions that don't grow with columns."""
+        bounds = lambda c: self.range[c] if self.clip_to_fit else (None, None)
+        each = [hard_clip(F.col(c), F.lit(bounds(c)[0]), F.lit(bounds(c)[1])) if bounds(c)[0] is not None else F.col(c) for c in columns]
+        values = F.array(*(x.cast("double") for x in each))
+        for s in self.stages:
+            values = s.over(values, columns)
+        return values
+
 
 def hard_clamp_outliers(df: DataFrame, columns: list[str], threshold: float = 4.0) -> DataFrame:
     """Clamps to mean +- threshold sample stds of the values inside them."""
