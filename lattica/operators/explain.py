@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .predictor import bandwidth, chunk, dealt
+from .predictor import bandwidth, chunk, dealt, once
 
 #: Columns up to which every coalition is evaluated; beyond it, permutations are sampled.
 EXACT = 10
@@ -46,27 +46,31 @@ def interactions_from_values(values: dict[frozenset, np.ndarray], d: int) -> dic
 
 
 class KernelExplainer:
-    """Explains kernel regression (or the probability of one class) from a broadcast context: all rows, or max_context of them."""
+    """Explains kernel regression (or the probability of one class) from a broadcast context: all rows, or max_context of them.
+    Context rows of equal features travel as one with their number and mean, and equal query rows are explained once."""
 
     def __init__(self, context: DataFrame, features: list[str], y: str, max_context: int | None = None, seed: int = 0, n_permutations: int = 32):
-        rows = context.select(*(F.col(c).cast("double").alias(c) for c in features), F.col(y).cast("double").alias("__y")).na.drop().orderBy(F.xxhash64(*features, F.lit(seed)))
-        rows = (rows if max_context is None else rows.limit(max_context)).toArrow().to_pandas()
+        rows = context.select(*(F.col(c).cast("double").alias(c) for c in features), F.col(y).cast("double").alias("__y")).na.drop()
+        if max_context is not None:
+            rows = rows.orderBy(F.xxhash64(*features, F.lit(seed))).limit(max_context)
+        rows = rows.groupBy(*features).agg(F.avg("__y").alias("__y"), F.count("*").alias("__n")).orderBy(F.xxhash64(*features, F.lit(seed))).toArrow().to_pandas()
         self.features, self.seed, self.n_permutations = list(features), seed, n_permutations
-        x = rows[features].to_numpy(float)
-        self.mean, self.std = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+        x, self.n = rows[features].to_numpy(float), rows["__n"].to_numpy(float)
+        self.mean = self.n @ x / max(self.n.sum(), 1)
+        self.std = np.maximum(np.sqrt(self.n @ (x - self.mean) ** 2 / max(self.n.sum(), 1)), 1e-9)
         self.x, self.y = (x - self.mean) / self.std, rows["__y"].to_numpy(float)
 
     def _values(self, q: np.ndarray, coalitions: set[frozenset]) -> dict[frozenset, np.ndarray]:
         z = (q - self.mean) / self.std
         each = [(z[:, j][:, None] - self.x[:, j][None]) ** 2 for j in range(z.shape[1])]
-        out = {}
+        out, count = {}, self.n.sum()
         for s in coalitions:
             if not s:
-                out[s] = np.full(len(q), self.y.mean())
+                out[s] = np.full(len(q), self.n @ self.y / count)
                 continue
             dist = sum(each[j] for j in s)
-            h = bandwidth(len(self.x), len(s))
-            w = np.exp(-(dist - dist.min(axis=1, keepdims=True)) / (2 * h * h * len(s)))
+            h = bandwidth(count, len(s))
+            w = np.exp(-(dist - dist.min(axis=1, keepdims=True)) / (2 * h * h * len(s))) * self.n
             out[s] = w @ self.y / w.sum(axis=1)
         return out
 
@@ -86,16 +90,16 @@ class KernelExplainer:
     def shapley(self, query: DataFrame, key: str) -> DataFrame:
         """key, feature, phi: one row a column of every query row. Sums to the prediction less the mean."""
         features, explain, step = self.features, self._explain, min(256, chunk(len(self.x)))
-        kind = dict(query.dtypes)[key]
 
         def run(batches):
             for pdf in batches:
                 for at in range(0, len(pdf), step):
                     part = pdf.iloc[at : at + step]
-                    phi = explain(part[features].to_numpy(float))
-                    yield pd.DataFrame({key: np.repeat(part[key].to_numpy(), len(features)), "feature": features * len(part), "phi": phi.ravel()})
+                    yield part.assign(__phi=list(explain(part[features].to_numpy(float))))
 
-        return dealt(query.select(key, *(F.col(c).cast("double").alias(c) for c in features))).mapInPandas(run, f"`{key}` {kind}, feature string, phi double")
+        got = once(query.select(key, *features), {c: F.col(c).cast("double") for c in features}, run, "__phi array<double>")
+        each = F.array(*(F.struct(F.lit(c).alias("feature"), F.nanvl(F.element_at("__phi", i + 1), F.lit(None)).alias("phi")) for i, c in enumerate(features)))
+        return got.select(key, F.explode(each).alias("s")).select(key, "s.feature", "s.phi")
 
     def interactions(self, query: DataFrame, key: str) -> DataFrame:
         """key, a, b, phi of every pair of columns."""

@@ -460,3 +460,25 @@ def test_streams(spark, tmp_path):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_shapley_of_many_copies(spark):
+    """Equal rows travel and are explained once; values, and rows given back, count every copy."""
+    rng = np.random.default_rng(3)
+    kinds = [(float(a), float(b), float(y)) for a, b, y in zip(rng.integers(0, 4, 30), rng.integers(0, 3, 30), rng.normal(size=30).round(2), strict=True)]
+    x = np.array([r for i, r in enumerate(kinds) for _ in range(1 + i % 5) for _ in range(20)])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(-1, None, 1.0, 0.5)], "id long, a double, b double, y double")
+    e = explain.KernelExplainer(df, ["a", "b"], "y")
+    assert len(e.x) == len({r[:2] for r in kinds})
+    z = (x[:, :2] - x[:, :2].mean(axis=0)) / x[:, :2].std(axis=0)
+
+    def value(i, s):
+        h = len(x) ** (-1 / (len(s) + 4))
+        w = np.exp(-((z[:, s] - z[i, s]) ** 2).sum(axis=1) / (2 * h * h * len(s)))
+        return w @ x[:, 2] / w.sum()
+
+    phi = e.shapley(df, "id").toPandas().pivot(index="id", columns="feature", values="phi")
+    assert len(phi) == len(x) + 1 and phi.loc[-1].isna().all()
+    for i in (0, 1, 500, len(x) - 1):
+        a, b, both, none = value(i, [0]), value(i, [1]), value(i, [0, 1]), x[:, 2].mean()
+        assert phi.loc[i].tolist() == pytest.approx([(a - none + both - b) / 2, (b - none + both - a) / 2], rel=1e-9)
