@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .predictor import bandwidth, chunk, dealt, once
+from .predictor import bandwidth, chunk, once
 
 #: Columns up to which every coalition is evaluated; beyond it, permutations are sampled.
 EXACT = 10
@@ -104,7 +104,7 @@ class KernelExplainer:
     def interactions(self, query: DataFrame, key: str) -> DataFrame:
         """key, a, b, phi of every pair of columns."""
         features, values, step = self.features, self._values, min(256, chunk(len(self.x)))
-        d, kind = len(features), dict(query.dtypes)[key]
+        d = len(features)
         if d > EXACT:
             raise ValueError(f"interactions need at most {EXACT} columns")
 
@@ -113,10 +113,14 @@ class KernelExplainer:
                 for at in range(0, len(pdf), step):
                     part = pdf.iloc[at : at + step]
                     v = values(part[features].to_numpy(float), {frozenset(s) for k in range(d + 1) for s in itertools.combinations(range(d), k)})
-                    for (i, j), phi in interactions_from_values(v, d).items():
-                        yield pd.DataFrame({key: part[key].to_numpy(), "a": features[i], "b": features[j], "phi": phi})
+                    phi = list(interactions_from_values(v, d).values())
+                    yield part.assign(__phi=list(np.stack(phi, axis=1)) if phi else [[] for _ in range(len(part))])
 
-        return dealt(query.select(key, *(F.col(c).cast("double").alias(c) for c in features))).mapInPandas(run, f"`{key}` {kind}, a string, b string, phi double")
+        got = once(query.select(key, *features), {c: F.col(c).cast("double") for c in features}, run, "__phi array<double>")
+        pairs = itertools.combinations(features, 2)
+        each = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.nanvl(F.element_at("__phi", i + 1), F.lit(None)).alias("phi")) for i, (a, b) in enumerate(pairs)]
+        kind = "array<struct<a:string,b:string,phi:double>>"
+        return got.select(key, F.explode((F.array(*each)).cast(kind)).alias("s")).select(key, "s.a", "s.b", "s.phi")
 
 
 def importance(phi: DataFrame) -> DataFrame:

@@ -478,7 +478,9 @@ def test_shapley_of_many_copies(spark):
         return w @ x[:, 2] / w.sum()
 
     phi = e.shapley(df, "id").toPandas().pivot(index="id", columns="feature", values="phi")
-    assert len(phi) == len(x) + 1 and phi.loc[-1].isna().all()
+    pairs = e.interactions(df, "id").toPandas().set_index("id")
+    assert len(phi) == len(pairs) == len(x) + 1 and phi.loc[-1].isna().all()
     for i in (0, 1, 500, len(x) - 1):
         a, b, both, none = value(i, [0]), value(i, [1]), value(i, [0, 1]), x[:, 2].mean()
         assert phi.loc[i].tolist() == pytest.approx([(a - none + both - b) / 2, (b - none + both - a) / 2], rel=1e-9)
+        assert pairs.loc[i, "phi"] == pytest.approx(both - a - b + none, rel=1e-9)
