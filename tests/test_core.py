@@ -484,3 +484,35 @@ def test_shapley_of_many_copies(spark):
         a, b, both, none = value(i, [0]), value(i, [1]), value(i, [0, 1]), x[:, 2].mean()
         assert phi.loc[i].tolist() == pytest.approx([(a - none + both - b) / 2, (b - none + both - a) / 2], rel=1e-9)
         assert pairs.loc[i, "phi"] == pytest.approx(both - a - b + none, rel=1e-9)
+
+
+def _copied(spark):
+    rng = np.random.default_rng(5)
+    kinds = np.column_stack((rng.integers(0, 12, 40) + 0.5, rng.integers(0, 9, 40) + 0.25, rng.integers(0, 3, 40)))
+    kinds[::7, 1] = np.nan
+    x = np.array([r for i, r in enumerate(kinds) for _ in range(10 * (1 + i % 4))])
+    df = spark.createDataFrame([(i, *(None if np.isnan(v) else float(v) for v in r)) for i, r in enumerate(x)], "id long, a double, b double, c double")
+    return x, df, Unsupervised().fit(df, ["a", "b", "c"])
+
+
+def test_density_of_many_copies(spark):
+    """Equal rows travel and are scored once, and count as often as they come."""
+    x, df, u = _copied(spark)
+    assert len(u.model.raw) == len(np.unique(np.nan_to_num(x, nan=-1.0), axis=0)) < len(x) == u.model.counts.sum()
+    got = u.score_samples(df, 1).toPandas().set_index("id")["density"]
+    assert len(got) == len(x)
+    n, ok = len(x), np.isfinite(x[:, 1])
+    z = (np.where(ok[:, None] | (np.arange(3) != 1), x, np.nanmedian(x[:, 1])) - np.nanmean(x, axis=0)) / np.nanstd(x, axis=0)
+
+    def weight(i, given, rows):
+        w = np.exp(-((z[np.ix_(rows, given)] - z[i, given]) ** 2).sum(axis=1) / (2 * len(rows) ** (-2 / (len(given) + 4)) * len(given)))
+        return w / w.sum()
+
+    def normal(i, j, rows):
+        s = np.nanstd(x[:, j]) * len(rows) ** -0.2
+        return np.exp(-((x[i, j] - x[rows, j]) ** 2) / (2 * s * s)) / (s * np.sqrt(2 * np.pi))
+
+    every, some = np.arange(n), np.flatnonzero(ok)
+    for i in (0, 5, 300, n - 1):
+        p = normal(i, 0, every).mean() * (weight(i, [0], some) @ normal(i, 1, some) if ok[i] else 1) * weight(i, [0, 1], every)[x[:, 2] == x[i, 2]].sum()
+        assert got[i] == pytest.approx(p, rel=1e-9)
