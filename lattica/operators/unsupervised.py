@@ -218,7 +218,12 @@ class Unsupervised:
                 yield pdf.assign(**dict(zip(columns, x.T, strict=True)))
 
         wide = df.withColumns({c: F.col(c).cast("double") for c in columns})
-        return wide.mapInPandas(run, _schema(wide))
+        if temperature > 0:
+            return wide.mapInPandas(run, _schema(wide))
+        filled = [f"__filled{i}" for i in range(len(columns))]
+        renamed = lambda batches: (pdf[columns].assign(**dict(zip(filled, own[columns].to_numpy(float).T, strict=True))) for pdf, own in ((pdf, next(run([pdf]))) for pdf in batches))
+        got = once(wide, {c: F.nanvl(F.col(c), F.lit(None)) for c in columns}, renamed, ", ".join(f"{c} double" for c in filled))
+        return got.select(*(F.col(filled[columns.index(c)]).alias(c) if c in columns else F.col(f"`{c}`") for c in wide.columns))
 
     def generate(self, spark: SparkSession, n: int, temperature: float = 1.0) -> DataFrame:
         """n new rows, column after column."""

@@ -516,3 +516,23 @@ def test_density_of_many_copies(spark):
     for i in (0, 5, 300, n - 1):
         p = normal(i, 0, every).mean() * (weight(i, [0], some) @ normal(i, 1, some) if ok[i] else 1) * weight(i, [0, 1], every)[x[:, 2] == x[i, 2]].sum()
         assert got[i] == pytest.approx(p, rel=1e-9)
+
+
+def test_imputing_many_copies(spark):
+    """Copies are imputed once, as if every one were a context row of its own; other columns and all rows come back."""
+    x, df, u = _copied(spark)
+    each = Conditionals(x, [False, False, True])
+    assert np.allclose((each.mean, each.std, each.warm), (u.model.mean, u.model.std, u.model.warm))
+    full = u.impute(df.withColumn("more", F.col("id") + 1)).toPandas().set_index("id").sort_index()
+    lost = np.isnan(x[:, 1])
+    rows = np.where(lost[:, None] & (np.arange(3) == 1), each.warm[1], x)
+    rows[lost, 1] = each.draw(rows[lost], [0, 2], 1, 0.0, np.full(lost.sum(), 0.5))
+    assert list(full.columns) == ["a", "b", "c", "more"] and (full["more"] == full.index + 1).all()
+    assert np.allclose(full[["a", "b", "c"]], rows) and len(full) == len(x)
+    ok = np.flatnonzero(~lost)
+    z = (x - np.nanmean(x, axis=0)) / np.nanstd(x, axis=0)
+    i = np.flatnonzero(lost)[0]
+    order = ok[np.argsort(x[ok, 1], kind="stable")]
+    w = np.exp(-((z[np.ix_(order, [0, 2])] - z[i, [0, 2]]) ** 2).sum(axis=1) / (4 * len(ok) ** (-1 / 3)))
+    assert abs(rows[i, 1] - weighted_quantiles(x[order, 1], w[None], np.array([0.5]))[0, 0]) < 0.05
+    assert u.impute(df, temperature=1.0).count() == len(x)
