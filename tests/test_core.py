@@ -558,3 +558,18 @@ def test_quantile_normal_of_many_knots(spark):
     want = spark.createDataFrame([(i, float(v)) for i, v in enumerate(p)], "id long, p double").select("id", A.normal_ppf(F.col("p")).alias("z")).toPandas().set_index("id")["z"]
     assert np.allclose(got[list(range(len(x)))], want[list(range(len(x)))], rtol=1e-12, atol=1e-12)
     assert str(stage.column("x")).count("filter(") == 0
+
+
+def test_tiles_of_bounded_size(spark, monkeypatch):
+    """Tiles hold TILE_CELLS numbers however much may be broadcast, and give the same quantiles."""
+    from lattica.operators import predictor
+
+    rng = np.random.default_rng(4)
+    rows = [(list(map(float, f)), float(v)) for f, v in zip(rng.integers(0, 3, (200, 2)), rng.normal(size=200), strict=True)]
+    context, query = spark.createDataFrame(rows, "features array<double>, y double"), spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(9)], "id long, features array<double>")
+    one = {r.id: r.quantiles for r in KernelPredictor(0.7, levels=39).quantiles(context, query).collect()}
+    monkeypatch.setattr(predictor, "TILE_CELLS", 40)
+    asked, tiled = [], KernelPredictor._tiled_quantiles
+    monkeypatch.setattr(KernelPredictor, "_tiled_quantiles", lambda self, *a: asked.append(a[-1]) or tiled(self, *a))
+    two = {r.id: r.quantiles for r in KernelPredictor(0.7, broadcast_cells=300, levels=39).quantiles(context, query).collect()}
+    assert asked == [10] and len(two) == 9 and all(np.allclose(one[i], two[i]) for i in one)
