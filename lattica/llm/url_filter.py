@@ -1,15 +1,17 @@
 """URL filtering: fixed rules by host and path, then association rules mined from labels.
 
 A URL's tokens are the labels of its host, its registered name, and the shapes of its path segments and query keys.
-Spark's FP-growth mines frequent token sets together with the items `bad` and `good` over the labelled URLs; rules
+FP-growth mines frequent token sets with their numbers of bad and good URLs over the labelled URLs; rules
 `tokens -> bad` (block) and `tokens -> good` (allow) are kept if their support and confidence are high enough and no rule
 of the same verdict on fewer of the tokens is as sure. The rules are matched by an inverted index from each rule's rarest
 token, and the surest that matches decides; URLs that none matches are allowed. Fixed rules (host, path) come first: a
 rule fits its host and all subdomains if the URL's path starts with the rule's; the longest that fits decides.
 
-Mining is bounded: tokens below the support are left out, tokens that always come together are one item (so that a site's
-template of many constant segments is one item), and of a URL's items the ITEMS that tell most about the label take part.
-There are then at most 2^ITEMS / support frequent sets, whatever the corpus, and only rules leave the executors.
+Mining drops no rule at the support: all frequent items of all URLs take part. Tokens that always come together are one
+item (so that a site's template of many constant segments is one item). FP-growth is dealt over the cluster by each set's
+rarest item: a worker grows its sets from the URLs that have that item. Sets are not grown where no rule can be kept: by an
+item that all URLs of the set have (the smaller set is as sure), and beyond sets whose URLs are all bad or all good. What
+is left depends on the data: items without order among them, many to a URL, still have many frequent sets.
 
 A page's label is that of the document whose id is the last number in its path: in the given tables the page's article is
 that document's text.
@@ -22,19 +24,16 @@ Extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import stage
 
 #: Least share of the labelled URLs that hold a rule's tokens and have its label, and least share of that label among those that hold them.
 SUPPORT, CONFIDENCE = 0.005, 0.6
-#: Items of a URL that FP-growth sees.
-ITEMS = 10
 #: The same share's lower bound (Wilson, this many standard errors) must be SURE at least, so that chance on few URLs makes no rule.
 ERRORS, SURE = 3.0, 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,46 +82,81 @@ def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return seen.select("url", tokens(F.col("url")).alias("tokens"), "bad")
 
 
-def items(seen: DataFrame, n: int, n_bad: int, support: float) -> tuple[dict[str, int], list[frozenset[str]], list[float]]:
-    """(item of each frequent token, tokens of each item, how much each item tells about the label)."""
+def items(seen: DataFrame, n: int, support: float) -> tuple[dict[str, int], list[frozenset[str]]]:
+    """(item of each frequent token, tokens of each item); the rarest items have the highest numbers."""
     here = F.xxhash64("url")  # equal urls have equal tokens, so a token's urls are known by sums of these
     one = seen.select(F.explode("tokens").alias("token"), "bad", here.alias("h"))
     found = one.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"), F.bit_xor("h").alias("x"), F.sum(F.shiftrightunsigned("h", 20)).alias("s")).where(F.col("n") >= support * n).collect()
     together: dict[tuple, set[str]] = {}
     for r in found:
         together.setdefault((r["n"], r["bad"], r["x"], r["s"]), set()).add(r["token"])
-    groups = sorted(together.items(), key=lambda g: sorted(g[1]))
-    base = n_bad / n
-    tells = [abs(bad / count - base) * math.sqrt(count) for (count, bad, _, _), _ in groups]
-    return {t: i for i, (_, g) in enumerate(groups) for t in g}, [frozenset(g) for _, g in groups], tells
+    groups = sorted(together.items(), key=lambda g: (-g[0][0], sorted(g[1])))
+    return {t: i for i, (_, g) in enumerate(groups) for t in g}, [frozenset(g) for _, g in groups]
+
+
+def grow(base: dict[tuple[int, ...], list[int]], suffix: tuple[int, ...], total: tuple[int, int], least: int):
+    """FP-growth from a conditional base (items in front of the suffix, with their numbers of bad and good URLs): yields (set, bad,
+    good) of the suffix and of all its frequent extensions that a kept rule may have."""
+    yield suffix, *total
+    if not all(total):
+        return
+    count: dict[int, list[int]] = defaultdict(lambda: [0, 0])
+    for own, (bad, good) in base.items():
+        for i in own:
+            count[i][0] += bad
+            count[i][1] += good
+    some = {i: c for i, c in count.items() if max(c) >= least and sum(c) < sum(total)}
+    for i, c in some.items():
+        ahead: dict[tuple[int, ...], list[int]] = defaultdict(lambda: [0, 0])
+        for own, (bad, good) in base.items():
+            if i in own:
+                k = ahead[tuple(j for j in own if j < i and j in some)]
+                k[0] += bad
+                k[1] += good
+        yield from grow(ahead, (*suffix, i), tuple(c), least)
 
 
 def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> list[Rule]:
     """Rules for bad and good URLs, surest first."""
-    spark = pages.sparkSession
     seen = stage(labelled(pages, labels), "labelled")
     n, n_bad = seen.agg(F.count("*"), F.count_if("bad")).first()
     if not n:
         return []
-    item, groups, tells = items(seen, n, n_bad, support)
+    item, groups = items(seen, n, support)
+    least = max(1, math.ceil(support * n))
 
     def baskets(batches):
         for b in batches:
-            out = []
-            for found, bad in zip(b.column("tokens").to_pylist(), b.column("bad").to_pylist(), strict=True):
-                own = sorted({item[t] for t in found if t in item}, key=lambda i: (-tells[i], i))[:ITEMS]
-                out.append([*map(str, own), "bad" if bad else "good"])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], names=["items"])
-
-    rows = seen.select("tokens", "bad").mapInArrow(baskets, "items array<string>")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions"))).fit(rows)
-    share, z = F.col("confidence"), F.lit(ERRORS * ERRORS) / (F.col("support") * n / F.col("confidence"))
-    low = (share + z / 2 - F.sqrt(z * (share * (1 - share) + z / 4))) / (1 + z)
-    sure = model.associationRules.where((F.array_contains("consequent", "bad") | F.array_contains("consequent", "good")) & ~F.array_contains("antecedent", "bad") & ~F.array_contains("antecedent", "good") & (low >= SURE))
-    rules = [Rule(frozenset(t for i in r["antecedent"] for t in groups[int(i)]), r["confidence"], r["support"], "block" if r["consequent"] == ["bad"] else "allow", r["lift"]) for r in sure.collect()]
+            out = [sorted({item[t] for t in found if t in item}) for found in b.column("tokens").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), b.column("bad")], names=["items", "bad"])
+
+    def sets(key, rows):
+        base: dict[tuple[int, ...], list[int]] = {}
+        for own, bad, good in zip(*(rows.column(c).to_pylist() for c in ("ahead", "bad", "good")), strict=True):
+            base[tuple(own)] = [bad, good]
+        total = tuple(sum(c[k] for c in base.values()) for k in (0, 1))
+        own = []
+        for found, bad, good in grow(base, (key[0].as_py(),), total, least) if max(total) >= least else ():
+            for verdict, hit, share in (("block", bad, n_bad / n), ("allow", good, 1 - n_bad / n)):
+                of = bad + good
+                if hit >= least and hit / of >= confidence and lower_bound(hit / of, of) >= SURE:
+                    own.append((list(found), verdict, hit / of, hit / n, hit / of / share))
+        return _table(own)
+
+    # equal URLs count as one, and so do equal conditional bases
+    one = seen.select("tokens", "bad").mapInArrow(baskets, "items array<int>, bad boolean").groupBy("items").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
+    each = one.select(F.posexplode("items").alias("at", "item"), "items", "bad", "good").select("item", F.slice("items", F.lit(1), F.col("at")).alias("ahead"), "bad", "good")
+    dealt = each.groupBy("item", "ahead").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    found = dealt.groupBy("item").applyInArrow(sets, "items array<int>, verdict string, confidence double, support double, lift double")
+    rules = [Rule(frozenset(t for i in r["items"] for t in groups[i]), r["confidence"], r["support"], r["verdict"], r["lift"]) for r in found.collect()]
     return prune(rules)
 
 
+def _table(rows: list[tuple]) -> pa.Table:
+    kinds = (("items", pa.list_(pa.int32())), ("verdict", pa.string()), ("confidence", pa.float64()), ("support", pa.float64()), ("lift", pa.float64()))
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[c for c, _ in kinds])
+
+
 def lower_bound(share: float, n: float) -> float:
     """Wilson's lower bound of a share seen in n cases."""
     z = ERRORS * ERRORS / n

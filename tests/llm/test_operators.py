@@ -653,3 +653,46 @@ def test_url_rules_of_brute_force(spark):
 def spark_tokens(host, url):
     labels = host.split(".")
     return ["d:" + ".".join(labels[-2:]), *("h:" + v for v in labels), "q:ref", "p:" + url.split("/")[3], "p:#"]
+
+
+def test_url_mining_drops_no_item(spark):
+    """A rule on tokens that tell little on their own, in URLs of more than ten items, and a chain of twenty nested segments."""
+    rng = random.Random(6)
+    urls, labels = [], []
+    for i in range(800):
+        x, y = rng.random() < 0.5, rng.random() < 0.5  # both together are bad
+        keys = [f"k{j}" for j in range(14) if rng.random() < (0.75 if i % 3 else 0.2)]
+        keys += (["xx"] if x else []) + (["yy"] if y else [])
+        chain = [f"c{chr(97 + j)}" for j in range(20) if j <= i % 20]
+        urls.append(f"http://h.io/{'/'.join(chain)}/{i}?" + "&".join(f"{k}=1" for k in keys))
+        p = 0.5 + 0.1 * (("k0" in keys) - 0.5) + 0.1 * (("k1" in keys) - 0.5)
+        labels.append((i, int(not (x and y or rng.random() < p - 0.4)), 0))
+    pages, known = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    seen = [(frozenset(r.tokens), r.bad) for r in url_filter.labelled(pages, known).collect()]
+    support, n = 0.2, len(seen)
+    rules = url_filter.mine(pages, known, support)
+    got = {(r.tokens, r.verdict): (round(r.confidence, 9), round(r.support, 9)) for r in rules}
+    masks = defaultdict(int)
+    for i, (own, _) in enumerate(seen):
+        for t in own:
+            masks[t] |= 1 << i
+    groups = defaultdict(set)
+    for t, m in masks.items():
+        if m.bit_count() >= support * n:
+            groups[m].add(t)
+    bad, want = sum(1 << i for i, (_, b) in enumerate(seen) if b), {}
+    def search(own, mask, rest):  # noqa: E306
+        for k, (m, g) in enumerate(rest):
+            both = mask & m
+            if both.bit_count() < support * n or both == mask and own:
+                continue
+            tokens = own | g
+            for verdict, hit in (("block", (both & bad).bit_count()), ("allow", (both & ~bad).bit_count())):
+                of = both.bit_count()
+                if hit >= support * n and hit / of >= 0.6 and url_filter.lower_bound(hit / of, of) >= 0.5:
+                    want[tokens, verdict] = url_filter.Rule(tokens, hit / of, hit / n, verdict, 0.0)
+            search(tokens, both, rest[k + 1 :])
+    search(frozenset(), (1 << n) - 1, sorted(((m, frozenset(g)) for m, g in groups.items()), key=lambda x: (x[0].bit_count(), sorted(x[1]))))
+    want = {(r.tokens, r.verdict): (round(r.confidence, 9), round(r.support, 9)) for r in url_filter.prune(list(want.values()))}
+    assert got == want and any(t >= {"q:xx", "q:yy"} and v == "block" for t, v in got)
+    assert max(len({masks[t] for t in own if masks[t] in groups}) for own, _ in seen) > 10
