@@ -12,8 +12,9 @@ Shape of the work, for sets A, B, ... of one block value ("bucket"):
  2. edges are verified on whole texts, and components are found;
  3. buckets that still hold two or more components are joined whole, in blocks of at most BLOCK sets, where a narrow
     parity sketch's Hamming distance drops what can't link; the rest is verified too, the nearest that would join two
-    components first, then, in buckets that left some out and are still open, all others. So no link between different
-    texts is lost, and groups of copies are never expanded.
+    components first, then all others that still lie between components. These others are sent as pairs; only where a
+    piece of work has more than LEFT of them a set, its bucket is sent instead and, if still open, joined again. So no
+    link between different texts is lost, and groups of copies are never expanded.
 Narrow sketches have bits in proportion to the set, so that they tell large sets apart as well as small ones; of two
 widths the wider one is folded. Pairs are verified by hubs: a hub's text meets those of up to BLOCK partners in one
 piece of work, and each text crosses one shuffle for each of its hubs.
@@ -46,6 +47,8 @@ RANGE = 400_000
 LEAST_BITS, BITS = 256, 16
 #: Sets of one bucket, or partners of one hub, that are compared in one piece of work.
 BLOCK = 512
+#: Pairs a set that a piece of work leaves for later; where there are more, their bucket is joined again.
+LEFT = 4
 #: Pairs that a task remembers having sent.
 SENT = 50_000
 #: A list of candidates of at most this many is broadcast (some 30 bytes each); a longer one is joined by shuffle.
@@ -426,7 +429,8 @@ def _residual(members: DataFrame, classes: DataFrame, num: int, den: int, forest
     """Pairs (a, b) across components of one key whose narrow sketches allow a link; with forest, those that would join them first.
 
     members: key, node, comp. Keys of many nodes are cut into blocks of about BLOCK nodes; each pair of blocks is a piece
-    of work of its own, and only pairs that pass leave it. Where the forest leaves some out, a row (null, null, key) says so.
+    of work of its own, and only pairs that pass leave it. Those that the forest leaves out are marked later; where they
+    are more than LEFT a node, a row (null, null, key) stands for them.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"))
     some = members.join(sizes, "key").join(classes.select("node", "n", "sketch"), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb").cast("long")).cast("int"))
@@ -450,10 +454,13 @@ def _residual(members: DataFrame, classes: DataFrame, num: int, den: int, forest
                 near = far * (den + num) <= (den - num) * (n[j] + n[i])
                 found += [(h, i, k) for h, k in zip(far[near].tolist(), j[near].tolist(), strict=True)]
         kept = _forest(names, found) if forest else found
-        a, b, k = node[[i for _, i, _ in kept]].tolist() if kept else [], node[[j for _, _, j in kept]].tolist() if kept else [], [None] * len(kept)
-        if len(kept) < len(found):
-            a, b, k = [*a, None], [*b, None], [*k, key[0]]
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(k, pa.int64())], names=["a", "b", "key"])
+        rows = [(int(node[i]), int(node[j]), None, False) for _, i, j in kept]
+        if len(found) - len(kept) > LEFT * len(n):
+            rows.append((None, None, key[0], True))
+        elif len(kept) < len(found):
+            first = {(i, j) for _, i, j in kept}
+            rows += [(int(node[i]), int(node[j]), None, True) for _, i, j in found if (i, j) not in first]
+        return rows
 
     def run(batches):
         held, now, sent = [], None, set()
@@ -462,8 +469,9 @@ def _residual(members: DataFrame, classes: DataFrame, num: int, den: int, forest
             """What the task hasn't sent yet: keys of like members find the same pairs."""
             if len(sent) > SENT:
                 sent.clear()
-            new = [i for i, row in enumerate(zip(*(found.column(c).to_pylist() for c in range(3)), strict=True)) if row not in sent and not sent.add(row)]
-            return found.take(pa.array(new, pa.int64()))
+            new = [row for row in found if row not in sent and not sent.add(row)]
+            types = pa.int64(), pa.int64(), pa.int64(), pa.bool_()
+            return pa.RecordBatch.from_arrays([pa.array([row[c] for row in new], t) for c, t in enumerate(types)], names=["a", "b", "key", "later"])
 
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("key", "x", "y", "own", "node", "comp", "n", "sketch")), strict=True):
@@ -477,12 +485,11 @@ def _residual(members: DataFrame, classes: DataFrame, num: int, den: int, forest
             yield fresh(work(held))
 
     dealt = some.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return dealt.mapInArrow(lean(run), "a long, b long, key long").distinct()
+    return dealt.mapInArrow(lean(run), "a long, b long, key long, later boolean").distinct()
 
 
-def _open(members: DataFrame, sure: DataFrame) -> DataFrame:
+def _open(members: DataFrame, joined: DataFrame) -> DataFrame:
     """(key, node, comp) of keys whose nodes are of two or more components; of keys with the same nodes one is enough."""
-    joined = connected(sure.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = members.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     own = named.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1))).alias("s"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
     keys = stage(own.where("c1 <> c2").groupBy("m", "x", "s").agg(F.min("key").alias("key")).select("key"), "open")
@@ -490,6 +497,12 @@ def _open(members: DataFrame, sure: DataFrame) -> DataFrame:
     return stage(named.join(few, "key"), "members")
 
 
+def _apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """Of pairs (a, b), those whose nodes are of two components."""
+    side = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+
+
 def _labelled(docs: DataFrame, w: int, num: int, den: int) -> DataFrame:
     """doc_id, th, n, comp (null: linked with no other text), head (struct of the smallest row of the component), one row a row of docs."""
     spark = docs.sparkSession
@@ -513,16 +526,20 @@ def _labelled(docs: DataFrame, w: int, num: int, den: int) -> DataFrame:
 
     buckets = shared.where("key <> -1")
     members = buckets.select("key", F.col("pivot").alias("node")).union(buckets.select("key", "member")).distinct()
-    for forest in (True, False):  # first the likeliest links between components, then whatever pairs are left
-        members = _open(members, sure)
-        found = stage(_residual(members, classes, num, den, forest), "rest")
-        rest = found.where("key is null").select("a", "b").join(tried, ["a", "b"], "left_anti")
-        sure = stage(sure.union(_verified(stage(rest, "late"), docs, classes, w, num, den)), "sure")
-        left = found.where("key is not null").select("key").distinct()
-        if not forest or left.isEmpty():
-            break
-        tried, members = tried.union(rest), members.select("key", "node").join(left, "key", "left_semi")
-    every = stage(connected(sure.select(F.col("a").alias("u"), F.col("b").alias("v"))), "every")
+    parts = lambda: connected(sure.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    members = _open(members, parts())
+    found = stage(_residual(members, classes, num, den, True), "rest")
+    rest = stage(found.where("not later").select("a", "b").join(tried, ["a", "b"], "left_anti"), "late")  # the likeliest links between components
+    sure = stage(sure.union(_verified(rest, docs, classes, w, num, den)), "sure")
+    if not found.where("later").isEmpty():  # whatever pairs are left
+        tried, joined, keys = tried.union(rest), parts(), found.where("key is not null").select("key").distinct()
+        rest = _apart(found.where("later and key is null").select("a", "b"), joined)
+        if not keys.isEmpty():
+            again = _open(members.select("key", "node").join(keys, "key", "left_semi"), joined)
+            rest = rest.union(_residual(again, classes, num, den, False).select("a", "b")).distinct()
+        rest = stage(rest.join(tried, ["a", "b"], "left_anti"), "late")
+        sure = stage(sure.union(_verified(rest, docs, classes, w, num, den)), "sure")
+    every = stage(parts(), "every")
 
     met = every.join(classes.select("node", "d1", "d2", "rep"), "node")
     heads = met.groupBy("component").agg(F.min("rep").alias("head"))

@@ -116,6 +116,39 @@ def test_packed_keys_and_buckets():
         assert ngram_jaccard.folded([ngram_jaccard.narrow_sketch(s, 2048)], bits // 8).tobytes() == ngram_jaccard.narrow_sketch(s, bits)
 
 
+@pytest.mark.parametrize("n", [6, 30])
+def test_residual_sends_left_out_pairs(spark, n):
+    """What the forest leaves out of a key goes on as pairs, if these are few to a node; else the key is joined again."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [np.unique(np.append(base, rng.integers(0, 1 << 63, 2, dtype=np.uint64))) for _ in range(n)]
+    classes = spark.createDataFrame([(i, len(s), bytearray(ngram_jaccard.narrow_sketch(s, 2048))) for i, s in enumerate(sets)], "node long, n long, sketch binary")
+    members = spark.createDataFrame([(key, i, i) for key in (7, 8) for i in range(n)], "key long, node long, comp long")
+    got = ngram_jaccard._residual(members, classes, 4, 5, True).collect()
+    first, later = ({(r.a, r.b) for r in got if r.key is None and r.later == flag} for flag in (False, True))
+    keys = {r.key for r in got} - {None}
+    assert len(first) == n - 1
+    if n == 6:
+        assert not keys and first | later == {(i, j) for i in range(n) for j in range(i + 1, n)}
+    else:
+        assert keys == {7, 8} and not later
+
+
+@pytest.mark.parametrize("left", [0, 4])
+def test_jaccard_of_near_copies(spark, monkeypatch, left):
+    """Copies of one text on both sides of the threshold: the same links whether what is left out goes on as pairs or as keys."""
+    monkeypatch.setattr(ngram_jaccard, "LEFT", left)
+    rng = random.Random(5)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(90):
+        words = list(base)
+        for k in rng.sample(range(120), rng.choice([6, 12, 13, 14, 15, 18])):
+            words[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    test_jaccard_components(docs, rows, 1, 4, 5)
+
+
 @pytest.mark.parametrize(("w", "num", "den"), [(3, 90, 100), (5, 4, 5)])
 def test_jaccard_components(docs, rows, w, num, den):
     sets, parent = {}, {}
